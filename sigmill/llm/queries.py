@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sigmill.llm import mixing, quality_rules, sharding
+from sigmill.llm import mixing, packing, quality_rules, sharding, simhash
 from sigmill.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,8 +18,10 @@ def over(name: str, operator: Callable[[DataFrame], DataFrame]) -> Query:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_packing": over("documents", packing.document_pieces),
         "op2_mixing": over("documents", mixing.document_mix),
         "op6_sharding": over("documents", sharding.document_shards),
+        "op8_simhash": over("documents", simhash.document_components),
         "op9_quality_rules": over("documents", quality_rules.document_rules),
     }
 
