@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sigmill.llm import mixing, packing, quality_rules, sharding, simhash
+from sigmill.llm import licenses, line_dedup, mixing, packing, quality_classifier, quality_rules, sharding, simhash
 from sigmill.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,7 +20,10 @@ def queries() -> dict[str, Query]:
     return {
         "op1_packing": over("documents", packing.document_pieces),
         "op2_mixing": over("documents", mixing.document_mix),
+        "op3_quality_classifier": lambda spark, d: quality_classifier.classify(table(spark, d, "documents"), table(spark, d, "labels")),
+        "op5_line_dedup": over("documents", line_dedup.document_lines),
         "op6_sharding": over("documents", sharding.document_shards),
+        "op7_licenses": over("documents", licenses.document_licenses),
         "op8_simhash": over("documents", simhash.document_components),
         "op9_quality_rules": over("documents", quality_rules.document_rules),
     }
@@ -47,6 +50,26 @@ def _descent(shards: int, name: str) -> str:
   select doc_id, row_id, s, {_draw(2, "s")} / 1.0 as d from {name}_k join {nodes} using (k)) group by all)"""
 
 
+def _licenses() -> str:
+    """One step for each rule: if it holds, note the licence and take its sentences away."""
+    q = lambda x: "'" + x.replace("'", "''") + "'"
+    known = ", ".join(f"({q(s)}, {q(i)})" for s, i in licenses.SENTENCES.items())
+    steps, last = [], "r0"
+    for k, (name, ids) in enumerate(licenses.RULES, 1):
+        pattern, rest = "(.*?)".join(f" {i} " for i in ids), "".join(rf"\{n + 1}" for n in range(len(ids) - 1))
+        held = f"regexp_matches(rest, {q(pattern)})"
+        steps.append(f"r{k} as (select doc_id, row_id, ids, case when {held} then list_append(found, {q(name)}) else found end as found, case when {held} then regexp_replace(rest, {q(pattern)}, {q(rest)}, 'g') else rest end as rest from {last})")
+        last = f"r{k}"
+    return rf"""
+with known(s, id) as (values {known}),
+d as (select doc_id, row_number() over () as row_id, regexp_split_to_array(coalesce(text, ''), '[.!?;]+[ \t\r]+|[\r\n]+') as parts from documents),
+e as (select doc_id, row_id, unnest(parts) as s, generate_subscripts(parts, 1) as i from d),
+h as (select row_id, list(id order by i) as ids from e join known on known.s = trim(regexp_replace(lower(e.s), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) group by row_id),
+r0 as (select doc_id, row_id, coalesce(ids, []::varchar[]) as ids, []::varchar[] as found, ' ' || coalesce(array_to_string(ids, '  '), '') || ' ' as rest from d left join h using (row_id)),
+{", ".join(steps)}
+select doc_id, len(ids)::bigint as n_sentences, array_to_string(ids, ',') as sentence_ids, array_to_string(list_sort(list_distinct(found)), ',') as licenses from {last}"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_mixing": rf"""
@@ -61,11 +84,27 @@ p as (select d.doc_id, d.size, u.source_size, u.target, u.whole, u.target - u.wh
         sum(d.size) over (partition by d.source order by h, d.doc_id, d.size rows unbounded preceding) - d.size / 2.0 as mid
       from d join u on d.source is not distinct from u.source)
 select doc_id, size, source_size, target, ((whole + case when need > 0 and mid <= need then 1 else 0 end) * size)::bigint as taken from p""",
-        "op6_sharding": f"""
-with base as (select doc_id, row_number() over () as row_id, octet_length(encode(coalesce(text, '')))::bigint + 16 as size from documents),
+        "op7_licenses": _licenses(),
+        "op5_line_dedup": r"""
+with d as (select doc_id, string_split(coalesce(text, ''), chr(10)) as a from documents),
+lines as (select doc_id, unnest(a) as line, generate_subscripts(a, 1) as j from d),
+worded as (select doc_id, j, line, lead(j) over o as j1, lead(line) over o as l1, lead(j, 2) over o as j2, lead(line, 2) over o as l2
+  from lines where regexp_matches(line, '[^\x20\x09-\x0D]') window o as (partition by doc_id order by j)),
+later as (select doc_id, j, j1, j2 from worded where l2 is not null qualify row_number() over (partition by line, l1, l2 order by doc_id, j) > 1),
+gone as (select doc_id, j from later union select doc_id, j1 from later union select doc_id, j2 from later),
+g as (select doc_id, count(*) as n from gone group by doc_id),
+k as (select doc_id, string_agg(line, chr(10) order by j) as kept from lines anti join gone using (doc_id, j) group by doc_id)
+select doc_id, len(a)::bigint as n_lines, coalesce(n, 0)::bigint as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from d left join g using (doc_id) left join k using (doc_id)""",
+        "op6_sharding": rf"""
+with recursive bits(n, v, k) as (select n, n::bigint, 0 from range(256) r(n) union all
+  select n, case when v % 2 = 1 then xor(v // 2, 3988292384) else v // 2 end, k + 1 from bits where k < 8),
+tab as (select list(v order by n) as tab from bits where k = 8),
+base as (select doc_id, row_number() over () as row_id, octet_length(encode(coalesce(text, '')))::bigint + 16 as size,
+  xor(list_reduce(list_prepend(4294967295::bigint, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::bigint)),
+    lambda a, c: xor(a >> 8, tab[xor(a, c) % 256 + 1])), 4294967295) as text_crc32 from documents, tab),
 {_descent(40, "a")},
 {_descent(41, "b")}
-select doc_id, size, 'key' as law, a_s.shard::int as shard,
+select doc_id, size, text_crc32, 'key' as law, a_s.shard::int as shard,
   (row_number() over (partition by a_s.shard order by md5(coalesce(doc_id::varchar, '~') || ':slot'), doc_id, size) - 1)::bigint as slot, b_s.shard::int as grown_shard
 from base join a_s using (doc_id, row_id) join b_s using (doc_id, row_id)""",
         "op9_quality_rules": rf"""
