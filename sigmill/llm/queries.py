@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sigmill.llm import licenses, line_dedup, mixing, packing, quality_classifier, quality_rules, sharding, simhash
+from sigmill.llm import embedding_dedup, licenses, line_dedup, mixing, packing, quality_classifier, quality_rules, sharding, simhash
 from sigmill.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,7 @@ def queries() -> dict[str, Query]:
         "op6_sharding": over("documents", sharding.document_shards),
         "op7_licenses": over("documents", licenses.document_licenses),
         "op8_simhash": over("documents", simhash.document_components),
+        "op10_embedding_dedup": over("embeddings", embedding_dedup.near_vectors),
         "op9_quality_rules": over("documents", quality_rules.document_rules),
     }
 
