@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sigmill.llm import embedding_dedup, licenses, line_dedup, mixing, packing, quality_classifier, quality_rules, sharding, simhash
+from sigmill.llm import embedding_dedup, licenses, line_dedup, mixing, packing, quality_classifier, quality_rules, sharding, simhash, suffix_dedup
 from sigmill.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,7 @@ def queries() -> dict[str, Query]:
         "op1_packing": over("documents", packing.document_pieces),
         "op2_mixing": over("documents", mixing.document_mix),
         "op3_quality_classifier": lambda spark, d: quality_classifier.classify(table(spark, d, "documents"), table(spark, d, "labels")),
+        "op4_suffix_dedup": over("documents", suffix_dedup.document_repeats),
         "op5_line_dedup": over("documents", line_dedup.document_lines),
         "op6_sharding": over("documents", sharding.document_shards),
         "op7_licenses": over("documents", licenses.document_licenses),
