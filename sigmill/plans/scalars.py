@@ -1 +1,207 @@
-"""To come."""
+"""String, date, array and score functions over whole tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from sigmill.functions import scoring as S
+from sigmill.functions import text as X
+from sigmill.registry import query
+from sigmill.sources.tables import items, signals, sql, table
+
+
+def q(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def listed(values) -> str:
+    return "(" + ", ".join(map(q, values)) + ")"
+
+
+def shown(patterns) -> str:
+    """SQL list of the patterns that a title shows, RE2 without case."""
+    return "list_filter([" + ", ".join(f"case when regexp_matches(title, {q('(?i)' + p)}) then {q(p)} end" for p in patterns) + "], lambda x: x is not null)"
+
+
+CLEAN = f"""cl as (select page_id, url, regexp_replace(url, '#.*$', '') as u from pages),
+cl2 as (select page_id, url, regexp_replace(regexp_replace(u, '\\?.*$', ''), '^http://', 'https://') as b, list_filter(string_split(regexp_extract(u, '\\?(.*)$', 1), '&'), lambda p: p <> '' and string_split(p, '=')[1] not in {listed(X.TRACKING)}) as qs from cl),
+clean as (select page_id, url, b || case when len(qs) > 0 then '?' || array_to_string(qs, '&') else '' end as cleaned from cl2)"""
+CLASS = "case " + " ".join(f"when regexp_matches(title, {q('(?i)' + '|'.join(p))}) then {q(n)}" for n, p in X.CLASSES) + " else 'other' end"
+
+
+@query("f01_clean_url", f"with {CLEAN} select page_id, cleaned from clean")
+def f01(spark, d):
+    return table(spark, d, "pages").select("page_id", X.clean_url(F.col("url")).alias("cleaned"))
+
+
+@query("f02_canonical_url", f"with {CLEAN} select page_id, rtrim(lower(regexp_extract(cleaned, '^\\w+://([^/?]*)', 1)) || regexp_extract(cleaned, '^\\w+://[^/?]*([^?]*)', 1), '/') as canonical, 'other' as kind from clean")
+def f02(spark, d):
+    c = X.canonical_url(F.col("url"))
+    return table(spark, d, "pages").select("page_id", c["url"].alias("canonical"), c["kind"].alias("kind"))
+
+
+@query("f05_url_key", "select page_id, lower(rtrim(split_part(url, '?', 1), '/')) as key from pages")
+def f05(spark, d):
+    return table(spark, d, "pages").select("page_id", X.url_key(F.col("url")).alias("key"))
+
+
+@query("f07_topic_bigrams", "select p_partkey, array_to_string(list_transform(range(1, len(w)), lambda i: w[i] || '-' || w[i + 1]), ',') as phrases from (select p_partkey, string_split(lower(p_name), ' ') as w from part)")
+def f07(spark, d):
+    t = table(spark, d, "part").select("p_partkey", F.split(F.lower("p_name"), " ").alias("w"))
+    two = F.transform(F.slice("w", F.lit(2), F.size("w")), lambda x, i: F.concat(F.element_at("w", i + 1), F.lit("-"), x))
+    return t.select("p_partkey", F.array_join(two, ",").alias("phrases"))
+
+
+@query("f10_trend_name", "select distinct p_brand, array_to_string(list_transform(string_split(lower(replace(p_brand, '#', '-ai-')), '-'), lambda w: case when w in ('ai', 'api', 'ml', 'sdk') then upper(w) else upper(w[1]) || w[2:] end), ' ') as name from part")
+def f10(spark, d):
+    return table(spark, d, "part").select("p_brand").distinct().select("p_brand", X.display_name(F.lower(F.replace("p_brand", F.lit("#"), F.lit("-ai-")))).alias("name"))
+
+
+ENT = r"""list_transform(list_concat(list_concat(regexp_extract_all(title, '\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+)+)\b', 1), regexp_extract_all(title, '"([^"]+)"', 1)), list_concat(regexp_extract_all(title, '\b([A-Z]{2,})\b', 1), regexp_extract_all(title, '\b(v?\d+\.\d+(?:\.\d+)?)\b', 1))), lambda x: lower(x))"""
+
+
+@query("f11_entities", sql(f"select id, array_to_string(list_sort(list_distinct({ENT})), ',') as entities from sig"))
+def f11(spark, d):
+    return signals(spark, d).select("id", F.array_join(F.array_sort(X.entities(F.col("title"))), ",").alias("entities"))
+
+
+@query("f12_jaccard", """with w as (select p_partkey, list_distinct(string_split(lower(p_name), ' ')) as a from part)
+select x.p_partkey, len(list_intersect(x.a, y.a)) / len(list_distinct(list_concat(x.a, y.a))) as jaccard from w x join w y on y.p_partkey = x.p_partkey + 1""")
+def f12(spark, d):
+    w = table(spark, d, "part").select("p_partkey", F.split(F.lower("p_name"), " ").alias("a"))
+    y = w.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("a").alias("b"))
+    return w.join(y, "p_partkey").select("p_partkey", X.jaccard(F.col("a"), F.col("b")).alias("jaccard"))
+
+
+NORM = f"""array_to_string(list_filter(regexp_split_to_array(trim(regexp_replace(regexp_replace(regexp_replace(lower(trim(title)), {q(X.DATES)}, '', 'g'), '\\d+', '', 'g'), '[^\\w\\s]', ' ', 'g')), '\\s+'), lambda w: w not in {listed(X.STOP)} and length(w) > 2), ' ')"""
+
+
+@query("f13_normalize_title", sql(f"select id, {NORM} as normal, substr(sha256({NORM}), 1, 32) as hash from sig"))
+def f13(spark, d):
+    return signals(spark, d).select("id", X.normalize_title(F.col("title")).alias("normal"), X.title_hash(F.col("title")).alias("hash"))
+
+
+@query("f15_event_id", sql("select trend_id, substr(sha256(string_agg(id::varchar, '|' order by id::varchar)), 1, 16) as event_id from sig group by trend_id"))
+def f15(spark, d):
+    return signals(spark, d).groupBy("trend_id").agg(F.substring(F.sha2(F.array_join(F.sort_array(F.collect_list(F.col("id").cast("string"))), "|"), 256), 1, 16).alias("event_id"))
+
+
+@query("f17_content_class", sql(f"select id, {CLASS} as class from sig"))
+def f17(spark, d):
+    return signals(spark, d).select("id", X.content_class(F.col("title"), F.col("source")).alias("class"))
+
+
+@query("f18_demand_signs", sql(f"select id, len({shown(X.DEMAND)})::int as n, array_to_string({shown(X.DEMAND)}, ' ') as signs from sig"))
+def f18(spark, d):
+    s = X.signs(F.col("title"), X.DEMAND)
+    return signals(spark, d).select("id", F.size(s).alias("n"), F.array_join(s, " ").alias("signs"))
+
+
+@query("f19_negative_signs", sql(f"select id, len({shown(X.NEGATIVE)})::int as n, array_to_string({shown(X.NEGATIVE)}, ' ') as signs from sig"))
+def f19(spark, d):
+    s = X.signs(F.col("title"), X.NEGATIVE)
+    return signals(spark, d).select("id", F.size(s).alias("n"), F.array_join(s, " ").alias("signs"))
+
+
+@query("f20_pattern_count", sql("select trend_id, sum(len(regexp_extract_all(title, '(?i)\\b(?:alternative|better|vs)\\b')))::bigint as n from sig group by trend_id"))
+def f20(spark, d):
+    return signals(spark, d).groupBy("trend_id").agg(F.sum(F.regexp_count("title", F.lit(r"(?i)\b(?:alternative|better|vs)\b"))).cast("long").alias("n"))
+
+
+@query("f25_keyword_category", """select p_partkey, case when a >= b and a >= c and a > 0 then 'metal' when b >= c and b > 0 then 'finish' when c > 0 then 'size' else 'none' end as category from (select p_partkey,
+  (contains(lower(p_type), 'steel'))::int + (contains(lower(p_type), 'brass'))::int + (contains(lower(p_type), 'copper'))::int as a,
+  (contains(lower(p_type), 'polished'))::int + (contains(lower(p_type), 'plated'))::int as b, (contains(lower(p_type), 'small'))::int + (contains(lower(p_type), 'large'))::int as c from part)""")
+def f25(spark, d):
+    maps = {"metal": ["steel", "brass", "copper"], "finish": ["polished", "plated"], "size": ["small", "large"]}
+    t = F.lower("p_type")
+    scored = F.array(*[F.struct(sum((t.contains(k).cast("int") for k in ks), F.lit(0)).alias("n"), F.lit(-i).alias("o"), F.lit(c).alias("c")) for i, (c, ks) in enumerate(maps.items())])
+    best = F.array_max(scored)
+    return table(spark, d, "part").select("p_partkey", F.when(best["n"] > 0, best["c"]).otherwise("none").alias("category"))
+
+
+@query("f33_intent", "select conv_id, turn, case when regexp_matches(text, '(?i)\\b(?:compare|versus)\\b') then 'compare' when regexp_matches(text, '(?i)\\b(?:why|warum|pourquoi)\\b') then 'explain' when text like '%?%' then 'question' when length(text) < 40 then 'short' else 'other' end as intent from conversations")
+def f33(spark, d):
+    t = F.col("text")
+    i = F.when(t.rlike(r"(?i)\b(?:compare|versus)\b"), "compare").when(t.rlike(r"(?i)\b(?:why|warum|pourquoi)\b"), "explain").when(t.contains("?"), "question").when(F.length(t) < 40, "short").otherwise("other")
+    return table(spark, d, "conversations").select("conv_id", "turn", i.alias("intent"))
+
+
+@query("f34_grounding", r"""with a as (select conv_id, turn, lag(text) over (partition by conv_id order by turn) as context, text from conversations),
+w as (select conv_id, turn, context, list_distinct(list_filter(string_split(lower(text), ' '), lambda x: length(x) >= 4)) as ws from a where context is not null)
+select conv_id, turn, len(list_filter(ws, lambda x: contains(lower(context), x)))::int as hits, len(ws)::int as n from w""")
+def f34(spark, d):
+    from pyspark.sql import Window as W
+
+    t = table(spark, d, "conversations").withColumn("context", F.lag("text").over(W.partitionBy("conv_id").orderBy("turn"))).filter("context is not null")
+    t = t.withColumn("ws", F.array_distinct(F.filter(F.split(F.lower("text"), " "), lambda x: F.length(x) >= 4)))
+    return t.select("conv_id", "turn", F.size(F.filter("ws", lambda x: F.contains(F.lower("context"), x))).alias("hits"), F.size("ws").alias("n"))
+
+
+@query("f37_rule_text", sql("select trend_id, count(*) || ' signals from ' || count(distinct source) || ' sources' || case when count_if(source = 'purchase') > 0 then ', with demand' else '' end as summary from sig group by trend_id"))
+def f37(spark, d):
+    return signals(spark, d).groupBy("trend_id").agg(F.concat(F.format_string("%d signals from %d sources", F.count(F.lit(1)), F.count_distinct("source")), F.when(F.count_if(F.col("source") == "purchase") > 0, ", with demand").otherwise("")).alias("summary"))
+
+
+@query("f39_template", "select p_partkey, replace(replace('Try {name} by {brand}', '{name}', p_name), '{brand}', p_brand) as line from part")
+def f39(spark, d):
+    return table(spark, d, "part").select("p_partkey", F.replace(F.replace(F.lit("Try {name} by {brand}"), F.lit("{name}"), F.col("p_name")), F.lit("{brand}"), F.col("p_brand")).alias("line"))
+
+
+ENG = "case when source = 'signup' then 1.0 else score + case source when 'click' then 0.5 when 'view' then 0.3 when 'purchase' then 0.0 else 1.0 end * comments end"
+
+
+@query("m01_engagement", sql(f"select id, round({ENG}, 6)::double as engagement from sig"))
+def m01(spark, d):
+    return signals(spark, d).select("id", F.round(S.engagement(F.col("source"), F.col("score"), F.col("comments")), 6).alias("engagement"))
+
+
+@query("m03_time_decay", sql("select id, round(0.5 ** (floor(date_diff('second', created_at, timestamp '2024-01-31') / 86400) / 7), 6) as whole from sig"))
+def m03(spark, d):
+    age = F.expr("timestampdiff(SECOND, created_at, timestamp_ntz'2024-01-31 00:00:00')") / 86400
+    return signals(spark, d).select("id", F.round(S.decay(age), 6).alias("whole"))
+
+
+@query("m05_source_diversity", sql("""select trend_id, round((0.7 * least(1, (count(distinct source) - 1) / 6) + 0.3 * least(1, coalesce(stddev_samp(k), 0) / 7)) * (1 - case when max(c) / count(*) > 0.9 then 0.3 when max(c) / count(*) > 0.7 then 0.1 else 0 end), 6) as diversity
+  from (select *, created_at::date - date '2024-01-01' as k, count(*) over (partition by trend_id, source) as c from sig) group by trend_id"""))
+def m05(spark, d):
+    s = signals(spark, d).groupBy("trend_id", "source", F.date_diff(F.to_date("created_at"), F.lit("2024-01-01").cast("date")).alias("k")).agg(F.count(F.lit(1)).alias("c"))
+    one = s.groupBy("trend_id", "source").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("k")).alias("k1"), F.sum(F.col("c") * F.col("k") * F.col("k")).alias("k2"))
+    t = one.groupBy("trend_id").agg(F.count(F.lit(1)).alias("kinds"), F.sum("c").alias("n"), F.max("c").alias("top"), F.sum("k1").alias("k1"), F.sum("k2").alias("k2"))
+    n = F.col("n")
+    spread = F.when(n > 1, F.sqrt(F.greatest(F.lit(0.0), (F.col("k2") - F.col("k1") * F.col("k1") / n) / (n - 1)))).otherwise(0.0)
+    return t.select("trend_id", F.round(S.diversity(F.col("kinds"), spread, F.col("top") / n), 6).alias("diversity"))
+
+
+@query("m09_event_weight", sql("select trend_id, round(max(cents) * ln(1 + count(*)) * (0.5 + 0.5 * count(distinct source) / count(*)), 4) as weight from sig group by trend_id"))
+def m09(spark, d):
+    n = F.count(F.lit(1))
+    return signals(spark, d).groupBy("trend_id").agg(F.round(S.event_weight(F.max("cents"), n, F.count_distinct("source")), 4).alias("weight"))
+
+
+@query("m10_centroids", "select label, i::int as i, round(avg(x), 6) as c from (select label, unnest(embedding)::double as x, generate_subscripts(embedding, 1) - 1 as i from embeddings) group by label, i")
+def m10(spark, d):
+    e = table(spark, d, "embeddings").select("label", F.posexplode("embedding").alias("i", "x"))
+    return e.groupBy("label", "i").agg(F.round(F.avg(F.col("x").cast("double")), 6).alias("c"))
+
+
+@query("m13_inclusive_span", sql("select trend_id, floor(date_diff('second', min(created_at), max(created_at)) / 86400)::bigint + 1 as days from sig group by trend_id"))
+def m13(spark, d):
+    return signals(spark, d).groupBy("trend_id").agg(F.min("created_at").alias("a"), F.max("created_at").alias("b")).select("trend_id", (F.floor(F.expr("timestampdiff(SECOND, a, b)") / 86400) + 1).alias("days"))
+
+
+@query("m14_rounding", sql("select id, floor(comments / 2 + 0.5)::bigint as half_up, (case when comments % 4 = 1 then (comments - 1) // 2 when comments % 4 = 3 then (comments + 1) // 2 else comments // 2 end)::bigint as half_even from sig"))
+def m14(spark, d):
+    x = F.col("comments") / 2
+    return signals(spark, d).select("id", S.half_up(x).alias("half_up"), F.bround(x, 0).cast("long").alias("half_even"))
+
+
+@query("m16_bucket", "select c_custkey, (('0x' || substr(sha256(c_custkey::varchar || 'exp'), 1, 8))::bigint % 3)::int as variant from customer")
+def m16(spark, d):
+    return table(spark, d, "customer").select("c_custkey", X.bucket(F.concat(F.col("c_custkey").cast("string"), F.lit("exp")), 3).alias("variant"))
+
+
+@query("m18_array_ends", sql("select trend_id, array_to_string(list(n order by day)[-3:], ',') as last3, list(n order by day)[-1] as newest from items group by trend_id"))
+def m18(spark, d):
+    t = items(spark, d).groupBy("trend_id").agg(F.array_sort(F.collect_list(F.struct("day", "n"))).alias("a"))
+    tail = F.slice("a", -F.least(F.size("a"), F.lit(3)), F.lit(3))
+    return t.select("trend_id", F.array_join(F.transform(tail, lambda x: x["n"].cast("string")), ",").alias("last3"), F.element_at("a", -1)["n"].alias("newest"))
