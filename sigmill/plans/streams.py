@@ -1 +1,23 @@
-"""To come."""
+"""Structured Streaming queries, run over the input that is there."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from sigmill.registry import query
+from sigmill.streaming import signals as R
+
+
+@query("st1_change_feed", "select event_type, count(*) as n from events group by event_type")
+def st1(spark, d):
+    return R.finished(R.event_stream(spark, d).groupBy("event_type").agg(F.count(F.lit(1)).alias("n")), "complete")
+
+
+@query("st2_daily_window", "select strftime(ts, '%Y-%m-%d') as day, event_type, count(*) as n from events group by 1, 2")
+def st2(spark, d):
+    return R.finished(R.daily_counts(R.event_stream(spark, d)), "complete")
+
+
+@query("st3_rolling_window", """select strftime(e, '%Y-%m-%d') as day, count(*) as n from (select ts, unnest(generate_series(date_trunc('day', ts) + interval 1 day, date_trunc('day', ts) + interval 14 day, interval 1 day)) as e from events) group by 1""")
+def st3(spark, d):
+    return R.finished(R.rolling_counts(R.event_stream(spark, d)), "complete")
