@@ -62,11 +62,13 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     table; lines without a word are never compared and stay. Documents with fewer
     than three worded lines stay whole, null texts stay null. Rows that repeat both
     doc_id and text are one document and end alike. An empty table stays empty.
-    Columns named n_lines or n_removed are replaced.
+    Columns named n_lines or n_removed are replaced. The lines to drop are always
+    dealt out with the texts, never sent whole to every executor: their count grows
+    with the table, and so the plan is the same for every size.
     """
     names = docs.columns
     gone = written(repeated_lines(docs, key, text), "line-gone")
-    both = docs.withColumn("_part", F.xxhash64(text)).join(gone, F.col(key).eqNullSafe(F.col("doc")) & (F.col("_part") == F.col("part")), "left")
+    both = docs.withColumn("_part", F.xxhash64(text)).join(gone.hint("merge"), F.col(key).eqNullSafe(F.col("doc")) & (F.col("_part") == F.col("part")), "left")
     both = both.withColumn("_lines", _lines(text))
     left = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("gone"))
     rest = F.array_join(F.transform(left, lambda j: F.element_at("_lines", j + 1)), "\n")
