@@ -55,16 +55,11 @@ def dup_lines(body: Column) -> Column:
     return (F.size(lines) - F.size(F.array_distinct(lines))).cast("long")
 
 
-def window_hashes_of(body: Column, width: int = 8) -> Column:
-    """As ``window_hashes``, in one expression: an array of one holds the hashes while it is walked."""
-    held = F.array(F.transform(words_of(body), lambda w: F.xxhash64(w)))
-    return F.element_at(F.transform(held, lambda h: window_hashes(h, width)), 1)
-
-
 def window_hashes(hashes: Column | str, width: int = 8) -> Column:
-    """One hash for each window of ``width`` words, from the words' hashes."""
-    last = F.size(hashes) - width + 1
-    return F.when(last >= 1, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.xxhash64(F.slice(hashes, i, width)))).otherwise(F.array().cast("array<bigint>"))
+    """One hash for each window of ``width`` words, from the words' hashes, read by place."""
+    last = F.size(hashes) - width
+    one = lambda i: F.xxhash64(*[F.get(hashes, i + k if k else i) for k in range(width)])
+    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), one)).otherwise(F.array().cast("array<bigint>"))
 
 
 def covered_words(runs: Column | str, width: int = 8) -> Column:
@@ -86,10 +81,11 @@ def covered_words(runs: Column | str, width: int = 8) -> Column:
 
 @dataclass(frozen=True)
 class Rule:
-    """``fails`` is true where the rule rejects a document."""
+    """``fails`` is true where the rule rejects a document; ``steps`` are columns that it needs first."""
 
     name: str
     fails: Column
+    steps: tuple[dict[str, Column], ...] = ()
 
 
 def base_failed() -> Column:
@@ -112,18 +108,29 @@ def lean_rules(text: str = "text") -> list[Rule]:
     """The same rules over the text itself, each with nothing but what it needs."""
     body = text_of(text)
     n = word_count(body)
-    runs = window_hashes_of(body)
-    repeats = F.when(F.size(runs) > F.size(F.array_distinct(runs)), covered_words(runs)).otherwise(0)
+    steps = (
+        {"_rule_hashes": F.transform(words_of(body), lambda w: F.xxhash64(w))},
+        {"_rule_runs": window_hashes("_rule_hashes")},
+        # the row number keeps Spark from moving the filter below the steps, which would hash the words once for each mention
+        {"_rule_twice": F.size("_rule_runs") > F.size(F.array_distinct("_rule_runs")), "_rule_row": F.monotonically_increasing_id()},
+    )
+    repeats = F.when(F.col("_rule_twice"), covered_words("_rule_runs")).otherwise(0)
     chars = F.length(F.regexp_replace(body, rf"[{SPACE}]+", ""))
     return [
         Rule("few_words", n < 20),
-        Rule("repeated_words", 100 * repeats > 30 * n),
+        Rule("repeated_words", (100 * repeats > 30 * n) & (F.col("_rule_row") >= 0), steps),
         Rule("symbols", 5 * symbol_count(body) > n),
         Rule("dup_lines", (dup_lines(body) >= 3) & (dup_lines(body) * 20 > n)),
         Rule("word_length", (chars < 2 * n) | (chars > 15 * n)),
     ]
 
 
+def stepped(df: DataFrame, steps: Sequence[dict[str, Column]]) -> DataFrame:
+    for columns in steps:
+        df = df.withColumns(columns)
+    return df
+
+
 def ordered(rules: Sequence[Rule], docs: DataFrame, sample_rows: int = 1000) -> list[Rule]:
     """Rules by rejection per cost, highest first, as ``sample_rows`` rows show them.
 
@@ -132,20 +139,20 @@ def ordered(rules: Sequence[Rule], docs: DataFrame, sample_rows: int = 1000) ->
     """
     sample = written(docs.limit(sample_rows).coalesce(1), "rule-sample")
 
-    def seconds(measure: Column) -> tuple[float, int, int]:
+    def seconds(measure: Column, steps: tuple[dict[str, Column], ...]) -> tuple[float, int, int]:
         began = time.perf_counter()
-        n, hit = sample.agg(F.count(F.lit(1)), F.sum(measure.cast("long"))).first()
+        n, hit = stepped(sample, steps).agg(F.count(F.lit(1)), F.sum(measure.cast("long"))).first()
         return time.perf_counter() - began, n, hit or 0
 
-    def best(measure: Column) -> tuple[float, float]:
-        tries = [seconds(measure) for _ in range(2)]
+    def best(measure: Column, steps: tuple[dict[str, Column], ...] = ()) -> tuple[float, float]:
+        tries = [seconds(measure, steps) for _ in range(2)]
         return min(t[0] for t in tries), tries[0][2] / max(tries[0][1], 1)
 
     best(F.lit(True))
     floor = best(F.lit(True))[0]
     worth = {}
     for r in rules:
-        cost, rejected = best(F.coalesce(r.fails, F.lit(False)))
+        cost, rejected = best(F.coalesce(r.fails, F.lit(False)), r.steps)
         worth[r.name] = rejected / max(cost - floor, 1e-3)
     return sorted(rules, key=lambda r: -worth[r.name])
 
@@ -177,8 +184,9 @@ def keep_good(docs: DataFrame, text: str = "text", sample_rows: int = 1000) -> D
     Each rule is a filter of its own over the text, in the sample's order, so that
     documents which a cheap rule rejects never reach a dear one.
     """
+    names = docs.columns
     for r in ordered(lean_rules(text), docs.select(text), sample_rows):
-        docs = docs.filter(~r.fails)
+        docs = stepped(docs, r.steps).filter(~r.fails).select(*names)
     return docs
 
 
