@@ -9,7 +9,11 @@ from sigmill.operators import aggregates as A
 from sigmill.registry import query
 from sigmill.sources.tables import items, signals, sql, table
 
-N = F.count(F.lit(1))
+
+def N():  # noqa: N802
+    """Count of the rows of a group."""
+    return F.count(F.lit(1))
+
 #: Predictions: confidence in thousandths from a document's length, outcome from its label.
 PRED = "pred as (select d.doc_id, (d.n_chars % 1001) / 1000.0::double as c, l.quality = 1 as actual from documents d join labels l using (doc_id))"
 
@@ -21,23 +25,23 @@ def predictions(spark, d):
 
 @query("a01_group_count", sql("select source, title, count(*) as n from sig group by 1, 2"))
 def a01(spark, d):
-    return signals(spark, d).groupBy("source", "title").agg(N.alias("n"))
+    return signals(spark, d).groupBy("source", "title").agg(N().alias("n"))
 
 
 @query("a02_exploded_histogram", "select word, count(*) as n from (select unnest(string_split(lower(p_name), ' ')) as word from part) group by word")
 def a02(spark, d):
-    return table(spark, d, "part").select(F.explode(F.split(F.lower("p_name"), " ")).alias("word")).groupBy("word").agg(N.alias("n"))
+    return table(spark, d, "part").select(F.explode(F.split(F.lower("p_name"), " ")).alias("word")).groupBy("word").agg(N().alias("n"))
 
 
 @query("a03_conditional_counts", sql("select source, count_if(comments > 50) as passed, count_if(comments <= 50) as failed, count(*) as total, count_if(comments > 50) / count(*) as pass_rate from sig group by source"))
 def a03(spark, d):
     ok = F.count_if(F.col("comments") > 50)
-    return signals(spark, d).groupBy("source").agg(ok.alias("passed"), F.count_if(F.col("comments") <= 50).alias("failed"), N.alias("total"), (ok / N).alias("pass_rate"))
+    return signals(spark, d).groupBy("source").agg(ok.alias("passed"), F.count_if(F.col("comments") <= 50).alias("failed"), N().alias("total"), (ok / N()).alias("pass_rate"))
 
 
 @query("a04_moments", sql("select day::varchar as day, sum(n)::bigint as total, min(n) as least, max(n) as most, round(stddev_pop(n), 6) as std, sum(n) / count(*) as mean from items group by items.day"))
 def a04(spark, d):
-    return items(spark, d).groupBy(F.col("day").cast("string").alias("day")).agg(F.sum("n").alias("total"), F.min("n").alias("least"), F.max("n").alias("most"), F.round(F.stddev_pop("n"), 6).alias("std"), (F.sum("n") / N).alias("mean"))
+    return items(spark, d).groupBy(F.col("day").cast("string").alias("day")).agg(F.sum("n").alias("total"), F.min("n").alias("least"), F.max("n").alias("most"), F.round(F.stddev_pop("n"), 6).alias("std"), (F.sum("n") / N()).alias("mean"))
 
 
 @query("a05_sample_std", sql("select trend_id, round(coalesce(stddev_samp(n), 0), 6) as std from items group by trend_id"))
@@ -81,7 +85,7 @@ def a10(spark, d):
 @query("a11_top3_mean", sql("select trend_id, list_sum(list_sort(list(cents), 'desc')[1:3]) / least(count(*), 3) as top3 from sig group by trend_id"))
 def a11(spark, d):
     s = signals(spark, d).withColumn("r", F.row_number().over(W.partitionBy("trend_id").orderBy(F.desc("cents")))).filter("r <= 3")
-    return s.groupBy("trend_id").agg((F.sum("cents") / N).alias("top3"))
+    return s.groupBy("trend_id").agg((F.sum("cents") / N()).alias("top3"))
 
 
 @query("a12_harmonic_discount", sql("select trend_id, round(avg(x), 4) as weight from (select trend_id, cents / row_number() over (partition by trend_id, source order by cents desc, id) as x from sig) group by trend_id"))
@@ -118,7 +122,7 @@ def a17(spark, d):
 
 @query("a18_mode", sql("select trend_id, arg_max(source, n * 10 - list_position(['click', 'error', 'purchase', 'signup', 'view'], source)) as mode from (select trend_id, source, count(*) as n from sig group by 1, 2) group by trend_id"))
 def a18(spark, d):
-    c = signals(spark, d).groupBy("trend_id", "source").agg(N.alias("n"))
+    c = signals(spark, d).groupBy("trend_id", "source").agg(N().alias("n"))
     return c.groupBy("trend_id").agg(F.min_by("source", F.struct(-F.col("n"), "source")).alias("mode"))
 
 
@@ -155,7 +159,7 @@ def a23(spark, d):
 def outcomes(spark, d):
     o = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderstatus").alias("s"))
     start, done = F.count_if(F.col("s") != "P"), F.count_if(F.col("s") == "F")
-    return table(spark, d, "lineitem").join(o, "l_orderkey").groupBy("l_partkey").agg(N.alias("views"), start.alias("starts"), done.alias("completions"), (start / N).alias("start_rate"), A.rate(done, start).alias("completion_rate"))
+    return table(spark, d, "lineitem").join(o, "l_orderkey").groupBy("l_partkey").agg(N().alias("views"), start.alias("starts"), done.alias("completions"), (start / N()).alias("start_rate"), A.rate(done, start).alias("completion_rate"))
 
 
 @query("a24_two_level_rollup", """with o as (select l_partkey, count_if(o_orderstatus <> 'P') as starts, count_if(o_orderstatus = 'F') as completions from lineitem join orders on o_orderkey = l_orderkey group by 1)
@@ -169,7 +173,7 @@ def a24(spark, d):
 @query("a25_variant_summary", "select conv_id % 2 as variant, count(*) as n, sum(coalesce(case when turn % 3 > 0 then length(text) end, 0)) / count(*) as mean from conversations group by 1")
 def a25(spark, d):
     c = F.when(F.col("turn") % 3 > 0, F.length("text"))
-    return table(spark, d, "conversations").groupBy((F.col("conv_id") % 2).alias("variant")).agg(N.alias("n"), (F.sum(F.coalesce(c, F.lit(0))) / N).alias("mean"))
+    return table(spark, d, "conversations").groupBy((F.col("conv_id") % 2).alias("variant")).agg(N().alias("n"), (F.sum(F.coalesce(c, F.lit(0))) / N()).alias("mean"))
 
 
 @query("a26_bucketed_histogram", f"with {PRED} select count_if(c >= 0.8) as high, count_if(c >= 0.5 and c < 0.8) as medium, count_if(c < 0.5) as low from pred")
@@ -187,12 +191,12 @@ def a27(spark, d):
 @query("a28_alert_digest", sql("select source as kind, case when comments >= 90 then 'urgent' when comments >= 60 then 'high' else 'normal' end as priority, count(*) as n, count_if(id % 4 <> 0) as unseen, max(id) as newest from sig group by 1, 2"))
 def a28(spark, d):
     p = F.when(F.col("comments") >= 90, "urgent").when(F.col("comments") >= 60, "high").otherwise("normal")
-    return signals(spark, d).groupBy(F.col("source").alias("kind"), p.alias("priority")).agg(N.alias("n"), F.count_if(F.col("id") % 4 != 0).alias("unseen"), F.max("id").alias("newest"))
+    return signals(spark, d).groupBy(F.col("source").alias("kind"), p.alias("priority")).agg(N().alias("n"), F.count_if(F.col("id") % 4 != 0).alias("unseen"), F.max("id").alias("newest"))
 
 
 @query("a30_false_positives", "select l_partkey, count(*) as votes, count_if(l_returnflag = 'R') / count(*) as dismiss_rate from lineitem group by 1 having (count(*) >= 3 and count_if(l_returnflag = 'R') / count(*) >= 0.7) or (count(*) >= 2 and count_if(l_returnflag = 'N') = 0)")
 def a30(spark, d):
-    t = table(spark, d, "lineitem").groupBy("l_partkey").agg(N.alias("votes"), (F.count_if(F.col("l_returnflag") == "R") / N).alias("dismiss_rate"), F.count_if(F.col("l_returnflag") == "N").alias("kept"))
+    t = table(spark, d, "lineitem").groupBy("l_partkey").agg(N().alias("votes"), (F.count_if(F.col("l_returnflag") == "R") / N()).alias("dismiss_rate"), F.count_if(F.col("l_returnflag") == "N").alias("kept"))
     return t.filter("(votes >= 3 and dismiss_rate >= 0.7) or (votes >= 2 and kept = 0)").drop("kept")
 
 
@@ -209,13 +213,13 @@ def a32(spark, d):
 @query("a33_outcome_stats", "select o_custkey, count_if(o_orderstatus = 'F') as completed, count_if(o_orderstatus = 'O') as started, count_if(o_orderstatus = 'P') as abandoned, floor(100 * count_if(o_orderstatus = 'F') / count(*) + 0.5)::bigint as percent from orders group by 1")
 def a33(spark, d):
     of = lambda s: F.count_if(F.col("o_orderstatus") == s)
-    return table(spark, d, "orders").groupBy("o_custkey").agg(of("F").alias("completed"), of("O").alias("started"), of("P").alias("abandoned"), F.floor(100 * of("F") / N + 0.5).alias("percent"))
+    return table(spark, d, "orders").groupBy("o_custkey").agg(of("F").alias("completed"), of("O").alias("started"), of("P").alias("abandoned"), F.floor(100 * of("F") / N() + 0.5).alias("percent"))
 
 
 @query("a34_weighted_score_mean", sql("select trend_id, round(sum(least(cents / 20000, 1) * 0.5 ** (date_diff('day', created_at::date, date '2024-01-31') / 7)) / count(*), 6) as momentum from sig group by trend_id"))
 def a34(spark, d):
     age = F.date_diff(F.lit("2024-01-31").cast("date"), F.to_date("created_at"))
-    return signals(spark, d).groupBy("trend_id").agg(F.round(F.sum(F.least(F.col("cents") / 20000, F.lit(1)) * F.pow(F.lit(0.5), age / 7)) / N, 6).alias("momentum"))
+    return signals(spark, d).groupBy("trend_id").agg(F.round(F.sum(F.least(F.col("cents") / 20000, F.lit(1)) * F.pow(F.lit(0.5), age / 7)) / N(), 6).alias("momentum"))
 
 
 @query("a35_distinct_pairs", sql("select count(distinct (trend_id, source)) as n from sig"))
@@ -225,5 +229,5 @@ def a35(spark, d):
 
 @query("a36_source_share", sql("select source, count(*) as n, floor(100 * count(*) / sum(count(*)) over () + 0.5)::bigint as percent from sig group by source"))
 def a36(spark, d):
-    c = signals(spark, d).groupBy("source").agg(N.alias("n"))
+    c = signals(spark, d).groupBy("source").agg(N().alias("n"))
     return c.withColumn("percent", F.floor(100 * F.col("n") / F.sum("n").over(W.partitionBy()) + 0.5))

@@ -14,7 +14,11 @@ from sigmill.plans.windows import LIFE, D
 from sigmill.registry import query
 from sigmill.sources.tables import items, signals, sql, table
 
-N = F.count(F.lit(1))
+
+def N():  # noqa: N802
+    """Count of the rows of a group."""
+    return F.count(F.lit(1))
+
 
 
 @query("d00_trend_momentum", sql("""select t.trend_id, round(0.5 * e + 0.3 * s + 0.2 * dd * dd, 6) as momentum, signals from (select trend_id, count(*) as signals, sum(least(cents / p90, 1) * 0.5 ** (date_diff('day', created_at::date, date '2024-01-31') / 7)) / count(*) as e,
@@ -29,8 +33,8 @@ def d00(spark, d):
     age = F.date_diff(F.lit("2024-01-31").cast("date"), F.to_date("created_at"))
     x = F.least(F.col("cents") / F.col("p90"), F.lit(1)) * S.decay(age)
     kinds = F.least(F.lit(1.0), (F.count_distinct("source") - 1) / 6)
-    demand = F.count_if(F.col("source").isin("purchase", "signup")) / N
-    t = s.join(p, "source").groupBy("trend_id").agg(N.alias("signals"), (F.sum(x) / N).alias("e"), kinds.alias("s"), demand.alias("dd"))
+    demand = F.count_if(F.col("source").isin("purchase", "signup")) / N()
+    t = s.join(p, "source").groupBy("trend_id").agg(N().alias("signals"), (F.sum(x) / N()).alias("e"), kinds.alias("s"), demand.alias("dd"))
     t = t.select("trend_id", F.round(S.momentum(F.col("e"), F.col("s"), F.col("dd")), 6).alias("momentum"), "signals")
     return rows.top_k(t, 30, F.desc("momentum"), F.asc("trend_id"))
 
@@ -86,14 +90,14 @@ def d06(spark, d):
 
     e = table(spark, d, "embeddings")
     t = e.join(dedup.centroids(e, "label", "embedding"), "label").withColumn("x", 1 - cosine(F.col("embedding"), F.col("centroid")))
-    return t.groupBy("label").agg(N.alias("n"), F.count_if(F.col("x") <= 0.3).alias("strong"), F.round(F.avg("x"), 6).alias("distance"))
+    return t.groupBy("label").agg(N().alias("n"), F.count_if(F.col("x") <= 0.3).alias("strong"), F.round(F.avg("x"), 6).alias("distance"))
 
 
 @query("d07_garbage_filter", sql(f"""select trend_id, count_if(c in ('career_advice', 'social_commentary', 'personal_story', 'opinion', 'ask_hn')) / count(*) as off_topic, count_if(c in ('product', 'show_hn', 'technical')) = 0 as no_product,
   count_if(c in ('career_advice', 'social_commentary', 'personal_story', 'opinion', 'ask_hn')) / count(*) > 0.6 or count_if(c in ('product', 'show_hn', 'technical')) = 0 as garbage from (select trend_id, {CLASS} as c from sig) group by trend_id"""))
 def d07(spark, d):
     c = F.col("c")
-    off = F.count_if(c.isin("career_advice", "social_commentary", "personal_story", "opinion", "ask_hn")) / N
+    off = F.count_if(c.isin("career_advice", "social_commentary", "personal_story", "opinion", "ask_hn")) / N()
     none = F.count_if(c.isin("product", "show_hn", "technical")) == 0
     return signals(spark, d).select("trend_id", X.content_class(F.col("title"), F.col("source")).alias("c")).groupBy("trend_id").agg(off.alias("off_topic"), none.alias("no_product"), ((off > 0.6) | none).alias("garbage"))
 
@@ -137,7 +141,7 @@ def d17(spark, d):
     from sigmill.operators.aggregates import gini
 
     s = signals(spark, d)
-    t = s.groupBy("trend_id").agg(N.alias("n"), F.count_distinct("source").alias("k"), F.count_if(F.col("title").contains("alternative")).alias("alt")).join(gini(s, ["trend_id"], "comments"), "trend_id")
+    t = s.groupBy("trend_id").agg(N().alias("n"), F.count_distinct("source").alias("k"), F.count_if(F.col("title").contains("alternative")).alias("alt")).join(gini(s, ["trend_id"], "comments"), "trend_id")
     n = F.col("n")
     density = F.when(n >= 5, 0.6 * F.least(n / 30, F.lit(1)) + 0.4 * (1 - F.col("gini")))
     intent = F.when(F.col("alt") > 0, F.least(F.col("alt") / n / 0.3, F.lit(1)))
@@ -150,7 +154,7 @@ def d17(spark, d):
 def d24(spark, d):
     t = O.lifecycle(items(spark, d))
     c = S.will_qualify(F.col("momentum"), F.col("n"), F.col("stage"), F.col("n_sources") / 5, F.lit(0.5))
-    return t.select("trend_id", D, F.round(c, 6).alias("confidence"))
+    return t.select("trend_id", D(), F.round(c, 6).alias("confidence"))
 
 
 @query("d25_calibrated_prediction", f"""with {PRED}, b as (select least(floor(c * 10), 9) as bin, avg(actual::int) / ((least(floor(c * 10), 9) * 2 + 1) / 20) as m from pred group by least(floor(c * 10), 9) having count(*) >= 5)
@@ -172,7 +176,7 @@ def d27(spark, d):
     x = x + F.when(k >= 4, 0.15).when(k >= 2, 0.08).otherwise(0.0) + F.when(r > 0.3, 0.15).when(r > 0.1, 0.08).otherwise(0.0)
     x = x + F.when(F.col("stage").isin("emerging", "rising"), 0.1).when(F.col("stage") == "peaking", 0.05).when(F.col("stage").isin("declining", "fading"), -0.1).otherwise(0.0)
     x = x + F.when(F.col("momentum") > 0.7, 0.1).otherwise(0.0)
-    return O.lifecycle(items(spark, d)).select("trend_id", D, F.round(S.clamp(x, 0, 1), 4).alias("probability"))
+    return O.lifecycle(items(spark, d)).select("trend_id", D(), F.round(S.clamp(x, 0, 1), 4).alias("probability"))
 
 
 @query("d28_alerts", sql("""select trend_id, day::varchar as day, kind from (select trend_id, day, unnest(list_filter([case when stage = 'rising' and ps is distinct from 'rising' then 'entered_rising' end, case when conf - pc >= 0.15 then 'confidence_upgraded' end,
@@ -188,28 +192,28 @@ def d28(spark, d):
         F.when(s.isin("declining", "fading") & p.isin("rising", "peaking"), "expiry_risk"),
         F.when(p != s, "stage_transition"),
     ]
-    return t.select("trend_id", D, F.explode(F.array_compact(F.array(*kinds))).alias("kind"))
+    return t.select("trend_id", D(), F.explode(F.array_compact(F.array(*kinds))).alias("kind"))
 
 
 @query("d45_novelty_by_title", sql("select title, count(*) as seen, round(greatest(0.05, 1 / (1.5 * count(*))), 8)::double as novelty from sig group by title"))
 def d45(spark, d):
-    return signals(spark, d).groupBy("title").agg(N.alias("seen"), F.round(F.greatest(F.lit(0.05), 1 / (1.5 * N)), 8).alias("novelty"))
+    return signals(spark, d).groupBy("title").agg(N().alias("seen"), F.round(F.greatest(F.lit(0.05), 1 / (1.5 * N())), 8).alias("novelty"))
 
 
 @query("d46_negative_ratio", sql(f"select trend_id, count_if(len({shown(X.NEGATIVE)}) > 0) / count(*) as ratio, case when count_if(len({shown(X.NEGATIVE)}) > 0) / count(*) >= 0.4 then 'negative' when count_if(len({shown(X.NEGATIVE)}) > 0) / count(*) >= 0.15 then 'mixed' else 'neutral' end as label from sig group by trend_id"))
 def d46(spark, d):
-    r = F.count_if(F.size(X.signs(F.col("title"), X.NEGATIVE)) > 0) / N
+    r = F.count_if(F.size(X.signs(F.col("title"), X.NEGATIVE)) > 0) / N()
     return signals(spark, d).groupBy("trend_id").agg(r.alias("ratio"), F.when(r >= 0.4, "negative").when(r >= 0.15, "mixed").otherwise("neutral").alias("label"))
 
 
 @query("d53_demand_density", sql("select trend_id, round(avg(comments / 100) * (count_if(comments >= 30) / count(*)), 6) as density from sig group by trend_id"))
 def d53(spark, d):
-    return signals(spark, d).groupBy("trend_id").agg(F.round(F.sum("comments") / N / 100 * (F.count_if(F.col("comments") >= 30) / N), 6).alias("density"))
+    return signals(spark, d).groupBy("trend_id").agg(F.round(F.sum("comments") / N() / 100 * (F.count_if(F.col("comments") >= 30) / N()), 6).alias("density"))
 
 
 @query("d54_quality_label", sql("select trend_id, case when count(distinct source) >= 2 and count(*) >= 3 then 'high' when count(*) >= 2 then 'medium' else 'low' end as quality from sig group by trend_id"))
 def d54(spark, d):
-    return signals(spark, d).groupBy("trend_id").agg(F.when((F.count_distinct("source") >= 2) & (N >= 3), "high").when(N >= 2, "medium").otherwise("low").alias("quality"))
+    return signals(spark, d).groupBy("trend_id").agg(F.when((F.count_distinct("source") >= 2) & (N() >= 3), "high").when(N() >= 2, "medium").otherwise("low").alias("quality"))
 
 
 @query("d63_failing_collectors", sql("""select trend_id, streak from (select trend_id, sum(f) over (partition by trend_id, island order by created_at, id rows unbounded preceding)::bigint as streak, row_number() over (partition by trend_id order by created_at desc, id desc) as k

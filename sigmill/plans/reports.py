@@ -12,7 +12,11 @@ from sigmill.plans.windows import LIFE, D
 from sigmill.registry import query
 from sigmill.sources.tables import items, signals, sql, table
 
-N = F.count(F.lit(1))
+
+def N():  # noqa: N802
+    """Count of the rows of a group."""
+    return F.count(F.lit(1))
+
 
 
 @query("a29_trust_report", sql("""select count(*) as trends, count_if(d >= 2) as persistent, count_if(d >= 2 and p > 0) as qualified, round(count_if(d >= 2 and p > 0) / count(*), 6) as rate,
@@ -21,13 +25,13 @@ def a29(spark, d):
     of = lambda s: F.count_if(F.col("source") == s)
     t = signals(spark, d).groupBy("trend_id").agg(F.count_distinct(F.to_date("created_at")).alias("d"), of("purchase").alias("p"), of("signup").alias("saved"), of("error").alias("dropped"))
     t = t.withColumn("q", (F.col("d") >= 2) & (F.col("p") > 0))
-    return t.agg(N.alias("trends"), F.count_if(F.col("d") >= 2).alias("persistent"), F.count_if(F.col("q")).alias("qualified"), F.round(F.count_if(F.col("q")) / N, 6).alias("rate"), F.sum("saved").alias("saved"), F.sum("dropped").alias("dropped"))
+    return t.agg(N().alias("trends"), F.count_if(F.col("d") >= 2).alias("persistent"), F.count_if(F.col("q")).alias("qualified"), F.round(F.count_if(F.col("q")) / N(), 6).alias("rate"), F.sum("saved").alias("saved"), F.sum("dropped").alias("dropped"))
 
 
 @query("k10_run_log", sql("select day::varchar as day, '{\"signals\":' || sum(n)::bigint || ',\"trends\":' || count(*) || '}' as report from items group by items.day"))
 def k10(spark, d):
-    t = items(spark, d).groupBy("day").agg(F.sum("n").alias("signals"), N.alias("trends"))
-    return t.select(D, F.to_json(F.struct("signals", "trends")).alias("report"))
+    t = items(spark, d).groupBy("day").agg(F.sum("n").alias("signals"), N().alias("trends"))
+    return t.select(D(), F.to_json(F.struct("signals", "trends")).alias("report"))
 
 
 @query("d37_health_checks", sql("""select unnest(['has_signals', 'has_trends', 'momentum_positive', 'demand_share']) as check_name, unnest([s > 0, t > 0, m > 0, dm >= 0.1]) as ok from
@@ -44,7 +48,7 @@ UNSURE = "list_filter([case when n < 3 then 'few_signals' end, case when n_sourc
 @query("d39_uncertainty_factors", sql(f"select trend_id, day::varchar as day, array_to_string({UNSURE}, ',') as factors, len({UNSURE})::int as n_factors from items"))
 def d39(spark, d):
     f = F.array_compact(F.array(F.when(F.col("n") < 3, "few_signals"), F.when(F.col("n_sources") < 2, "one_source"), F.when(F.col("demand") == 0, "no_demand"), F.when(F.col("momentum") < 0.3, "weak")))
-    return items(spark, d).select("trend_id", D, F.array_join(f, ",").alias("factors"), F.size(f).alias("n_factors"))
+    return items(spark, d).select("trend_id", D(), F.array_join(f, ",").alias("factors"), F.size(f).alias("n_factors"))
 
 
 @query("d40_brief_completeness", sql("""select trend_id, (has_demand::int + has_volume::int + has_sources::int + has_top::int) / 4 as completeness, case when (has_demand::int + has_volume::int + has_sources::int + has_top::int) / 4 < 0.5 then 'draft' else 'ready' end as status
@@ -58,7 +62,7 @@ def d40(spark, d):
 @query("d42_watch_list_reasons", sql("""select trend_id, day::varchar as day, array_to_string(list_filter([case when momentum < 0.3 then 'momentum ' || floor(momentum * 100)::int || ' of 30' end, case when demand = 0 then 'no demand' end], lambda x: x is not null), '; ') as reasons from items where momentum < 0.3 or demand = 0"""))
 def d42(spark, d):
     r = F.array_compact(F.array(F.when(F.col("momentum") < 0.3, F.format_string("momentum %d of 30", F.floor(F.col("momentum") * 100))), F.when(F.col("demand") == 0, "no demand")))
-    return items(spark, d).filter("momentum < 0.3 or demand = 0").select("trend_id", D, F.array_join(r, "; ").alias("reasons"))
+    return items(spark, d).filter("momentum < 0.3 or demand = 0").select("trend_id", D(), F.array_join(r, "; ").alias("reasons"))
 
 
 @query("d51_alert_inbox", sql("select trend_id, id, count_if(id % 3 <> 0) over (partition by trend_id) as unseen from sig where source <> 'view' qualify row_number() over (partition by trend_id order by created_at desc, id desc) <= 50"))
@@ -70,7 +74,7 @@ def d51(spark, d):
 @query("d52_calibration_report", f"with {PRED} select count(*) as n, count_if(actual) as hits, round(avg((c - actual::int) ** 2), 6) as brier, count(distinct least(floor(c * 10), 9)) as bins from pred")
 def d52(spark, d):
     c = F.col("c")
-    return predictions(spark, d).agg(N.alias("n"), F.count_if(F.col("actual")).alias("hits"), F.round(F.avg(F.pow(c - F.col("actual").cast("int"), 2)), 6).alias("brier"), F.count_distinct(F.least(F.floor(c * 10), F.lit(9))).alias("bins"))
+    return predictions(spark, d).agg(N().alias("n"), F.count_if(F.col("actual")).alias("hits"), F.round(F.avg(F.pow(c - F.col("actual").cast("int"), 2)), 6).alias("brier"), F.count_distinct(F.least(F.floor(c * 10), F.lit(9))).alias("bins"))
 
 
 @query("d55_explore_list", sql("""select l.trend_id, l.momentum, l.stage, s.sources from (select * from life qualify row_number() over (partition by trend_id order by day desc) = 1) l left join (select trend_id, count(distinct source) as sources from sig group by trend_id) s using (trend_id)
@@ -85,12 +89,12 @@ def d55(spark, d):
 @query("d56_overview", sql("select stage, count(*) as trends, max(momentum) as best from (select * from life qualify row_number() over (partition by trend_id order by day desc) = 1) group by stage", LIFE))
 def d56(spark, d):
     last = rows.latest(O.lifecycle(items(spark, d)).select("trend_id", "day", "momentum", "stage"), "day", ["trend_id"])
-    return last.groupBy("stage").agg(N.alias("trends"), F.max("momentum").alias("best"))
+    return last.groupBy("stage").agg(N().alias("trends"), F.max("momentum").alias("best"))
 
 
 @query("d58_signals_by_source", sql("select trend_id, source, count(*) as n, min(id) as first_id from sig group by 1, 2"))
 def d58(spark, d):
-    return signals(spark, d).groupBy("trend_id", "source").agg(N.alias("n"), F.min("id").alias("first_id"))
+    return signals(spark, d).groupBy("trend_id", "source").agg(N().alias("n"), F.min("id").alias("first_id"))
 
 
 @query("d60_chat_context", "select conv_id, length(string_agg(role || ': ' || text, chr(10) order by turn)) as n_chars, arg_max(role, turn) as last_role from conversations where turn < 20 group by conv_id")

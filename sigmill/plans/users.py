@@ -11,7 +11,11 @@ from sigmill.operators import users as U
 from sigmill.registry import query
 from sigmill.sources.tables import signals, sql, table
 
-N = F.count(F.lit(1))
+
+def N():  # noqa: N802
+    """Count of the rows of a group."""
+    return F.count(F.lit(1))
+
 #: Outcomes of a part: starts, completions, completion rate, mean quality from the order's priority.
 OUT = """oc as (select l_partkey as p, count_if(o_orderstatus <> 'P') as starts, count_if(o_orderstatus = 'F') as done, sum(6 - substr(o_orderpriority, 1, 1)::int) / count(*) as q,
   max(l_shipdate::date) - min(l_shipdate::date) as days from lineitem join orders on o_orderkey = l_orderkey group by 1), oo as (select *, case when starts > 0 then done / starts end as cr from oc)"""
@@ -21,7 +25,7 @@ def part_outcomes(spark, d):
     o = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderstatus").alias("s"), (6 - F.substring("o_orderpriority", 1, 1).cast("int")).alias("q"))
     t = table(spark, d, "lineitem").join(o, "l_orderkey").groupBy(F.col("l_partkey").alias("p"))
     ship = F.to_date("l_shipdate")
-    t = t.agg(F.count_if(F.col("s") != "P").alias("starts"), F.count_if(F.col("s") == "F").alias("done"), (F.sum("q") / N).alias("q"), F.date_diff(F.max(ship), F.min(ship)).alias("days"))
+    t = t.agg(F.count_if(F.col("s") != "P").alias("starts"), F.count_if(F.col("s") == "F").alias("done"), (F.sum("q") / N()).alias("q"), F.date_diff(F.max(ship), F.min(ship)).alias("days"))
     return t.withColumn("cr", F.when(F.col("starts") > 0, F.col("done") / F.col("starts")))
 
 
@@ -105,7 +109,7 @@ def d35(spark, d):
     o = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
     p = table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand")
     back = F.col("l_returnflag") == "R"
-    s = li.join(o, "l_orderkey").join(p, "l_partkey").groupBy("o_custkey", "p_brand").agg((F.count_if(~back) - 0.5 * F.count_if(back)).alias("score"), N.alias("n"))
+    s = li.join(o, "l_orderkey").join(p, "l_partkey").groupBy("o_custkey", "p_brand").agg((F.count_if(~back) - 0.5 * F.count_if(back)).alias("score"), N().alias("n"))
     w = W.partitionBy("o_custkey")
     s = s.withColumns({"total": F.sum(F.when(F.col("score") > 0, F.col("score"))).over(w), "items": F.sum("n").over(w)})
     s = s.filter((F.col("items") >= 8) & (F.col("score") > 0)).filter(F.col("score") / F.col("total") >= 0.15)
@@ -144,4 +148,4 @@ def d48(spark, d):
 @query("d57_outcome_analytics", f"with {OUT}, t as (select *, {ARCH} as a from oo order by starts desc, p limit 200) select coalesce(a, 'none') as archetype, count(*) as n, sum(starts)::bigint as starts, sum(done)::bigint as done from t group by 1")
 def d57(spark, d):
     t = rows.top_k(part_outcomes(spark, d), 200, F.desc("starts"), F.asc("p")).withColumn("archetype", F.coalesce(S.archetype(F.col("starts"), F.col("cr"), F.col("q"), F.col("days")), F.lit("none")))
-    return t.groupBy("archetype").agg(N.alias("n"), F.sum("starts").alias("starts"), F.sum("done").alias("done"))
+    return t.groupBy("archetype").agg(N().alias("n"), F.sum("starts").alias("starts"), F.sum("done").alias("done"))

@@ -9,7 +9,12 @@ from sigmill.operators import windows as O
 from sigmill.registry import query
 from sigmill.sources.tables import items, signals, sql, table
 
-D = F.col("day").cast("string").alias("day")
+
+def D():  # noqa: N802
+    """The snapshot's day as text."""
+    return F.col("day").cast("string").alias("day")
+
+
 WT = "window w as (partition by trend_id order by day)"
 V = "v as (select *, momentum - lag(momentum) over w as v from items window w as (partition by trend_id order by day))"
 END = "e as (select *, row_number() over (partition by trend_id order by day desc) as k, count(*) over (partition by trend_id) as total from items)"
@@ -41,12 +46,12 @@ ALL = (V, END, three("n"), three("top"), SLOPE, TURN, BREAK, LIFE, TIMING)
 @query("w01_previous_state", sql(f"select trend_id, day::varchar as day, lag(momentum) over w as prev_momentum, lag(n) over w as prev_n, day - lag(day) over w as gap from items {WT}"))
 def w01(spark, d):
     w = O.by()
-    return items(spark, d).select("trend_id", D, F.lag("momentum").over(w).alias("prev_momentum"), F.lag("n").over(w).alias("prev_n"), F.date_diff("day", F.lag("day").over(w)).cast("long").alias("gap"))
+    return items(spark, d).select("trend_id", D(), F.lag("momentum").over(w).alias("prev_momentum"), F.lag("n").over(w).alias("prev_n"), F.date_diff("day", F.lag("day").over(w)).cast("long").alias("gap"))
 
 
 @query("w02_running_count", sql(f"select trend_id, day::varchar as day, row_number() over w as snapshots_seen from items {WT}"))
 def w02(spark, d):
-    return items(spark, d).select("trend_id", D, F.row_number().over(O.by()).cast("long").alias("snapshots_seen"))
+    return items(spark, d).select("trend_id", D(), F.row_number().over(O.by()).cast("long").alias("snapshots_seen"))
 
 
 @query("w03_running_distinct", sql("select id, trend_id, (select count(distinct s.created_at::date) from sig s where s.trend_id = t.trend_id and (s.created_at, s.id) <= (t.created_at, t.id)) as days_seen from sig t where t.trend_id < 40"))
@@ -60,17 +65,17 @@ def w03(spark, d):
 @query("w04_running_first_last", sql(f"select trend_id, day::varchar as day, min(day) over w::varchar as first_seen, max(n) over w as most from items {WT}"))
 def w04(spark, d):
     w = O.by().rowsBetween(W.unboundedPreceding, 0)
-    return items(spark, d).select("trend_id", D, F.min("day").over(w).cast("string").alias("first_seen"), F.max("n").over(w).alias("most"))
+    return items(spark, d).select("trend_id", D(), F.min("day").over(w).cast("string").alias("first_seen"), F.max("n").over(w).alias("most"))
 
 
 @query("w05_velocity", sql("select trend_id, day::varchar as day, v from v", V))
 def w05(spark, d):
-    return items(spark, d).select("trend_id", D, O.velocity().alias("v"))
+    return items(spark, d).select("trend_id", D(), O.velocity().alias("v"))
 
 
 @query("w06_inflection", sql("select trend_id, day::varchar as day from turn", V, TURN))
 def w06(spark, d):
-    return O.first_inflections(items(spark, d)).select("trend_id", D)
+    return O.first_inflections(items(spark, d)).select("trend_id", D())
 
 
 @query("w07_breakout", sql("select trend_id, now, breakout from br", END, BREAK))
@@ -119,7 +124,7 @@ def w14(spark, d):
 
 @query("w15_change_points", sql(f"select trend_id, day::varchar as day, stage from (select trend_id, day, stage, lag(stage) over w as p from life {WT}) where p is null or p <> stage", LIFE))
 def w15(spark, d):
-    return O.changes(O.lifecycle(items(spark, d)), "stage").select("trend_id", D, "stage")
+    return O.changes(O.lifecycle(items(spark, d)), "stage").select("trend_id", D(), "stage")
 
 
 @query("w16_week_over_week", sql("""select trend_id, day::varchar as day, case when p > 0 then (n - p) / p end as growth from (select a.trend_id, a.day, a.n, (select arg_min(b.n, abs(b.day - (a.day - 7)) * 100 + (b.day - date '2024-01-01')) from items b
@@ -128,12 +133,12 @@ def w16(spark, d):
     from sigmill.operators.joins import nearest_in_time
 
     t = nearest_in_time(items(spark, d).select("trend_id", "day", "n"), "trend_id", "day", "n", 7, 5)
-    return t.select("trend_id", D, F.when(F.col("near_7") > 0, (F.col("n") - F.col("near_7")) / F.col("near_7")).alias("growth"))
+    return t.select("trend_id", D(), F.when(F.col("near_7") > 0, (F.col("n") - F.col("near_7")) / F.col("near_7")).alias("growth"))
 
 
 @query("w17_last_n_per_group", sql("select trend_id, day::varchar as day, n from e where k <= 14", END))
 def w17(spark, d):
-    return items(spark, d).withColumn("k", O.from_end()).filter("k <= 14").select("trend_id", D, "n")
+    return items(spark, d).withColumn("k", O.from_end()).filter("k <= 14").select("trend_id", D(), "n")
 
 
 @query("w18_rank", "select c_mktsegment, c_custkey, row_number() over (partition by c_mktsegment order by c_acctbal desc, c_custkey) as place from customer")
@@ -154,7 +159,7 @@ def w19(spark, d):
 @query("w20_transitions", sql(f"select trend_id, day::varchar as day, p as old_stage, stage as new_stage from (select trend_id, day, stage, lag(stage) over w as p from life {WT}) where p <> stage", LIFE))
 def w20(spark, d):
     t = O.lifecycle(items(spark, d)).withColumn("p", F.lag("stage").over(O.by())).filter("p <> stage")
-    return t.select("trend_id", D, F.col("p").alias("old_stage"), F.col("stage").alias("new_stage"))
+    return t.select("trend_id", D(), F.col("p").alias("old_stage"), F.col("stage").alias("new_stage"))
 
 
 @query("w21_divergence", sql("""select a.trend_id, ((a.r2 - a.r0) / greatest(a.r0, 1) + case when b.r0 > b.r1 and b.r1 > b.r2 then (b.r0 - b.r2) / greatest(b.r0, 1) else 0 end) / 2 as divergence
@@ -176,7 +181,7 @@ def w22(spark, d):
     s = s.withColumns({"ps": F.lag("s").over(w), "pt": F.lag("t").over(w)}).filter("ps is not null")
     one = lambda m, a, b, bar: F.struct(F.lit(m).alias("metric"), (F.abs(F.col(a) - F.col(b)) / F.col(b)).alias("drift"), F.lit(bar).alias("bar"))
     s = s.select("day", F.explode(F.array(one("signals", "s", "ps", 0.3), one("trends", "t", "pt", 0.5))).alias("m")).select("day", "m.*")
-    return s.select(D, "metric", "drift", F.when(F.col("drift") > F.col("bar") * 1.5, "high").when(F.col("drift") > F.col("bar"), "medium").otherwise("none").alias("severity"))
+    return s.select(D(), "metric", "drift", F.when(F.col("drift") > F.col("bar") * 1.5, "high").when(F.col("drift") > F.col("bar"), "medium").otherwise("none").alias("severity"))
 
 
 @query("w23_day_velocity", sql("""select trend_id, case when b = 0 then least(0.6, a / 30) else (a - b) / b end as velocity from (select trend_id, count_if(created_at >= timestamp '2024-01-30') as a,
@@ -197,7 +202,7 @@ def w24(spark, d):
 
 @query("d08_lifecycle_stage", sql("select trend_id, day::varchar as day, stage, conf as stage_confidence from life", LIFE))
 def d08(spark, d):
-    return O.lifecycle(items(spark, d)).select("trend_id", D, "stage", "stage_confidence")
+    return O.lifecycle(items(spark, d)).select("trend_id", D(), "stage", "stage_confidence")
 
 
 @query("d09_lifecycle_history", sql("""select trend_id, day::varchar as day, stage, comparable, p as change, case when p is not null then round(0.7 * greatest(-1, least(1, p / 100)) + 0.3 * greatest(-1, least(1, ds / 10)), 6) end as acceleration, seen as snapshots_seen from life""", LIFE))
@@ -205,7 +210,7 @@ def d09(spark, d):
     clamp = lambda x: F.greatest(F.lit(-1.0), F.least(F.lit(1.0), x))
     t = O.lifecycle(items(spark, d))
     a = F.when(F.col("change").isNotNull(), 0.7 * clamp(F.col("change") / 100) + 0.3 * clamp((F.col("n") - F.col("prev_n")) / 10))
-    return t.select("trend_id", D, "stage", "comparable", "change", F.round(a, 6).alias("acceleration"), F.col("snapshots_seen").cast("long").alias("snapshots_seen"))
+    return t.select("trend_id", D(), "stage", "comparable", "change", F.round(a, 6).alias("acceleration"), F.col("snapshots_seen").cast("long").alias("snapshots_seen"))
 
 
 @query("d15_timing_label", sql("select trend_id, label, points, round(slope, 8) as slope from timing", *ALL))
