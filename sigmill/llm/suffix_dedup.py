@@ -177,7 +177,7 @@ def bwt_groups(raw: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     the border is first seen. Borders not seen in ``least`` steps lie within a group.
     """
     n = len(raw)
-    order, rank = _suffixes(raw, 2 * least)
+    order, rank = _suffixes(raw)
     before = raw[order - 1]
     to = np.empty(n, np.int64)  # last-to-first: where the suffix one byte longer stands
     to[np.arange(n)] = rank[order - 1]
@@ -205,24 +205,30 @@ def bwt_groups(raw: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.cumsum(border[:n]) - 1
 
 
-def _suffixes(raw: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix array and its inverse by doubling, from keys of seven bytes; the text goes round."""
+def _suffixes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Suffix array and its inverse, from keys of seven bytes on; the text goes round.
+
+    A round joins the ranks of three neighbouring stretches to one key, or of two in
+    a text whose ranks are too large for three.
+    """
     n = len(raw)
     key = np.zeros(n, np.uint64)
     for k in range(7):
         key = key * np.uint64(257) + np.roll(raw, -k).astype(np.uint64)
-    width = 7
+    width, times = 7, 3 if n < 1 << 21 else 2
     while True:
-        order = np.argsort(key, kind="stable")
-        step = np.ones(n, np.int64)
-        step[0] = 0
-        step[1:] = key[order[1:]] != key[order[:-1]]
+        order = np.argsort(key)
+        sorted_ = key[order]
+        step = np.zeros(n, np.int64)
+        step[1:] = sorted_[1:] != sorted_[:-1]
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(step)
         if rank[order[-1]] == n - 1 or width >= n:
             break
-        key = (rank * n + np.roll(rank, -width)).astype(np.uint64)
-        width *= 2
+        key = rank
+        for k in range(1, times):
+            key = key * n + np.roll(rank, -k * width)
+        width *= times
     rank[order] = np.arange(n)
     return order, rank
 
