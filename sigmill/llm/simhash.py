@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sigmill.llm.common import written
@@ -37,13 +37,18 @@ def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
 
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     """doc_id and fp (long) of every row; written, as each text is hashed once."""
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(0).cast("long").alias("th"), F.col("text").cast("string").alias("text"))
+    return _hashed(slim, words).drop("th")
+
+
+def _hashed(slim: DataFrame, words: int) -> DataFrame:
+    """doc_id, th and fp of rows with ``doc_id``, ``th`` and ``text``."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "fp": np.array([fingerprint(t, words) for t in b["text"]], np.int64)})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "th": b["th"], "fp": np.array([fingerprint(t, words) for t in b["text"]], np.int64)})
 
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return written(slim.mapInPandas(run, "doc_id long, fp long"), "fingerprints")
+    return written(slim.mapInPandas(run, "doc_id long, th long, fp long"), "fingerprints")
 
 
 def trie_pairs(x: np.ndarray, y: np.ndarray, depth: int, budget: int, same: bool, leaf: int = 256, most: int = 1 << 16) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -152,11 +157,35 @@ def near_duplicates(docs: DataFrame, words: int = 3, budget: int = 2) -> DataFra
 
 
 def keep_one(docs: DataFrame, words: int = 3, budget: int = 2) -> DataFrame:
-    """Documents without all but one of each group of near-duplicates, columns as they came."""
-    found = near_duplicates(docs, words, budget).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    ids = written(found.groupBy(F.col("doc_id").alias("_kept")).agg(F.count(F.lit(1)).alias("_rows")), "kept")
-    left = docs.join(ids.select("_kept").hint("merge"), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    return left.dropDuplicates(["doc_id"]) if ids.filter("_rows > 1").limit(1).count() else left
+    """Documents without all but one of each group of near-duplicates, columns as they came.
+
+    Rows are told apart by doc_id and a hash of the text: unlike texts under one id, or
+    without any, stay rows of their own. A group keeps its least doc_id (null comes last)
+    and of that the least hash; rows equal in both are copies, of which one stays.
+    """
+    rows = _hashed(_keyed(docs), words)
+    classes = written(rows.groupBy("fp").agg(F.min(_key(rows)).alias("least")), "nodes")
+    roots = written(connected_components(links(classes, budget)), "roots")
+    return _kept(docs, rows, classes.join(roots, classes["fp"] == roots["node"], "left").select(F.coalesce("root", "fp").alias("root"), "least"))
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
+
+
+def _key(rows: DataFrame) -> Column:
+    return F.struct(rows["doc_id"].isNull().alias("none"), rows["doc_id"].alias("doc_id"), rows["th"].alias("th"))
+
+
+def _kept(docs: DataFrame, rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose key is the least of its ``root``; one of each key. ``rows`` holds all keys."""
+    least = classes.groupBy("root").agg(F.min("least").alias("least"))
+    ids = written(least.select(F.col("least.doc_id").alias("_kept"), F.col("least.th").alias("_hash")), "kept")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_kept")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_hash"))
+    left = docs.join(ids.hint("merge"), same, "left_semi")
+    again = rows.groupBy("doc_id", "th").count().filter("count > 1")
+    again = again.join(ids, F.col("doc_id").eqNullSafe(F.col("_kept")) & (F.col("th") == F.col("_hash")), "left_semi")
+    return left.dropDuplicates(["doc_id", "text"]) if again.limit(1).count() else left
 
 
 def document_components(docs: DataFrame) -> DataFrame:

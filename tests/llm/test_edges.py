@@ -167,3 +167,10 @@ def test_equals_sql(spark, name):
 def test_near_copies_keep_one_row_of_a_repeated_id(spark, odd):
     kept = simhash.keep_one(odd)
     assert Counter(r.doc_id for r in kept.collect())[1] == 1
+
+
+def test_near_copies_keep_unlike_texts_under_one_id_or_none(spark):
+    rows = [(7, "one two three four"), (7, "five six seven eight"), (None, "nine ten eleven"), (None, "twelve thirteen fourteen"), (None, "nine ten eleven"), (8, "one two three four")]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    want = {(7, "one two three four"), (7, "five six seven eight"), (None, "nine ten eleven"), (None, "twelve thirteen fourteen")}
+    assert Counter(map(tuple, kept.collect())) == Counter(want)
