@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from sigmill.llm import line_dedup, mixing, packing, quality_rules, simhash
 from sigmill.llm.common import table, word_count, written
 
-#: Words of a shingle, and bits by which fingerprints of near copies may differ.
-SHINGLE_WORDS, BUDGET = 5, 3
+#: Words of a shingle, bits by which fingerprints of near copies may differ, and the
+#: similarity of sets of shingles from which texts are near copies whatever their fingerprints.
+SHINGLE_WORDS, BUDGET, SIMILARITY = 5, 3, 0.8
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +28,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, the one with the least doc_id."""
-    return simhash.keep_one(docs, SHINGLE_WORDS, BUDGET)
+    return simhash.keep_one(docs, SHINGLE_WORDS, BUDGET, SIMILARITY)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

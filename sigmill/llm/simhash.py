@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sigmill.llm import shingles
 from sigmill.llm.common import written
 from sigmill.llm.components import connected_components, local_forest
 
@@ -22,13 +23,12 @@ def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
     Words lose the case of A-Z; shingles count as often as they occur; fewer words
     than a shingle has make one shingle.
     """
-    import xxhash
+    return _majority(shingles.hashes(text, words, seed))
 
-    w = (text or "").encode().lower().split()
-    if not w:
+
+def _majority(h: np.ndarray) -> int:
+    if not len(h):
         return 0
-    runs = zip(*(w[k:] for k in range(words)), strict=False) if len(w) >= words else [w]
-    h = np.array([xxhash.xxh64_intdigest(b" ".join(r), seed) for r in runs], "<u8")
     ones = np.zeros(BITS, np.int64)
     for a in range(0, len(h), 1 << 16):  # a long text never unpacks as a whole
         ones += np.unpackbits(h[a : a + (1 << 16)].view(np.uint8), bitorder="little").reshape(-1, BITS).sum(0, dtype=np.int64)
@@ -156,19 +156,57 @@ def near_duplicates(docs: DataFrame, words: int = 3, budget: int = 2) -> DataFra
     return fps.join(written(class_of, "classes"), "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, words: int = 3, budget: int = 2) -> DataFrame:
+def keep_one(docs: DataFrame, words: int = 3, budget: int = 2, similarity: float | None = None) -> DataFrame:
     """Documents without all but one of each group of near-duplicates, columns as they came.
 
+    Near-duplicates differ in at most ``budget`` bits or, where ``similarity`` is given,
+    have sets of shingles with at least that Jaccard similarity.
+
     Rows are told apart by doc_id and a hash of the text: unlike texts under one id, or
     without any, stay rows of their own. A group keeps its least doc_id (null comes last)
     and of that the least hash; rows equal in both are copies, of which one stays.
     """
+    if similarity is not None:
+        return _keep_one_like(docs, words, budget, similarity)
     rows = _hashed(_keyed(docs), words)
     classes = written(rows.groupBy("fp").agg(F.min(_key(rows)).alias("least")), "nodes")
     roots = written(connected_components(links(classes, budget)), "roots")
     return _kept(docs, rows, classes.join(roots, classes["fp"] == roots["node"], "left").select(F.coalesce("root", "fp").alias("root"), "least"))
 
 
+def _keep_one_like(docs: DataFrame, words: int, budget: int, similarity: float) -> DataFrame:
+    slim = _keyed(docs)
+    often, rank = shingles.frequent(slim, words)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import xxhash
+
+        for b in batches:
+            out = []
+            for t in b["text"]:
+                h = shingles.hashes(t, words)
+                u = np.unique(h)
+                node = np.uint64(xxhash.xxh64_intdigest(u.tobytes())).view(np.int64)
+                out.append((_majority(h), node, len(u), shingles.prefix(u, similarity, often, rank).view("<i8")))
+            fp, node, size, first = zip(*out, strict=True) if out else ((), (), (), ())
+            yield pd.DataFrame({"doc_id": b["doc_id"], "th": b["th"], "fp": fp, "node": node, "size": size, "prefix": first})
+
+    rows = written(slim.mapInPandas(run, "doc_id long, th long, fp long, node long, size long, prefix array<long>"), "profiles")
+    classes = rows.groupBy("fp", "node").agg(F.min(_key(rows)).alias("least")).withColumn("class", F.xxhash64("fp", "node"))
+    classes = written(classes, "classes")
+    sets = written(rows.groupBy("node").agg(F.first("size").alias("size"), F.first("prefix").alias("prefix"), F.min("th").alias("th")), "sets")
+    edges = None
+    for by, found in (("fp", links(classes.select("fp").distinct(), budget)), ("node", shingles.like_pairs(sets, slim, words, similarity))):
+        least = written(classes.groupBy(by).agg(F.min("class").alias("class")), "least")
+        of = [least.select(F.col(by).alias(c), F.col("class").alias(f"class_{c}")) for c in ("u", "v")]
+        pairs = found.join(of[0], "u").join(of[1], "v").select(F.col("class_u").alias("u"), F.col("class_v").alias("v"))
+        same = classes.select(F.col("class").alias("u"), by).join(least, by).select("u", F.col("class").alias("v"))
+        pairs = pairs.unionByName(same)
+        edges = pairs if edges is None else edges.unionByName(pairs)
+    roots = written(connected_components(edges), "roots")
+    return _kept(docs, rows, classes.join(roots, classes["class"] == roots["node"], "left").select(F.coalesce("root", "class").alias("root"), "least"))
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
 
