@@ -88,3 +88,37 @@ def shared_token_pairs(df: DataFrame, key: str, tokens: str, least: int) -> Data
 def cosine(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
+
+
+def nearest_vectors(queries: DataFrame, df: DataFrame, key: str, vector: str, k: int, least: float, block: int = 4096) -> DataFrame:
+    """(query_id, key, c): for each query the ``k`` rows with the greatest cosine, ``least`` at least.
+
+    Blocks of queries meet blocks of rows in tasks of their own, each of which returns
+    its ``k`` best rows for a query; these are ranked again. Ties go to the lesser key.
+    """
+    qs, ds = (max(1, -(-t.count() // block)) for t in (queries, df))
+    at = lambda n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = queries.select(F.col(key).alias("query_id"), F.col(vector).alias("v"), at(qs).alias("a"), every(ds).alias("b"))
+    right = df.select(key, F.col(vector).alias("v"), at(ds).alias("b"), every(qs).alias("a"))
+
+    def best(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
+        import numpy as np
+
+        none = pd.DataFrame({"query_id": np.zeros(0, np.int64), key: np.zeros(0, np.int64), "c": np.zeros(0)})
+        if not len(q) or not len(x):
+            return none
+        x = x.sort_values(key)
+        m, ids, out = np.stack(x["v"]).astype(float), x[key].to_numpy(), [none]
+        norm = np.sqrt((m * m).sum(1))
+        for i, v in zip(q["query_id"], q["v"], strict=True):
+            v = np.asarray(v, float)
+            c = m @ v / (norm * np.sqrt(v @ v))
+            near = np.flatnonzero(c >= least)
+            near = near[np.argsort(-c[near], kind="stable")][:k]
+            out.append(pd.DataFrame({"query_id": i, key: ids[near], "c": c[near]}))
+        return pd.concat(out[1:])
+
+    got = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(best, f"query_id long, {key} long, c double")
+    r = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("c"), F.asc(key)))
+    return got.withColumn("_r", r).filter(F.col("_r") <= k).drop("_r")

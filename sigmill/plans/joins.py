@@ -87,6 +87,14 @@ def j13(spark, d):
     return rows.top_k(s, 10, F.desc("c"), F.asc("vec_id")).select("vec_id", F.round("c", 6).alias("similarity"))
 
 
+@query("j13_vector_top_k_all", """select query_id, vec_id, round(c, 6) as similarity from (select q.vec_id as query_id, e.vec_id, list_cosine_similarity(e.embedding::double[], q.embedding::double[])::double as c
+  from embeddings e, embeddings q where q.vec_id % 100 = 0) where c >= 0.2 qualify row_number() over (partition by query_id order by c desc, vec_id) <= 10""")
+def j13_all(spark, d):
+    e = table(spark, d, "embeddings").select("vec_id", "embedding")
+    best = joins.nearest_vectors(e.filter("vec_id % 100 = 0"), e, "vec_id", "embedding", 10, 0.2)
+    return best.select("query_id", "vec_id", F.round("c", 6).alias("similarity"))
+
+
 @query("j15_three_way_ordered", """select e.vec_id, l.quality, d.lang from embeddings e join documents d on d.doc_id = e.vec_id join labels l on l.doc_id = d.doc_id where e.label = 3""")
 def j15(spark, d):
     e = table(spark, d, "embeddings").filter("label = 3").select(F.col("vec_id").alias("doc_id"))

@@ -61,6 +61,18 @@ def k03(spark, d):
     return rows.upsert(s.filter("id % 3 = 0"), s.filter("id % 2 = 0").withColumn("cents", F.col("cents") + 1), ["id"])
 
 
+@query("k02_append_skip_duplicates_all", sql("select id, source from sig where id % 3 = 0 union all select id, source from sig where id % 3 <> 0"))
+def k02_all(spark, d):
+    s = signals(spark, d).select("id", "source")
+    return rows.append_new(s.filter("id % 3 = 0"), s.filter("id % 3 <> 0 or id % 2 = 0"), ["id"])
+
+
+@query("k03_upsert_all", sql("select id, case when id % 3 <> 0 or id % 2 = 0 then cents + 1 else cents end as cents from sig"))
+def k03_all(spark, d):
+    s = signals(spark, d).select("id", "cents")
+    return rows.upsert(s.filter("id % 3 = 0"), s.filter("id % 3 <> 0 or id % 2 = 0").withColumn("cents", F.col("cents") + 1), ["id"])
+
+
 @query("k06_update_by_key", sql("select s.id, s.trend_id, case when s.id % 5 = 0 then 'updated' else s.source end as source from sig s"))
 def k06(spark, d):
     s = signals(spark, d).select("id", "trend_id", "source")

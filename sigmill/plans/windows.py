@@ -62,6 +62,15 @@ def w03(spark, d):
     return s.select("id", "trend_id", F.sum("new").over(w.rowsBetween(W.unboundedPreceding, 0)).alias("days_seen"))
 
 
+@query("w03_running_distinct_all", sql("""select id, trend_id, sum(new) over (partition by trend_id order by created_at, id rows unbounded preceding)::bigint as days_seen from
+  (select id, trend_id, created_at, (lag(created_at::date) over (partition by trend_id order by created_at, id) is distinct from created_at::date)::int as new from sig)"""))
+def w03_all(spark, d):
+    w = W.partitionBy("trend_id").orderBy("created_at", "id")
+    day = F.to_date("created_at")
+    s = signals(spark, d).withColumn("new", (~F.lag(day).over(w).eqNullSafe(day)).cast("int"))
+    return s.select("id", "trend_id", F.sum("new").over(w.rowsBetween(W.unboundedPreceding, 0)).alias("days_seen"))
+
+
 @query("w04_running_first_last", sql(f"select trend_id, day::varchar as day, min(day) over w::varchar as first_seen, max(n) over w as most from items {WT}"))
 def w04(spark, d):
     w = O.by().rowsBetween(W.unboundedPreceding, 0)
