@@ -199,13 +199,18 @@ def class_links(classes: DataFrame, cosine: float, lead: int, block: int) -> Dat
     return written(work.mapInPandas(run, "u long, v long, n long"), "block-links")
 
 
+#: Vectors of each length are joined on their own, up to so many lengths.
+WIDTHS = 1000
+
+
 def near_vectors(table: DataFrame, key: str = "vec_id", vec: str = "embedding", cosine: float = 0.95, lead: int = 16, block: int = 4096) -> DataFrame:
     """(key, n_links, component_id, kept) of every row, by cosine in double precision.
 
     Equal vectors fold into one class named by its least key, and count as linked to
     one another; so copies of any number cost one vector. Vectors that are null,
     zero, or hold null or non-finite components link with nothing, nor do vectors of
-    another length. Rows that repeat a key stay rows. An empty table stays empty.
+    another length. Rows that repeat a key stay rows. An empty table stays empty; more
+    than ``WIDTHS`` lengths are an error.
     """
     rows = table.select(F.col(key).cast("long").alias("key"), F.col(vec).alias("vec"))
     rows = rows.withColumn("ok", usable("vec")).withColumn("cls_of", F.when(F.col("ok"), F.md5(F.to_json(F.struct("vec")).cast("binary"))))
@@ -213,7 +218,9 @@ def near_vectors(table: DataFrame, key: str = "vec_id", vec: str = "embedding",
     classes = good.groupBy("cls_of").agg(F.min("key").alias("least"), F.count(F.lit(1)).alias("n"), F.first("vec").alias("vec"))
     classes = written(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
     found = []
-    widths = [r[0] for r in classes.select(F.size("vec")).distinct().limit(1000).collect()]
+    widths = [r[0] for r in classes.select(F.size("vec")).distinct().limit(WIDTHS + 1).collect()]
+    if len(widths) > WIDTHS:
+        raise ValueError(f"vectors of more than {WIDTHS} lengths can't be joined one length at a time")
     for width in sorted(widths):
         own = classes.filter(F.size("vec") == width) if len(widths) > 1 else classes
         found.append(class_links(own, cosine, lead, block))

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from sigmill.llm import embedding_dedup as E
 
@@ -38,3 +39,9 @@ def test_against_brute_force(spark):
 def test_empty(spark):
     assert E.near_vectors(table(spark, [])).count() == 0
     assert E.near_vectors(table(spark, [(1, None)])).collect()[0].kept
+
+
+def test_too_many_lengths_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(E, "WIDTHS", 2)
+    with pytest.raises(ValueError, match="more than 2 lengths"):
+        E.near_vectors(table(spark, [(n, [1.0] * n) for n in range(1, 4)]))
