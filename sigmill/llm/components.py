@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,22 +42,44 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return star.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def local_forest(n: int, i, j):
-    """Least index linked to each of ``n`` items by the links (i, j) of one task."""
-    import numpy as np
+class Forest:
+    """Components of ``n`` items of one task, fed with links as they are found.
 
-    label = np.arange(n)
-    while len(i):
-        least = np.minimum(label[i], label[j])
-        np.minimum.at(label, i, least)
-        np.minimum.at(label, j, least)
-        label = label[label]
-        open_ = label[i] != label[j]
-        i, j = i[open_], j[open_]
-        if not len(i):
-            break
-    while True:
-        up = label[label]
-        if (up == label).all():
-            return label
-        label = up
+    ``label`` always names the root of every item, the least item known to be in its
+    component. Links are held back until ``most`` of them have come, so what a task
+    keeps grows with its items, not with the links between them.
+    """
+
+    def __init__(self, n: int, most: int = 1 << 20) -> None:
+        self.label, self.most = np.arange(n), most
+        self._held: list[tuple[np.ndarray, np.ndarray]] = []
+        self._count = 0
+
+    def add(self, i: np.ndarray, j: np.ndarray) -> None:
+        self._held.append((i, j))
+        self._count += len(i)
+        if self._count >= self.most:
+            self._join()
+
+    def roots(self) -> np.ndarray:
+        self._join()
+        return self.label
+
+    def _join(self) -> None:
+        if not self._held:
+            return
+        i, j = (np.concatenate(v) for v in zip(*self._held, strict=True))
+        self._held, self._count = [], 0
+        while True:
+            a, b = self.label[i], self.label[j]
+            open_ = a != b
+            if not open_.any():
+                return
+            i, j, a, b = i[open_], j[open_], a[open_], b[open_]
+            # only roots are hooked, each below the least root that it is linked to, so no link is lost
+            np.minimum.at(self.label, np.maximum(a, b), np.minimum(a, b))
+            while True:
+                up = self.label[self.label]
+                if (up == self.label).all():
+                    break
+                self.label = up

@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sigmill.llm import shingles
 from sigmill.llm.common import written
-from sigmill.llm.components import connected_components, local_forest
+from sigmill.llm.components import Forest, connected_components
 
 BITS = 64
 
@@ -44,24 +44,27 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
 def _hashed(slim: DataFrame, words: int) -> DataFrame:
     """doc_id, th and fp of rows with ``doc_id``, ``th`` and ``text``."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "th": b["th"], "fp": np.array([fingerprint(t, words) for t in b["text"]], np.int64)})
+            fp = np.array([fingerprint(t, words) for t in b.column("text").to_pylist()], np.int64)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), pa.array(fp)], ["doc_id", "th", "fp"])
 
-    return written(slim.mapInPandas(run, "doc_id long, th long, fp long"), "fingerprints")
+    return written(slim.mapInArrow(run, "doc_id long, th long, fp long"), "fingerprints")
 
 
-def trie_pairs(x: np.ndarray, y: np.ndarray, depth: int, budget: int, same: bool, leaf: int = 256, most: int = 1 << 16) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def trie_pairs(x: np.ndarray, y: np.ndarray, depth: int, budget: int, same: bool, leaf: int = 256, most: int = 1 << 16, start: tuple | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs of ``x`` and ``y`` that differ in at most ``budget`` bits.
 
     Both are sorted, so a run of either is a trie node: its members share their first
     ``depth`` bits. Pairs of nodes are followed down together; a step into unlike
     children costs one bit of the budget, and pairs without budget are dropped. Small
     pairs of nodes are compared member by member. Deepest first, at most ``most``
-    pairs of nodes at a time, so memory stays bounded.
+    pairs of nodes at a time, so memory stays bounded. ``start`` gives the pairs of
+    nodes to begin with (bounds of each, bits that differ) if not the two wholes.
     """
     one = np.uint64(1)
-    start = tuple(np.array([v]) for v in (0, len(x), 0, len(y), 0))
+    if start is None:
+        start = tuple(np.array([v]) for v in (0, len(x), 0, len(y), 0))
     stack = [(depth, start)] if len(x) and len(y) else []
     while stack:
         depth, node = stack.pop()
@@ -100,43 +103,81 @@ def trie_pairs(x: np.ndarray, y: np.ndarray, depth: int, budget: int, same: bool
         stack.append((depth + 1, tuple(v[live] for v in down)))
 
 
-def links(nodes: DataFrame, budget: int = 2, per_node: int = 8192) -> DataFrame:
-    """(u, v): links that join up the same components as all pairs within ``budget`` bits.
+def _signed(mask: int) -> int:
+    return mask - (1 << BITS) if mask >> (BITS - 1) else mask
 
-    ``nodes`` holds distinct fingerprints ``fp``. The top of the trie is cut at the
-    depth where a subtree has about ``per_node`` members; each pair of subtrees whose
-    prefixes differ in at most ``budget`` bits is one group, in which the rest of the
-    trie is joined. A group returns a forest, so links grow with members, not pairs.
-    """
-    n = nodes.count()
-    top = max(0, min(24, math.ceil(math.log2(max(n, 1) / per_node)))) if n else 0
-    masks = [m for k in range(budget + 1) for m in _masks(top, k)]
-    at = F.shiftrightunsigned("fp", BITS - top) if top else F.lit(0).cast("long")
-    each = nodes.select("fp", at.alias("at")).withColumn("mask", F.explode(F.array(*[F.lit(m).cast("long") for m in masks])))
-    other = F.col("at").bitwiseXOR(F.col("mask"))
-    each = each.select("fp", "at", F.least("at", other).alias("a"), F.greatest("at", other).alias("b"))
 
-    def join(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        a, b = int(key[0]), int(key[1])
-        fp, at = rows["fp"].to_numpy().view(np.uint64), rows["at"].to_numpy()
-        x, y = np.sort(fp[at == a]), np.sort(fp[at == b])
-        left = budget - (a ^ b).bit_count()
-        out = np.concatenate([x, y]) if a != b else x
-        shift = len(x) if a != b else 0
-        got = list(trie_pairs(x, y, top, left, a == b))
-        i = np.concatenate([p for p, _ in got]) if got else np.zeros(0, np.int64)
-        j = np.concatenate([q for _, q in got]) + shift if got else i
-        root = local_forest(len(out), i, j)
-        far = root != np.arange(len(out))
-        return pd.DataFrame({"u": out[far].view(np.int64), "v": out[root[far]].view(np.int64)})
+def _blocks(mask: int, budget: int) -> list[int]:
+    """``mask`` with one more run of its free bits each: these are cut into one run more than ``budget``."""
+    free = [b for b in range(BITS - 1, -1, -1) if not mask >> b & 1]
+    ends = [len(free) * k // (budget + 1) for k in range(budget + 2)]
+    return [mask | sum(1 << b for b in free[lo:hi]) for lo, hi in zip(ends, ends[1:], strict=False)]
 
-    return each.groupBy("a", "b").applyInPandas(join, "u long, v long")
 
+def _leading(fp: np.ndarray, mask: int) -> np.ndarray:
+    """Fingerprints with the bits of ``mask`` moved in front of all others."""
+    out = np.zeros_like(fp)
+    at = [b for b in range(BITS) if not mask >> b & 1] + [b for b in range(BITS) if mask >> b & 1]
+    for to, b in enumerate(at):
+        out |= (fp >> np.uint64(b) & np.uint64(1)) << np.uint64(to)
+    return out
 
-def _masks(width: int, ones: int) -> list[int]:
-    from itertools import combinations
 
-    return [sum(1 << b for b in c) for c in combinations(range(width), ones)]
+def links(nodes: DataFrame, budget: int = 2, per_node: int = 8192) -> DataFrame:
+    """(u, v): links that join up the same components as all pairs within ``budget`` bits.
+
+    ``nodes`` holds distinct fingerprints ``fp``. The bits are cut into ``budget`` + 1 runs;
+    two fingerprints within the budget agree on one run at least, so with each run in
+    front in turn they share a subtree of that trie. Subtrees are joined with
+    themselves, many small ones in a task. A subtree with more than ``per_node`` members is
+    cut again: its free bits into runs, its members by each. When no more bits are
+    free than the budget has, all members of a subtree are linked to the least. So no
+    task holds a crowded subtree, whatever the prefixes. Tasks return forests: links
+    grow with members, not pairs.
+    """
+    found, rows, masks = [], nodes.select("fp", F.lit(0).cast("long").alias("mask")), [0]
+    while masks:
+        ways = {m: _blocks(m, budget) for m in masks}
+        to = F.create_map(*[x for m, kids in ways.items() for x in (F.lit(_signed(m)), F.array(*[F.lit(_signed(k)).cast("long") for k in kids]))])
+        each = rows.select("fp", F.explode(F.element_at(to, F.col("mask"))).alias("mask")).withColumn("key", F.col("fp").bitwiseAND(F.col("mask"))).distinct()
+        count = written(each.groupBy("mask", "key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("least")).filter("n > 1"), "subtrees")
+        full = [_signed(k) for kids in ways.values() for k in kids if BITS - k.bit_count() <= budget]
+        is_full = F.col("mask").isin(full) if full else F.lit(False)
+        each = each.join(count, ["mask", "key"])
+        found.append(each.filter(is_full & (F.col("fp") != F.col("least"))).select(F.col("fp").alias("u"), F.col("least").alias("v")))
+        found.append(_joined(each.filter(~is_full & (F.col("n") <= per_node)), count.filter(F.col("n") <= per_node).agg(F.sum("n")).first()[0] or 0, budget, per_node))
+        crowded = count.filter(~is_full & (F.col("n") > per_node))
+        masks = [r.mask % (1 << BITS) for r in crowded.select("mask").distinct().collect()]  # so many as there are ways to cut bits, whatever the table
+        if masks:
+            rows = written(each.filter(~is_full & (F.col("n") > per_node)).select("fp", "mask"), "crowded")
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def _joined(each: DataFrame, members: int, budget: int, per_node: int) -> DataFrame:
+    """Forest links of subtrees of up to ``per_node`` members each, dealt out to tasks by mask and key."""
+
+    def join(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        mask = int(key[0]) % (1 << BITS)
+        depth, fp = mask.bit_count(), rows["fp"].to_numpy().view(np.uint64)
+        x = _leading(fp, mask)
+        order = np.argsort(x)
+        x, fp = x[order], fp[order].view(np.int64)
+        first = np.flatnonzero(np.append(True, x[1:] >> np.uint64(BITS - depth) != x[:-1] >> np.uint64(BITS - depth)))
+        last = np.append(first[1:], len(x))
+        first, last = first[last - first > 1], last[last - first > 1]
+        forest = Forest(len(x))
+        for i, j in trie_pairs(x, x, depth, budget, True, start=(first, last, first, last, np.zeros(len(first), np.int64))):
+            forest.add(i, j)
+        root = forest.roots()
+        far = root != np.arange(len(x))
+        return pd.DataFrame({"u": fp[far], "v": fp[root[far]]})
+
+    tasks = max(1, -(-members // (4 * per_node)))
+    dealt = each.select("fp", "mask", F.pmod(F.xxhash64("mask", "key"), F.lit(tasks)).alias("b"))
+    return dealt.groupBy("mask", "b").applyInPandas(join, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, budget: int = 2) -> DataFrame:
@@ -178,20 +219,22 @@ def _keep_one_like(docs: DataFrame, words: int, budget: int, similarity: float)
     slim = _keyed(docs)
     often, rank = shingles.frequent(slim, words)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for b in batches:
-            out = []
-            for t in b["text"]:
+            fp, node, size, first = [], [], [], []
+            for t in b.column("text").to_pylist():
                 h = shingles.hashes(t, words)
                 u = np.unique(h)
-                node = np.uint64(xxhash.xxh64_intdigest(u.tobytes())).view(np.int64)
-                out.append((_majority(h), node, len(u), shingles.prefix(u, similarity, often, rank).view("<i8")))
-            fp, node, size, first = zip(*out, strict=True) if out else ((), (), (), ())
-            yield pd.DataFrame({"doc_id": b["doc_id"], "th": b["th"], "fp": fp, "node": node, "size": size, "prefix": first})
-
-    rows = written(slim.mapInPandas(run, "doc_id long, th long, fp long, node long, size long, prefix array<long>"), "profiles")
+                fp.append(_majority(h))
+                node.append(int(np.uint64(xxhash.xxh64_intdigest(u.tobytes())).view(np.int64)))
+                size.append(len(u))
+                first.append(shingles.prefix(u, similarity, often, rank).view("<i8"))
+            told = [pa.array(fp, pa.int64()), pa.array(node, pa.int64()), pa.array(size, pa.int64()), pa.array(first, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), *told], ["doc_id", "th", "fp", "node", "size", "prefix"])
+
+    rows = written(slim.mapInArrow(run, "doc_id long, th long, fp long, node long, size long, prefix array<long>"), "profiles")
     classes = rows.groupBy("fp", "node").agg(F.min(_key(rows)).alias("least")).withColumn("class", F.xxhash64("fp", "node"))
     classes = written(classes, "classes")
     sets = written(rows.groupBy("node").agg(F.first("size").alias("size"), F.first("prefix").alias("prefix"), F.min("th").alias("th")), "sets")

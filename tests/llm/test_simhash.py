@@ -74,3 +74,32 @@ def test_many_subtrees(spark):
     nodes = spark.createDataFrame([(int(v),) for v in {*base.tolist(), *near.tolist()}], "fp long")
     got = {frozenset(r) for r in simhash.links(nodes, 2, per_node=16).collect()}
     assert all(frozenset((int(a), int(b))) in got for a, b in zip(base, near))
+
+
+@pytest.mark.parametrize("per_node", [4, 40, 8192])
+@pytest.mark.parametrize("budget", [2, 3])
+def test_links_join_what_all_pairs_join(spark, per_node, budget):
+    from sigmill.llm.components import Forest, connected_components
+
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 2**63, 60, dtype=np.uint64)
+    crowd = np.uint64(12345) ^ (rng.integers(0, 2**9, 150).astype(np.uint64) << np.uint64(30))  # one crowded subtree
+    step = lambda a: a ^ (np.uint64(1) << rng.integers(0, 64, len(a)).astype(np.uint64))
+    fp = np.unique(np.concatenate([base, step(step(base)), step(step(step(base))), crowd, [0, 2**64 - 1]]).astype(np.uint64))
+    i, j = np.nonzero(np.bitwise_count(fp[:, None] ^ fp[None, :]) <= budget)
+    forest = Forest(len(fp))
+    forest.add(i, j)
+    signed = fp.view(np.int64)
+    nodes = spark.createDataFrame([(int(f),) for f in signed], "fp long")
+    root = {r.node: r.root for r in connected_components(simhash.links(nodes, budget, per_node)).collect()}
+    got, want = {}, {}
+    for f, r in zip(signed.tolist(), forest.roots().tolist()):
+        got.setdefault(root.get(f, f), set()).add(f)
+        want.setdefault(r, set()).add(f)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+
+
+def test_large_ids_stay_exact_beside_null(spark):
+    rows = [(2**53 + 1, "a b c"), (2**53 + 3, "d e f g"), (None, "h i")]
+    got = simhash.document_components(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(i, i) for i, _ in rows}
