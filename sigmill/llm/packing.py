@@ -9,6 +9,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -19,6 +20,9 @@ from sigmill.llm.common import written
 #: Fixed value: how byte-level BPE cuts a text before it merges.
 BYTE_LEVEL_SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
+#: Rows of totals (one for each task of the first pass) up to which they are sent to every executor.
+BROADCAST_ROWS = 1_000_000
+
 TOKENS = "part int, doc_id long, n long, before long, ids binary"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 PARTS = "sequence_id long, offset long, ids binary, whole boolean"
@@ -31,12 +35,26 @@ def _byte_names() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def _plain_byte_level(told: dict) -> bool:
+    """Whether a tokenizer file is byte-level BPE with the usual cuts and merges in the order of their ids."""
+    cuts, model = told.get("pre_tokenizer") or {}, told["model"]
+    if cuts.get("type") != "ByteLevel" or cuts.get("add_prefix_space") or not cuts.get("use_regex", True) or told.get("normalizer"):
+        return False
+    odd = ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")
+    if model.get("type", "BPE") != "BPE" or any(model.get(k) for k in odd):
+        return False
+    made = ["".join(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+    ids = [model["vocab"].get(t, -1) for t in made]
+    return ids[:1] != [-1] and all(a < b for a, b in zip(ids, ids[1:], strict=False)) and all(c in model["vocab"] for c in _byte_names())
+
+
 @lru_cache(maxsize=4)
 def encoder(path: str) -> Callable[[str], list[int]]:
     """Ids of a text under the tokenizer file at ``path``, without special tokens.
 
     Byte-level BPE files whose merges stand in the order of their ids (the usual case)
-    are run by a faster library with the same vocabulary; tests hold the two equal.
+    are run by a faster library with the same vocabulary; tests hold the two equal. Any
+    other file is run by its own library.
     """
     from tokenizers import Tokenizer
 
@@ -44,7 +62,7 @@ def encoder(path: str) -> Callable[[str], list[int]]:
     slow.encode_special_tokens = True
     with open(path, encoding="utf-8") as f:
         told = json.load(f)
-    if (told.get("pre_tokenizer") or {}).get("type") != "ByteLevel" or told.get("normalizer") or told["pre_tokenizer"].get("add_prefix_space"):
+    if not _plain_byte_level(told):
         return lambda text: slow.encode(text, add_special_tokens=False).ids
     import tiktoken
 
@@ -60,30 +78,36 @@ def tokenize(docs: DataFrame, path: str, end_id: int = 1) -> DataFrame:
     ``before`` counts the partition's tokens ahead of the document. The table is
     written, so partition numbers and places stay as they are from here on.
     Null text is empty: such a document is its end id alone. Ids take 32 bits each.
+    Rows that repeat a doc_id or a text are documents of their own; null ids stay null;
+    an empty table has no tokens; other columns are left behind, whatever their names.
+    A text of any length is one row: ids are as large as its bytes, about.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part, before = encoder(path), TaskContext.get().partitionId(), 0
         for b in batches:
-            ids = [np.array([*encode(t or ""), end_id], "<u4") for t in b["text"]]
+            ids = [np.array([*encode(t or ""), end_id], "<u4") for t in b.column("text").to_pylist()]
             n = np.array([len(x) for x in ids], np.int64)
             at = before + np.cumsum(n) - n
             before += int(n.sum())
-            yield pd.DataFrame({"part": part, "doc_id": b["doc_id"], "n": n, "before": at, "ids": [x.tobytes() for x in ids]})
+            out = [pa.array(np.full(len(n), part, np.int32)), b.column("doc_id"), pa.array(n), pa.array(at), pa.array([x.tobytes() for x in ids], pa.binary())]
+            yield pa.RecordBatch.from_arrays(out, ["part", "doc_id", "n", "before", "ids"])
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return written(slim.mapInPandas(run, TOKENS), "tokens")
+    return written(slim.mapInArrow(run, TOKENS), "tokens")
 
 
 def placed(tokens: DataFrame) -> DataFrame:
     """Second pass: adds ``first``, the place of a document's first token in the whole stream.
 
     Only the partitions' totals are summed in one place: a row for each task of the
-    first pass, which bounds what is sent to every executor.
+    first pass. They are sent to every executor if they are few enough, and joined by
+    Spark's own choice beyond that.
     """
     totals = tokens.groupBy("part").agg(F.sum("n").alias("_n"))
     base = totals.select("part", (F.sum("_n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("_n")).alias("_base"))
-    return tokens.join(F.broadcast(base), "part").select("doc_id", "n", "ids", (F.col("_base") + F.col("before")).alias("first"))
+    base = written(base, "bases")
+    return tokens.join(F.broadcast(base) if base.count() <= BROADCAST_ROWS else base, "part").select("doc_id", "n", "ids", (F.col("_base") + F.col("before")).alias("first"))
 
 
 def _cuts(first: int, n: int, size: int) -> Iterator[tuple[int, int]]:
@@ -97,16 +121,21 @@ def _cuts(first: int, n: int, size: int) -> Iterator[tuple[int, int]]:
 
 def pieces(tokens: DataFrame, size: int = 2048) -> DataFrame:
     """One row for each piece of a document that lies in one window."""
+    names = PIECES.replace(" long", "").split(", ")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for doc, n, raw, first in zip(b["doc_id"], b["n"], b["ids"], b["first"], strict=True):
-                for s, e in _cuts(first, n, size):
-                    rows.append((doc, s, e - s, zlib.crc32(raw[4 * s : 4 * e]), n, (first + s) // size, (first + s) % size))
-            yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
-
-    return placed(tokens).mapInPandas(run, PIECES)
+            of, rows = [], []
+            n, ids, first = (b.column(c).to_pylist() for c in ("n", "ids", "first"))
+            for k, at in enumerate(first):
+                for s, e in _cuts(at, n[k], size):
+                    of.append(k)
+                    rows.append((s, e - s, zlib.crc32(ids[k][4 * s : 4 * e]), n[k], (at + s) // size, (at + s) % size))
+            told = np.array(rows, np.int64).reshape(-1, len(names) - 1)
+            # ids stay in Arrow: pandas would turn a column with nulls into doubles
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(of, pa.int64())), *(pa.array(c) for c in told.T.copy())], names)
+
+    return placed(tokens).mapInArrow(run, PIECES)
 
 
 def sequences(tokens: DataFrame, size: int = 2048) -> DataFrame:
