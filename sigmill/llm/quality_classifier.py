@@ -109,15 +109,13 @@ def fit(sums: np.ndarray, shrink: float = 0.1, ridge: float = 1e-3) -> Discrimin
 
 
 def scored(features: DataFrame, model: Discriminant | float) -> DataFrame:
-    """(doc_id, score) of every row of (doc_id, x)."""
+    """(doc_id, score) of every row of (doc_id, x); ids never leave the JVM."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            x = np.stack(b["x"].to_numpy()) if len(b) else np.zeros((0, len(NAMES)))
-            s = np.full(len(b), model) if isinstance(model, float) else model.score(x)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "score": s})
+    @F.pandas_udf("double")
+    def score(x: pd.Series) -> pd.Series:
+        return pd.Series(model.score(np.stack(x.to_numpy())) if len(x) else np.zeros(0))
 
-    return features.mapInPandas(run, "doc_id long, score double")
+    return features.select("doc_id", (F.lit(model) if isinstance(model, float) else score("x")).alias("score"))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -134,6 +132,7 @@ def classify(docs: DataFrame, labels: DataFrame, shrink: float = 0.1) -> DataFra
     """
     features = written(add_statistics(docs.withColumn("doc_id", F.col("doc_id").cast("long"))), "statistics")
     known = labels.filter(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"))).select(F.col("doc_id").cast("long").alias("doc_id"), "quality")
-    model = fit(moments(features.join(known, "doc_id").select("quality", "x")), shrink)
+    # a shuffled join at every size: how many labels there are follows from the data
+    model = fit(moments(features.join(known.hint("merge"), "doc_id").select("quality", "x")), shrink)
     out = scored(features, model)
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
