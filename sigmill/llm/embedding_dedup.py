@@ -7,12 +7,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sigmill.llm.common import written
-from sigmill.llm.components import connected_components, local_forest
+from sigmill.llm.components import Forest, connected_components
 
 #: Rounding that the bound on distance allows for; the cosine itself is compared exactly.
 SLACK = 1e-9
@@ -23,29 +24,34 @@ def reach(cosine: float) -> float:
     return math.sqrt(max(0.0, 2 - 2 * cosine)) + SLACK
 
 
-def directions(classes: DataFrame, lead: int) -> np.ndarray:
-    """Leading principal directions (dim, lead) of all unit vectors.
+def directions(classes: DataFrame, width: int, lead: int, rounds: int = 3) -> np.ndarray:
+    """Leading principal directions (width, lead) of all unit vectors, by subspace iteration.
 
-    Every task adds up its own outer products; sums of dim x dim numbers meet.
+    Every task multiplies its own vectors with the present directions; what meets is
+    width x lead numbers a task, never width x width. Any orthonormal directions give
+    right results; the better ones only prune more.
     """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = None
-        for b in batches:
-            if len(b):
-                x = units_of(stacked(b["vec"]))
-                x = np.hstack([np.ones((len(x), 1)), x])
-                total = x.T @ x if total is None else total + x.T @ x
-        if total is not None:
-            yield pd.DataFrame({"k": np.arange(total.size), "v": total.ravel()})
-
-    got = classes.mapInPandas(run, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).toPandas().sort_values("k")
-    if not len(got):
-        return np.zeros((0, 0))
-    side = math.isqrt(len(got))
-    s = got["v"].to_numpy().reshape(side, side)
-    cov = s[1:, 1:] / s[0, 0] - np.outer(s[0, 1:], s[0, 1:]) / s[0, 0] ** 2
-    return np.linalg.eigh(cov)[1][:, ::-1][:, :lead]
+    lead = min(lead, width)
+    if lead == width:
+        return np.eye(width)
+    axes = np.linalg.qr(np.random.default_rng(7).normal(size=(width, lead)))[0]
+    for _ in range(rounds):
+
+        def run(batches: Iterator[pd.DataFrame], axes: np.ndarray = axes) -> Iterator[pd.DataFrame]:
+            total, mean, n = np.zeros((width, lead)), np.zeros(width), 0
+            for b in batches:
+                if len(b):
+                    x = units_of(padded(b["vec"], width))
+                    total += x.T @ (x @ axes)
+                    mean += x.sum(0)
+                    n += len(b)
+            if n:
+                yield pd.DataFrame({"k": np.arange(total.size + width + 1), "v": np.concatenate([total.ravel(), mean, [n]])})
+
+        got = classes.select("vec").mapInPandas(run, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).toPandas().sort_values("k")["v"].to_numpy()
+        total, mean, n = got[: width * lead].reshape(width, lead), got[width * lead : -1], got[-1]
+        axes = np.linalg.qr(total / n - np.outer(mean / n, mean / n @ axes))[0]
+    return axes
 
 
 def usable(vec: str) -> Column:
@@ -62,8 +68,27 @@ def units_of(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def stacked(vecs: pd.Series) -> np.ndarray:
-    return np.stack(vecs.to_numpy())
+def padded(vecs: pd.Series, width: int, kind: str = "<f8") -> np.ndarray:
+    """Vectors as rows, zeros behind those that are shorter than ``width``."""
+    if not len(vecs):
+        return np.zeros((0, width), kind)
+    first = len(vecs.iloc[0])
+    if all(len(v) == first for v in vecs):
+        out = np.stack(vecs.to_numpy()).astype(kind)
+        return out if first == width else np.pad(out, ((0, 0), (0, width - first)))
+    return np.stack([np.pad(np.asarray(v, kind), (0, width - len(v))) for v in vecs])
+
+
+def spots(x: np.ndarray, length: np.ndarray, axes: np.ndarray) -> np.ndarray:
+    """What bounds the distance of unit vectors from below, when taken as places.
+
+    First the count of components, so far apart that unlike lengths never meet; then
+    the places on the leading directions; last the length of what lies off them all,
+    as that of two vectors differs by no more than the distance between them.
+    """
+    p = x @ axes
+    off = np.sqrt(np.maximum(0, 1 - (p * p).sum(1)))
+    return np.column_stack([4.0 * length, p, off])
 
 
 def in_grid_order(classes: DataFrame, axes: np.ndarray, eps: float, block: int) -> DataFrame:
@@ -71,22 +96,27 @@ def in_grid_order(classes: DataFrame, axes: np.ndarray, eps: float, block: int)
 
     Cells of width ``eps`` on the leading directions, compared one after another, order
     the vectors; Spark sorts them by range. A block carries its vectors and the
-    least and largest value on each direction.
+    least and largest value on each direction. Blocks are numbered through the tasks'
+    counts of blocks: a row for each task is all that meets.
     """
-    kind = _kind(classes)
+    kind, width = _kind(classes), len(axes)
 
     def project(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
-                p = units_of(stacked(b["vec"])) @ axes
+                p = spots(units_of(padded(b["vec"], width)), np.array([len(v) for v in b["vec"]]), axes)
                 yield b[["cls", "n", "vec"]].assign(at=list(p), cell=list(np.floor(p / eps).astype(np.int32)))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
+        part, made = TaskContext.get().partitionId(), 0
 
         def one(b: pd.DataFrame) -> pd.DataFrame:
-            p, raw = stacked(b["at"]), [stacked(b["vec"]).astype(kind).tobytes()]
-            return pd.DataFrame({"first": [b["cell"].iloc[0]], "cls": [b["cls"].to_numpy(np.int64)], "n": [b["n"].to_numpy(np.int64)], "raw": raw, "low": [p.min(0)], "high": [p.max(0)]})
+            nonlocal made
+            made += 1
+            p, raw = np.stack(b["at"].to_numpy()), [padded(b["vec"], width, kind).tobytes()]
+            size = [np.array([len(v) for v in b["vec"]], np.int32)]
+            return pd.DataFrame({"part": [part], "at": [made - 1], "cls": [b["cls"].to_numpy(np.int64)], "n": [b["n"].to_numpy(np.int64)], "size": size, "raw": raw, "low": [p.min(0)], "high": [p.max(0)]})
 
         for b in batches:
             held.append(b)
@@ -98,12 +128,11 @@ def in_grid_order(classes: DataFrame, axes: np.ndarray, eps: float, block: int)
             yield one(pd.concat(held))
 
     cells = written(classes.select("cls", "n", "vec").mapInPandas(project, f"cls long, n long, vec {dict(classes.dtypes)['vec']}, at array<double>, cell array<int>"), "cells")
-    sorted_ = cells.orderBy("cell", "cls")
-    made = sorted_.mapInPandas(cut, "first array<int>, cls array<long>, n array<long>, raw binary, low array<double>, high array<double>")
+    made = cells.orderBy("cell", "cls").mapInPandas(cut, "part int, at int, cls array<long>, n array<long>, size array<int>, raw binary, low array<double>, high array<double>")
     made = written(made, "made-blocks")
-    order = made.select("first", F.element_at("cls", 1).alias("c")).withColumn("block", F.row_number().over(W.orderBy("first", "c")) - 1)
-    numbered = made.withColumn("c", F.element_at("cls", 1)).join(order.drop("first"), "c")
-    return written(numbered.drop("c", "first"), "blocks")
+    count = made.groupBy("part").agg(F.count(F.lit(1)).alias("k"))
+    base = count.select("part", (F.sum("k").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("k")).alias("base"))
+    return written(made.join(base, "part").withColumn("block", (F.col("base") + F.col("at")).cast("int")).drop("part", "at", "base"), "blocks")
 
 
 def near_blocks(blocks: DataFrame, eps: float, fan: int = 8) -> DataFrame:
@@ -133,9 +162,9 @@ def near_blocks(blocks: DataFrame, eps: float, fan: int = 8) -> DataFrame:
 
 
 def join_intervals(x: np.ndarray, px: np.ndarray, y: np.ndarray, py: np.ndarray, cosine: float, same: bool, leaf: int = 128) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs with cosine at least ``cosine``, by halving both intervals.
+    """Index pairs of one length with cosine at least ``cosine``, by halving both intervals.
 
-    ``px`` and ``py`` hold the places on the leading directions, which bound the distance from below.
+    ``px`` and ``py`` hold the vectors' ``spots``, which bound the distance from below.
     """
     eps2 = reach(cosine) ** 2
     stack = [(0, len(x), 0, len(y))]
@@ -146,7 +175,10 @@ def join_intervals(x: np.ndarray, px: np.ndarray, y: np.ndarray, py: np.ndarray,
         if gap @ gap > eps2:
             continue
         if b - a <= leaf and d - c <= leaf:
-            i, j = np.nonzero(x[a:b] @ y[c:d].T >= cosine)
+            near = x[a:b] @ y[c:d].T >= cosine
+            if p[0, 0] != p[-1, 0] or q[0, 0] != q[-1, 0] or p[0, 0] != q[0, 0]:
+                near &= p[:, :1] == q[:, 0]
+            i, j = np.nonzero(near)
             if same and a == c:
                 i, j = i[i < j], j[i < j]
             if len(i):
@@ -164,43 +196,45 @@ def _kind(classes: DataFrame) -> str:
     return "<f4" if dict(classes.dtypes)["vec"] == "array<float>" else "<f8"
 
 
-def class_links(classes: DataFrame, cosine: float, lead: int, block: int) -> DataFrame:
-    """Rows (u, v, n): a link of the forest of a pair of blocks, or, with v null, ``n`` links of u.
+def class_links(classes: DataFrame, width: int, cosine: float, lead: int, block: int, side: int = 8) -> DataFrame:
+    """Rows (u, v, n): a link of a task's forest, or, with v null, ``n`` links of u.
 
-    Each pair of blocks is one task's work; links leave it counted, not listed.
+    ``side`` blocks in a row of the sequence against ``side`` others are one task's work,
+    so a block travels once for ``side`` others, not once for each; links leave the
+    task counted, not listed. ``width`` is the count of components of the longest vector.
     """
-    eps = reach(cosine)
-    axes, kind = directions(classes, lead), _kind(classes)
-    blocks = in_grid_order(classes, axes, eps, block)
-    pairs = near_blocks(blocks, eps)
-    body = ("cls", "n", "raw")
-    left, right = (blocks.select(F.col("block").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in body]) for s in "ab")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for r in b.itertuples(index=False):
-                same = r.a == r.b
-                cx, cy, nx, ny = np.asarray(r.a_cls), np.asarray(r.b_cls), np.asarray(r.a_n), np.asarray(r.b_n)
-                x, y = (units_of(np.frombuffer(u, kind).reshape(len(c), -1)) for u, c in ((r.a_raw, cx), (r.b_raw, cy)))
-                got = list(join_intervals(x, x @ axes, y, y @ axes, cosine, same))
-                if not got:
+    eps, kind = reach(cosine), _kind(classes)
+    axes = directions(classes, width, lead)
+    blocks = in_grid_order(classes, axes, eps, max(32, min(block, (1 << 18) // width)))
+    tile = [F.floor(F.col(c) / side).cast("int").alias(f"t{c}") for c in "ab"]
+    pairs = written(near_blocks(blocks, eps).select(*tile, "a", "b"), "block-pairs")
+    wanted = pairs.select("ta", "tb", F.col("a").alias("block")).union(pairs.select("ta", "tb", F.col("b").alias("block"))).distinct()
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("block")
+        begin = np.cumsum([0, *(len(c) for c in rows["cls"])])
+        ids, n = np.concatenate(rows["cls"].to_list()), np.concatenate(rows["n"].to_list())
+        x = [units_of(np.frombuffer(r, kind).reshape(len(c), width)) for r, c in zip(rows["raw"], rows["cls"], strict=True)]
+        p = [spots(v, np.asarray(s), axes) for v, s in zip(x, rows["size"], strict=True)]
+        at = rows["block"].to_numpy() // side
+        forest, count = Forest(len(ids)), np.zeros(len(ids), np.int64)
+        for a in np.flatnonzero(at == key[0]):
+            for b in np.flatnonzero(at == key[1]):
+                if b < a:
                     continue
-                i, j = (np.concatenate(v) for v in zip(*got, strict=True))
-                wx = np.bincount(i, ny[j], len(cx)).astype(np.int64)
-                wy = np.bincount(j, nx[i], len(cy)).astype(np.int64)
-                ids = cx if same else np.concatenate([cx, cy])
-                w = wx + wy if same else np.concatenate([wx, wy])
-                root = local_forest(len(ids), i, j if same else j + len(cx))
-                far, some = root != np.arange(len(ids)), w > 0
-                yield pd.DataFrame({"u": ids[far], "v": pd.array(ids[root[far]], "Int64"), "n": 0})
-                yield pd.DataFrame({"u": ids[some], "v": pd.array([None] * int(some.sum()), "Int64"), "n": w[some]})
-
-    work = pairs.join(left, "a").join(right, "b")
-    return written(work.mapInPandas(run, "u long, v long, n long"), "block-links")
-
+                for i, j in join_intervals(x[a], p[a], x[b], p[b], cosine, a == b):
+                    i, j = i + begin[a], j + begin[b]
+                    forest.add(i, j)
+                    np.add.at(count, i, n[j])
+                    np.add.at(count, j, n[i])
+        root = forest.roots()
+        far, some = np.flatnonzero(root != np.arange(len(ids))), np.flatnonzero(count)
+        v = pd.array(np.concatenate([ids[root[far]], np.zeros(len(some), np.int64)]), "Int64")
+        v[len(far) :] = None
+        return pd.DataFrame({"u": np.concatenate([ids[far], ids[some]]), "v": v, "n": np.concatenate([np.zeros(len(far), np.int64), count[some]])})
 
-#: Vectors of each length are joined on their own, up to so many lengths.
-WIDTHS = 1000
+    work = wanted.join(blocks, "block").groupBy("ta", "tb")
+    return written(work.applyInPandas(run, "u long, v long, n long"), "block-links")
 
 
 def near_vectors(table: DataFrame, key: str = "vec_id", vec: str = "embedding", cosine: float = 0.95, lead: int = 16, block: int = 4096) -> DataFrame:
@@ -209,27 +243,19 @@ def near_vectors(table: DataFrame, key: str = "vec_id", vec: str = "embedding",
     Equal vectors fold into one class named by its least key, and count as linked to
     one another; so copies of any number cost one vector. Vectors that are null,
     zero, or hold null or non-finite components link with nothing, nor do vectors of
-    another length. Rows that repeat a key stay rows. An empty table stays empty; more
-    than ``WIDTHS`` lengths are an error.
+    another length. Rows that repeat a key stay rows; null keys count for nothing in the
+    least. An empty table stays empty; other columns are left behind.
     """
     rows = table.select(F.col(key).cast("long").alias("key"), F.col(vec).alias("vec"))
     rows = rows.withColumn("ok", usable("vec")).withColumn("cls_of", F.when(F.col("ok"), F.md5(F.to_json(F.struct("vec")).cast("binary"))))
     good = rows.filter("ok")
     classes = good.groupBy("cls_of").agg(F.min("key").alias("least"), F.count(F.lit(1)).alias("n"), F.first("vec").alias("vec"))
     classes = written(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
-    found = []
-    widths = [r[0] for r in classes.select(F.size("vec")).distinct().limit(WIDTHS + 1).collect()]
-    if len(widths) > WIDTHS:
-        raise ValueError(f"vectors of more than {WIDTHS} lengths can't be joined one length at a time")
-    for width in sorted(widths):
-        own = classes.filter(F.size("vec") == width) if len(widths) > 1 else classes
-        found.append(class_links(own, cosine, lead, block))
+    width = classes.agg(F.max(F.size("vec"))).first()[0]
     names = classes.select("cls", "least", "n", "cls_of")
-    if not found:
+    if not width:
         return rows.select(F.col("key").alias(key), F.lit(0).cast("long").alias("n_links"), F.col("key").alias("component_id"), F.lit(True).alias("kept"))
-    links = found[0]
-    for more in found[1:]:
-        links = links.unionByName(more)
+    links = class_links(classes, width, cosine, lead, block)
     roots = written(connected_components(links.filter("v is not null").select("u", "v")), "roots")
     least = roots.join(names, roots["node"] == names["cls"]).groupBy("root").agg(F.min("least").alias("component_id"))
     least = roots.join(least, "root").select(F.col("node").alias("cls"), "component_id")

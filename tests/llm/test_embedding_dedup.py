@@ -1,5 +1,4 @@
 import numpy as np
-import pytest
 
 from sigmill.llm import embedding_dedup as E
 
@@ -41,7 +40,15 @@ def test_empty(spark):
     assert E.near_vectors(table(spark, [(1, None)])).collect()[0].kept
 
 
-def test_too_many_lengths_are_an_error(spark, monkeypatch):
-    monkeypatch.setattr(E, "WIDTHS", 2)
-    with pytest.raises(ValueError, match="more than 2 lengths"):
-        E.near_vectors(table(spark, [(n, [1.0] * n) for n in range(1, 4)]))
+def test_vectors_of_very_many_lengths(spark):
+    rows = [(n, [1.0] * n) for n in range(1, 1201)] + [(5000 + n, [2.0] * n) for n in range(1, 1201, 7)]
+    got = E.near_vectors(table(spark, rows))
+    twins = {r.vec_id: (r.n_links, r.component_id) for r in got.collect()}
+    want = {k: ((1, n) if n % 7 == 1 else (0, n)) for k, v in rows for n in [len(v)]}
+    assert twins == want
+
+
+def test_large_and_null_keys(spark):
+    rows = [(2**53 + 1, [1.0, 0.0]), (2**53 + 3, [0.0, 1.0]), (None, [1.0, 1.0]), (None, [1.0, 0.01])]
+    got = sorted((r.vec_id or 0, r.n_links, r.component_id or 0) for r in E.near_vectors(table(spark, rows)).collect())
+    assert got == [(0, 0, 0), (0, 1, 2**53 + 1), (2**53 + 1, 1, 2**53 + 1), (2**53 + 3, 0, 2**53 + 3)]
