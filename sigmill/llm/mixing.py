@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -43,16 +43,19 @@ def mix(docs: DataFrame, size: str = "size", source: str = "source", key: str =
     Each source takes whole repetitions of all its documents and, for the fraction
     that is left, documents in seeded order until the target is met; the one on the
     border is taken if more than half of it fits, so a source misses its target by
-    half a document at most. Null sizes count as 0; null sources are a source; rows
-    that repeat key and size are decided together. An empty table stays empty.
-    Columns named like the added ones are replaced.
+    half a document at most. Null sizes count as 0; null sources are a source. Rows
+    that repeat a key are rows of their own: of those with the border's key and size as
+    many are taken as fit, whichever come first by a hash of all their columns. An empty
+    table stays empty. Columns named like the added ones are replaced.
 
     The seeded order isn't sorted as a whole: sizes are summed by source and leading
-    digits of the draw first, and only the rows of the one cut that holds the border
-    are looked at singly, so no source gathers in one task.
+    digits of the draw first, and only the one cut that holds the border is looked at
+    closer, by draw and size with a count, so no source and no repeated key gathers
+    in one task. The table of sources is sent to every executor up to ``BROADCAST_ROWS``
+    rows and joined by shuffle beyond that; rows and results are the same.
     """
     docs = docs.drop("source_size", "target", "repeats")
-    slim = docs.select(F.col(source).alias("source"), F.coalesce(F.col(size), F.lit(0)).cast("long").alias("_n"), F.col(key).alias("_k")).withColumn("_h", hex_draw(f"{seed}", F.col("_k")))
+    slim = docs.select(F.col(source).alias("source"), _size(size), F.col(key).alias("_k")).withColumn("_h", hex_draw(f"{seed}", F.col("_k")))
     cuts = written(slim.groupBy("source", F.substring("_h", 1, 3).alias("_cut")).agg(F.sum("_n").alias("_n")), "mix-cuts")
     goals = source_targets(cuts.groupBy("source").agg(F.sum("_n").alias("source_size")), **law)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int")
@@ -67,19 +70,61 @@ def mix(docs: DataFrame, size: str = "size", source: str = "source", key: str =
     edge = edge.select("_s", "_cut", (F.col("_upto") - F.col("_n")).alias("_below"), "_need")
 
     inside = slim.join(to_all(edge), F.col("source").eqNullSafe(F.col("_s")) & (F.substring("_h", 1, 3) == F.col("_cut")))
-    order = W.partitionBy("_s").orderBy("_h", "_k", "_n").rowsBetween(W.unboundedPreceding, W.currentRow)
-    inside = inside.withColumn("_mid", F.col("_below") + F.sum("_n").over(order) - F.col("_n") / 2).filter(F.col("_mid") <= F.col("_need"))
-    last = inside.groupBy("_s").agg(F.max(F.struct("_h", "_n")).alias("_last"))
+    last = _last_taken(inside)
     edge = edge.join(last.withColumnRenamed("_s", "_t"), F.col("_s").eqNullSafe(F.col("_t")), "left").select("_s", "_cut", "_last")
     plan = goals.join(edge, F.col("source").eqNullSafe(F.col("_s")), "left").select(F.col("source").alias("_source"), "source_size", "target", "_whole", "_cut", "_last")
     plan = written(plan, "mix-plan")
 
     names = docs.columns
-    h = hex_draw(f"{seed}", F.col(key))
-    docs = docs.withColumn("_h", h).join(to_all(plan), F.col(source).eqNullSafe(F.col("_source")), "left")
-    first = F.substring("_h", 1, 3)
-    extra = (first < F.col("_cut")) | ((first == F.col("_cut")) & (F.struct(F.col("_h"), F.coalesce(F.col(size), F.lit(0)).cast("long").alias("_n")) <= F.col("_last")))
-    return docs.select(*names, "source_size", "target", (F.col("_whole") + F.coalesce(extra, F.lit(False)).cast("int")).alias("repeats"))
+    found = docs.withColumns({"_h": hex_draw(f"{seed}", F.col(key)), "_n": F.coalesce(F.col(size), F.lit(0)).cast("long")})
+    found = found.join(to_all(plan), F.col(source).eqNullSafe(F.col("_source")), "left")
+    first, place = F.substring("_h", 1, 3), F.struct("_h", "_n")
+    last = F.struct(F.col("_last._h").alias("_h"), F.col("_last._n").alias("_n"))
+    split = F.coalesce((place == last) & (F.col("_last.take") < F.col("_last.copies")), F.lit(False))
+    extra = (first < F.col("_cut")) | ((first == F.col("_cut")) & (place <= last))
+    told = (*names, "source_size", "target")
+    if not plan.filter("_last.take < _last.copies").limit(1).count():
+        return found.select(*told, _times(extra).alias("repeats"))
+    return found.filter(~split).select(*told, _times(extra).alias("repeats")).unionByName(_some_copies(found.filter(split), names, told))
+
+
+def _size(size: str) -> Column:
+    return F.coalesce(F.col(size), F.lit(0)).cast("long").alias("_n")
+
+
+def _times(extra: Column) -> Column:
+    return F.col("_whole") + F.coalesce(extra, F.lit(False)).cast("int")
+
+
+def _last_taken(inside: DataFrame) -> DataFrame:
+    """(_s, _last): the last draw and size that a source takes from its border cut, how many of its copies and of how many."""
+    groups = inside.groupBy("_s", "_h", "_n").agg(F.count(F.lit(1)).alias("copies"), F.first("_below").alias("_below"), F.first("_need").alias("_need"))
+    order = W.partitionBy("_s").orderBy("_h", "_n").rowsBetween(W.unboundedPreceding, W.currentRow)
+    groups = groups.withColumn("_before", F.col("_below") + F.sum(F.col("_n") * F.col("copies")).over(order) - F.col("_n") * F.col("copies"))
+    # copy j is taken if the middle of it, before + j n - n / 2, lies within the need
+    fits = F.floor((F.col("_need") - F.col("_before")) / F.col("_n") + 0.5)
+    fits = F.when(F.col("_before") + fits * F.col("_n") - F.col("_n") / 2 <= F.col("_need"), fits).otherwise(fits - 1)
+    take = F.when(F.col("_n") > 0, F.greatest(F.lit(0), F.least(fits, F.col("copies")))).otherwise(F.when(F.col("_before") <= F.col("_need"), F.col("copies")).otherwise(0))
+    groups = groups.withColumn("take", take.cast("long")).filter("take > 0")
+    return groups.groupBy("_s").agg(F.max(F.struct("_h", "_n", "take", "copies")).alias("_last"))
+
+
+def _some_copies(rows: DataFrame, names: Sequence[str], told: Sequence[str]) -> DataFrame:
+    """The rows on a border that not all fit, with their repeats: the first of them by a hash of their columns.
+
+    Rows are written with the number of their task and counted by leading digits of the
+    hash and by task, so that numbering never gathers them, alike or not.
+    """
+    plain = [F.col(c) for c, t in rows.dtypes if c in names and not t.startswith(("map", "variant", "void"))]
+    rows = rows.withColumn("_c", F.xxhash64(*plain) if plain else F.lit(0).cast("long"))
+    rows = written(rows.withColumns({"_cp": F.pmod("_c", F.lit(4096)), "_part": F.spark_partition_id()}), "mix-border")
+    by = ["_source", "_cp", "_part"]
+    counts = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows"))
+    before = F.sum("_rows").over(W.partitionBy("_source").orderBy("_cp", "_part").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("_rows")
+    counts = counts.select(*[F.col(c).alias(f"_of{c}") for c in by], before.alias("_from"))
+    same = F.col("_source").eqNullSafe(F.col("_of_source")) & (F.col("_cp") == F.col("_of_cp")) & (F.col("_part") == F.col("_of_part"))
+    place = F.row_number().over(W.partitionBy(*by).orderBy("_c"))
+    return rows.withColumn("_at", place).join(counts, same).select(*told, _times(F.col("_from") + F.col("_at") <= F.col("_last.take")).alias("repeats"))
 
 
 def repeated(mixed: DataFrame, columns: Sequence[str]) -> DataFrame:
