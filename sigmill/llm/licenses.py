@@ -2,100 +2,136 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import re
+from functools import lru_cache
+from itertools import chain
 
+import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Sentences of public licence texts and notices, lower case, words only.
-SENTENCES = {
-    "licensed under the apache license version 2 0": "apache-notice",
-    "licensed under the apache license version 2 0 the license": "apache-notice",
-    "this project is licensed under the apache license version 2 0": "apache-notice",
-    "you may not use this file except in compliance with the license": "apache-compliance",
-    "you may obtain a copy of the license at": "apache-copy",
-    "spdx license identifier apache 2 0": "apache-tag",
-    "released under the mit license": "mit-notice",
-    "licensed under the mit license": "mit-notice",
-    "this project is licensed under the mit license": "mit-notice",
-    "the mit license mit": "mit-title",
-    "mit license": "mit-title",
-    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions": "mit-grant",
-    "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software": "mit-condition",
-    "spdx license identifier mit": "mit-tag",
-    "this work is licensed under the gnu general public license version 3": "gpl3-notice",
-    "licensed under the gnu general public license version 3": "gpl3-notice",
-    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version": "gpl3-later",
-    "spdx license identifier gpl 3 0 only": "gpl3-tag",
-    "spdx license identifier gpl 3 0 or later": "gpl3-later-tag",
-    "licensed under cc by nc 4 0": "ccbync-notice",
-    "licensed under cc by 4 0": "ccby-notice",
-    "licensed under cc by sa 4 0": "ccbysa-notice",
-    "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met": "bsd-grant",
-    "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer": "bsd-source",
-    "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution": "bsd-binary",
-    "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "bsd-endorse",
-    "all rights reserved": "reserved",
-}
-
-# Licence and the identifiers that make it, in order; the first rule that holds takes its sentences.
-RULES = [
-    ("Apache-2.0", ("apache-notice", "apache-compliance", "apache-copy")),
-    ("MIT", ("mit-grant", "mit-condition")),
-    ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse")),
-    ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary")),
-    ("Apache-2.0", ("apache-notice",)),
-    ("Apache-2.0", ("apache-tag",)),
-    ("MIT", ("mit-grant",)),
-    ("MIT", ("mit-notice",)),
-    ("MIT", ("mit-title",)),
-    ("MIT", ("mit-tag",)),
-    ("GPL-3.0-or-later", ("gpl3-later",)),
-    ("GPL-3.0-or-later", ("gpl3-later-tag",)),
-    ("GPL-3.0-only", ("gpl3-notice",)),
-    ("GPL-3.0-only", ("gpl3-tag",)),
-    ("CC-BY-NC-4.0", ("ccbync-notice",)),
-    ("CC-BY-SA-4.0", ("ccbysa-notice",)),
-    ("CC-BY-4.0", ("ccby-notice",)),
-    ("LicenseRef-all-rights-reserved", ("reserved",)),
-]
-
-#: A sentence ends at a line's end, or at . ! ? ; before white space.
-ENDS = r"[.!?;]+[ \t\r]+|[\r\n]+"
-
-
-def normalized_sentences(text: Column) -> Column:
-    """Sentences in lower case, with one space for whatever isn't a letter or digit."""
-    flat = lambda s: F.trim(F.regexp_replace(F.lower(s), r"[^\p{L}\p{N}]+", " "))
-    return F.transform(F.split(F.coalesce(text, F.lit("")), ENDS), flat)
-
-
-def sentence_ids(text: Column, sentences: Mapping[str, str]) -> Column:
-    known = F.create_map(*[F.lit(x) for pair in sentences.items() for x in pair])
-    return F.filter(F.transform(normalized_sentences(text), lambda s: F.element_at(known, s)), lambda i: i.isNotNull())
-
-
-def scan(docs: DataFrame, text: str = "text", sentences: Mapping[str, str] = SENTENCES, rules: Sequence[tuple[str, Sequence[str]]] = RULES) -> DataFrame:
+from sigmill.llm.license_texts import ALONE, LICENSES, SENTENCES, SEQUENCES
+
+#: Comment marks at the begin and end of a line.
+MARKS = r"^[ \t]*(?://+|/\*+|\*+/?|#+|--+|;+|%+|<!--+)[ \t]*"
+END_MARKS = r"[ \t]*(?:\*+/|--+>)[ \t\r]*$"
+#: A tag keeps its colon from ending a sentence.
+TAG = r"spdx-license-identifier[ \t]*:"
+#: A sentence ends at . ! ? ; : before white space, or at an empty line; in the second reading at every line's end.
+STOP = r"""[.!?;:]+["')\]]*[ \t\r\n]+"""
+ENDS = (STOP + r"|\n[ \t\r]*\n[ \t\r\n]*", STOP + r"|[\r\n]+")
+BRACKETS = r"\([^()]*\)"
+OTHER = r"[^\p{L}\p{N}]+"
+VERBS = "licensed|released|distributed|available|provided|published"
+#: A notice, after normalisation: its second part is the licence's name.
+NOTICE = rf"(?:th(?:is|e) [a-z]+ (?:is|are) )?(?:made )?(?:{VERBS}) under (?:the terms of )?(?:the |an? )?(.+?)(?: (?:see|for|as|which) .*)?"
+
+
+def flat(sentence: str) -> str:
+    """A sentence in lower case, without brackets, with one space for whatever isn't a letter or digit."""
+    return regex.sub(OTHER, " ", re.sub(BRACKETS, " ", sentence.lower())).strip()
+
+
+@lru_cache(maxsize=1)
+def known() -> dict[str, str]:
+    """Identifier by normalised sentence: sentences, titles and tags."""
+    out = {flat(f"SPDX License Identifier {spdx}"): f"{key}-tag" for key, (spdx, _) in LICENSES.items()}
+    out |= {f: f"{key}-title" for key, (_, names) in LICENSES.items() for f in map(flat, names) if re.search("licen[sc]e", f)}
+    return out | {flat(s): i for i, told in SENTENCES.items() for s in told}
+
+
+@lru_cache(maxsize=1)
+def names() -> dict[str, str]:
+    """Identifier of a notice by normalised name."""
+    return {flat(n): f"{key}-notice" for key, (_, told) in LICENSES.items() for n in told}
+
+
+def alone() -> dict[str, str]:
+    """Licence by identifier that makes it on its own."""
+    return {f"{key}-{kind}": spdx for key, (spdx, _) in LICENSES.items() for kind in ("tag", "title", "notice")} | ALONE
+
+
+def _hint() -> str:
+    """Pattern that every text with a known sentence matches, in lower case: a few words hold all sentences between them."""
+    left, words = set(known()), []
+    while left:
+        counted: dict[str, int] = {}
+        for s in left:
+            for w in set(s.split()):
+                if len(w) > 4:
+                    counted[w] = counted.get(w, 0) + 1
+        best = max(counted, key=lambda w: (counted[w], w))
+        words.append(best)
+        left = {s for s in left if best not in s.split()}
+    return "|".join([*words, rf"(?:{VERBS}){OTHER}under"])
+
+
+def sentence_ids(text: str) -> list[str]:
+    """Identifiers of the known sentences, in order.
+
+    Wrapped lines are joined within a paragraph, without comment marks. What only a
+    reading line by line shows (a title above a paragraph) stands behind.
+    """
+    text = re.sub(END_MARKS, "", re.sub(MARKS, "", text, flags=re.M), flags=re.M)
+    text = re.sub(TAG, "SPDX-License-Identifier ", text, flags=re.I)
+    found: list[list[str]] = []
+    for ends in ENDS:
+        ids = []
+        for part in re.split(ends, text):
+            s = flat(part)
+            if i := known().get(s):
+                ids.append(i)
+            elif (m := re.fullmatch(NOTICE, s)) and (i := names().get(m[1])):
+                ids.append(i)
+        found.append(ids)
+    whole = set(found[0])
+    return found[0] + [i for i in found[1] if i not in whole]
+
+
+def licenses_of(ids: list[str]) -> list[str]:
+    """Licences (distinct, sorted) of identifiers in order.
+
+    A rule holds if its identifiers occur in their order, others between them or not, and
+    takes them; it is tried again behind them. Each rule passes once over the places
+    of its own identifiers, so time grows with their number, however often they repeat.
+    """
+    places: dict[str, list[int]] = {}
+    for k, i in enumerate(ids):
+        places.setdefault(i, []).append(k)
+    taken, found = set(), set()
+    for name, need in SEQUENCES:
+        if any(i not in places for i in need):
+            continue
+        picked: list[int] = []
+        for k in sorted(k for k in chain(*(places[i] for i in need)) if k not in taken):
+            if ids[k] == need[len(picked)]:
+                picked.append(k)
+                if len(picked) == len(need):
+                    taken.update(picked)
+                    found.add(name)
+                    picked = []
+    single = alone()
+    return sorted(found | {single[i] for k, i in enumerate(ids) if k not in taken and i in single})
+
+
+def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds sentence_ids (in order) and licenses (distinct, sorted) to every row.
 
-    A rule holds if its identifiers occur in their order, others between them or not;
-    it then takes these sentences, so a later rule needs others. Each row is scanned
-    on its own: nothing is shuffled. Null and empty texts have no licences. Columns
-    named like the added ones are replaced.
+    Each row is scanned on its own: nothing is shuffled, repeated rows come out alike, and
+    a text of any length takes time in proportion. Only texts with a word that
+    some known sentence must have leave the JVM. Null and empty texts have no
+    licences; an empty table stays empty. Columns named like the added ones are replaced.
     """
-    docs = docs.drop("sentence_ids", "licenses").withColumn("sentence_ids", sentence_ids(F.col(text), sentences))
-    docs = docs.withColumn("_left", F.concat(F.lit(" "), F.array_join("sentence_ids", "  "), F.lit(" "))).withColumn("_found", F.array().cast("array<string>"))
-    for name, ids in rules:
-        pattern = "(.*?)".join(f" {i} " for i in ids)
-        rest = "".join(f"${k + 1}" for k in range(len(ids) - 1))
-        held = F.col("_left").rlike(pattern)
-        docs = docs.withColumns(
-            {
-                "_found": F.when(held, F.array_append("_found", F.lit(name))).otherwise(F.col("_found")),
-                "_left": F.when(held, F.regexp_replace("_left", pattern, rest)).otherwise(F.col("_left")),
-            }
-        )
-    return docs.withColumn("licenses", F.array_sort(F.array_distinct("_found"))).drop("_left", "_found")
+
+    @F.pandas_udf("struct<sentence_ids: array<string>, licenses: array<string>>")
+    def told(texts: pd.Series) -> pd.DataFrame:
+        ids = [sentence_ids(t) if t else [] for t in texts]
+        return pd.DataFrame({"sentence_ids": ids, "licenses": [licenses_of(i) if i else [] for i in ids]})
+
+    body: Column = F.col(text).cast("string")
+    some = F.when(F.lower(body).rlike(_hint()), body)
+    return docs.drop("sentence_ids", "licenses").withColumn("_told", told(some)).select(*[c for c in docs.columns if c not in ("sentence_ids", "licenses")], "_told.*")
 
 
 def document_licenses(docs: DataFrame) -> DataFrame:

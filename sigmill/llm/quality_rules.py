@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import time
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -28,7 +27,8 @@ def add_statistics(df: DataFrame, text: str = "text") -> DataFrame:
     """Adds n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words.
 
     Null text has no words. All statistics stay in the row that they belong to:
-    nothing is shuffled, whatever a document's length.
+    nothing is shuffled, whatever a document's length, and they are computed once,
+    whatever filters follow.
     """
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     keep = [c for c in df.columns if c not in names]
@@ -36,7 +36,7 @@ def add_statistics(df: DataFrame, text: str = "text") -> DataFrame:
     df = df.withColumn("_hashes", F.transform(words_of(body), lambda w: F.xxhash64(w)))
     df = df.withColumns({"n_words": F.size("_hashes").cast("long"), "_runs": window_hashes("_hashes")})
     df = df.withColumn("_twice", F.size("_runs") > F.size(F.array_distinct("_runs")))
-    return df.select(
+    df = df.select(
         *keep,
         "n_words",
         F.length(F.regexp_replace(body, rf"[{SPACE}]+", "")).cast("long").alias("word_chars"),
@@ -44,6 +44,15 @@ def add_statistics(df: DataFrame, text: str = "text") -> DataFrame:
         dup_lines(body).alias("n_dup_lines"),
         F.when(F.col("_twice"), covered_words("_runs")).otherwise(0).cast("long").alias("n_repeat_words"),
     )
+    return once(df)
+
+
+def once(df: DataFrame) -> DataFrame:
+    """``df`` with its last columns computed once: filters on them aren't moved below, where they would be repeated.
+
+    A filter on a row number can't be pushed down, and filters that follow stay with it.
+    """
+    return df.withColumn("_row", F.monotonically_increasing_id()).filter("_row >= 0").drop("_row")
 
 
 def symbol_count(body: Column) -> Column:
@@ -81,10 +90,15 @@ def covered_words(runs: Column | str, width: int = 8) -> Column:
 
 @dataclass(frozen=True)
 class Rule:
-    """``fails`` is true where the rule rejects a document; ``steps`` are columns that it needs first."""
+    """``fails`` is true where the rule rejects a document, over the text or columns that are there.
+
+    ``work`` is the count of elementary steps that the rule takes for a row; ``steps`` are
+    columns that it needs first.
+    """
 
     name: str
     fails: Column
+    work: Column
     steps: tuple[dict[str, Column], ...] = ()
 
 
@@ -92,22 +106,39 @@ def base_failed() -> Column:
     return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
 
 
-def default_rules() -> list[Rule]:
-    """Rules beside the base ones; all are whole number comparisons, so every engine agrees."""
-    n, chars = F.col("n_words"), F.col("word_chars")
+def _base_rule() -> Column:
+    return F.when(F.col("n_words") < 20, F.lit("few_words")).when(100 * F.col("n_repeat_words") > 30 * F.col("n_words"), F.lit("repeated_words"))
+
+
+def _has_letter(w: Column) -> Column:
+    return w.rlike(r"\p{L}")
+
+
+def further_rules(text: str = "text") -> list[Rule]:
+    """Rules beside the base ones; all are whole number comparisons, so every engine agrees.
+
+    The first three read base statistics. The others read the text, each in passes of its
+    own, which rows that an earlier rule rejects are spared.
+    """
+    n, chars, body = F.col("n_words"), F.col("word_chars"), text_of(text)
+    lines = F.filter(F.split(body, "\n"), lambda x: F.length(F.btrim(x, F.lit(SPACES))) > 0)
+    share = lambda rx: F.size(F.filter(lines, lambda x: x.rlike(rx)))
+    one = F.lit(1).cast("long")
+    size = F.length(body).cast("long")
     return [
-        Rule("few_words", n < 20),
-        Rule("repeated_words", 100 * F.col("n_repeat_words") > 30 * n),
-        Rule("symbols", 5 * F.col("n_symbols") > n),
-        Rule("dup_lines", (F.col("n_dup_lines") >= 3) & (F.col("n_dup_lines") * 20 > n)),
-        Rule("word_length", (chars < 2 * n) | (chars > 15 * n)),
+        Rule("symbols", 5 * F.col("n_symbols") > n, one),
+        Rule("dup_lines", (F.col("n_dup_lines") >= 3) & (F.col("n_dup_lines") * 20 > n), one),
+        Rule("word_length", (chars < 2 * n) | (chars > 15 * n), one),
+        Rule("letters", 5 * F.size(F.filter(words_of(body), _has_letter)) < 2 * n, 3 * size),
+        Rule("bullets", (F.size(lines) >= 3) & (10 * share(rf"^[{SPACE}]*[-*•‣]") > 9 * F.size(lines)), 2 * size),
+        Rule("ellipses", (F.size(lines) >= 3) & (10 * share(rf"(\.\.\.|…)[{SPACE}]*$") > 3 * F.size(lines)), 2 * size),
     ]
 
 
 def lean_rules(text: str = "text") -> list[Rule]:
-    """The same rules over the text itself, each with nothing but what it needs."""
+    """All rules over the text itself, each with nothing but what it needs."""
     body = text_of(text)
-    n = word_count(body)
+    n, size = word_count(body), F.length(body).cast("long")
     steps = (
         {"_rule_hashes": F.transform(words_of(body), lambda w: F.xxhash64(w))},
         {"_rule_runs": window_hashes("_rule_hashes")},
@@ -116,12 +147,17 @@ def lean_rules(text: str = "text") -> list[Rule]:
     )
     repeats = F.when(F.col("_rule_twice"), covered_words("_rule_runs")).otherwise(0)
     chars = F.length(F.regexp_replace(body, rf"[{SPACE}]+", ""))
+    lines = F.filter(F.split(body, "\n"), lambda x: F.length(F.btrim(x, F.lit(SPACES))) > 0)
+    share = lambda rx: F.size(F.filter(lines, lambda x: x.rlike(rx)))
     return [
-        Rule("few_words", n < 20),
-        Rule("repeated_words", (100 * repeats > 30 * n) & (F.col("_rule_row") >= 0), steps),
-        Rule("symbols", 5 * symbol_count(body) > n),
-        Rule("dup_lines", (dup_lines(body) >= 3) & (dup_lines(body) * 20 > n)),
-        Rule("word_length", (chars < 2 * n) | (chars > 15 * n)),
+        Rule("few_words", n < 20, 2 * size),
+        Rule("repeated_words", (100 * repeats > 30 * n) & (F.col("_rule_row") >= 0), 30 * size, steps),
+        Rule("symbols", 5 * symbol_count(body) > n, 3 * size),
+        Rule("dup_lines", (dup_lines(body) >= 3) & (dup_lines(body) * 20 > n), 4 * size),
+        Rule("word_length", (chars < 2 * n) | (chars > 15 * n), 3 * size),
+        Rule("letters", 5 * F.size(F.filter(words_of(body), _has_letter)) < 2 * n, 5 * size),
+        Rule("bullets", (F.size(lines) >= 3) & (10 * share(rf"^[{SPACE}]*[-*•‣]") > 9 * F.size(lines)), 3 * size),
+        Rule("ellipses", (F.size(lines) >= 3) & (10 * share(rf"(\.\.\.|…)[{SPACE}]*$") > 3 * F.size(lines)), 3 * size),
     ]
 
 
@@ -131,29 +167,24 @@ def stepped(df: DataFrame, steps: Sequence[dict[str, Column]]) -> DataFrame:
     return df
 
 
-def ordered(rules: Sequence[Rule], docs: DataFrame, sample_rows: int = 1000) -> list[Rule]:
-    """Rules by rejection per cost, highest first, as ``sample_rows`` rows show them.
+def sampled(docs: DataFrame, text: str, rows: int) -> DataFrame:
+    """About ``rows`` rows (all of a small table), chosen by a seeded hash of the text, written."""
+    every = max(1, docs.count() // rows)
+    return written(docs.filter(F.pmod(F.xxhash64(F.lit(17), F.col(text)), F.lit(every)) == 0), "rule-sample")
 
-    Cost: seconds to apply the rule to the written sample, over those of reading it.
-    The order changes the work, never the verdict.
-    """
-    sample = written(docs.limit(sample_rows).coalesce(1), "rule-sample")
-
-    def seconds(measure: Column, steps: tuple[dict[str, Column], ...]) -> tuple[float, int, int]:
-        began = time.perf_counter()
-        n, hit = stepped(sample, steps).agg(F.count(F.lit(1)), F.sum(measure.cast("long"))).first()
-        return time.perf_counter() - began, n, hit or 0
 
-    def best(measure: Column, steps: tuple[dict[str, Column], ...] = ()) -> tuple[float, float]:
-        tries = [seconds(measure, steps) for _ in range(2)]
-        return min(t[0] for t in tries), tries[0][2] / max(tries[0][1], 1)
+def ordered(rules: Sequence[Rule], sample: DataFrame) -> list[Rule]:
+    """Rules by rejection per cost, highest first, as ``sample`` shows them.
 
-    best(F.lit(True))
-    floor = best(F.lit(True))[0]
-    worth = {}
+    Cost is the work that a rule says it takes, added up; selectivity the rows that it
+    rejects; both come from one job, and the same table always gives the same order.
+    The order changes the work, never the verdict.
+    """
     for r in rules:
-        cost, rejected = best(F.coalesce(r.fails, F.lit(False)), r.steps)
-        worth[r.name] = rejected / max(cost - floor, 1e-3)
+        sample = stepped(sample, r.steps)
+    sums = [x for k, r in enumerate(rules) for x in (F.sum(F.coalesce(r.fails, F.lit(False)).cast("long")).alias(f"hit{k}"), F.sum(r.work).alias(f"work{k}"))]
+    got = sample.agg(*sums).first()
+    worth = {r.name: (got[f"hit{k}"] or 0) / max(got[f"work{k}"] or 0, 1) for k, r in enumerate(rules)}
     return sorted(rules, key=lambda r: -worth[r.name])
 
 
@@ -166,16 +197,19 @@ def cascade(rules: Sequence[Rule]) -> Column:
 
 
 def apply_rules(docs: DataFrame, text: str = "text", sample_rows: int = 1000) -> DataFrame:
-    """Adds the statistics, base_failed, kept and failed_rule to every row.
+    """Adds the base statistics, base_failed, kept and failed_rule to every row.
 
-    Null and empty texts have no words and fail; repeated rows get equal verdicts; an
-    empty table stays empty. Columns named like the added ones are replaced.
+    The base statistics are due for every row. The verdict is the cascade's: rows that fail a
+    base rule end there; the others meet the further rules in the order that the sample
+    gives, until one rejects, which ``failed_rule`` names. Null and empty texts have no
+    words and fail; repeated rows get equal verdicts; an empty table stays empty. Columns
+    named like the added ones are replaced.
     """
-    docs = docs.drop("base_failed", "kept", "failed_rule")
-    names = [r.name for r in ordered(lean_rules(text), docs.select(text), sample_rows)]
-    rules = sorted(default_rules(), key=lambda r: names.index(r.name))
-    found = add_statistics(docs, text).withColumn("base_failed", base_failed()).withColumn("failed_rule", cascade(rules))
-    return found.withColumn("kept", ~F.col("base_failed") & F.col("failed_rule").isNull())
+    found = add_statistics(docs.drop("base_failed", "kept", "failed_rule"), text)
+    rules = ordered(further_rules(text), add_statistics(sampled(docs.select(text), text, sample_rows), text))
+    found = found.withColumn("base_failed", base_failed())
+    found = once(found.withColumn("failed_rule", F.when(F.col("base_failed"), _base_rule()).otherwise(cascade(rules))))
+    return found.withColumn("kept", F.col("failed_rule").isNull())
 
 
 def keep_good(docs: DataFrame, text: str = "text", sample_rows: int = 1000) -> DataFrame:
@@ -185,7 +219,7 @@ def keep_good(docs: DataFrame, text: str = "text", sample_rows: int = 1000) -> D
     documents which a cheap rule rejects never reach a dear one.
     """
     names = docs.columns
-    for r in ordered(lean_rules(text), docs.select(text), sample_rows):
+    for r in ordered(lean_rules(text), sampled(docs.select(text), text, sample_rows)):
         docs = stepped(docs, r.steps).filter(~r.fails).select(*names)
     return docs
 

@@ -53,23 +53,31 @@ def _descent(shards: int, name: str) -> str:
 
 
 def _licenses() -> str:
-    """One step for each rule: if it holds, note the licence and take its sentences away."""
+    """Both readings, then one step for each sequence rule: if it holds, note the licence and take its sentences away."""
+    L = licenses
     q = lambda x: "'" + x.replace("'", "''") + "'"
-    known = ", ".join(f"({q(s)}, {q(i)})" for s, i in licenses.SENTENCES.items())
+    table_of = lambda d: ", ".join(f"({q(k)}, {q(v)})" for k, v in d.items())
     steps, last = [], "r0"
-    for k, (name, ids) in enumerate(licenses.RULES, 1):
+    for k, (name, ids) in enumerate(L.SEQUENCES, 1):
         pattern, rest = "(.*?)".join(f" {i} " for i in ids), "".join(rf"\{n + 1}" for n in range(len(ids) - 1))
         held = f"regexp_matches(rest, {q(pattern)})"
         steps.append(f"r{k} as (select doc_id, row_id, ids, case when {held} then list_append(found, {q(name)}) else found end as found, case when {held} then regexp_replace(rest, {q(pattern)}, {q(rest)}, 'g') else rest end as rest from {last})")
         last = f"r{k}"
+    bare = f"regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), {q('(?m)' + L.MARKS)}, '', 'g'), {q('(?m)' + L.END_MARKS)}, '', 'g'), {q(L.TAG)}, 'SPDX-License-Identifier ', 'gi')"
+    read = lambda ends: f"""
+  (select row_id, list(id order by i) filter (where id is not null) as ids from (select row_id, i, coalesce(known.id, names.id) as id from
+    (select row_id, i, trim(regexp_replace(regexp_replace(lower(s), {q(L.BRACKETS)}, ' ', 'g'), {q(L.OTHER)}, ' ', 'g')) as s from
+      (select row_id, unnest(parts) as s, generate_subscripts(parts, 1) as i from (select row_id, regexp_split_to_array(t, {q(ends)}) as parts from d))) e
+    left join known using (s) left join names on known.id is null and regexp_full_match(e.s, {q(L.NOTICE)}) and names.n = regexp_extract(e.s, {q("^" + L.NOTICE + "$")}, 1)) group by row_id)"""
     return rf"""
-with known(s, id) as (values {known}),
-d as (select doc_id, row_number() over () as row_id, regexp_split_to_array(coalesce(text, ''), '[.!?;]+[ \t\r]+|[\r\n]+') as parts from documents),
-e as (select doc_id, row_id, unnest(parts) as s, generate_subscripts(parts, 1) as i from d),
-h as (select row_id, list(id order by i) as ids from e join known on known.s = trim(regexp_replace(lower(e.s), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) group by row_id),
-r0 as (select doc_id, row_id, coalesce(ids, []::varchar[]) as ids, []::varchar[] as found, ' ' || coalesce(array_to_string(ids, '  '), '') || ' ' as rest from d left join h using (row_id)),
-{", ".join(steps)}
-select doc_id, len(ids)::bigint as n_sentences, array_to_string(ids, ',') as sentence_ids, array_to_string(list_sort(list_distinct(found)), ',') as licenses from {last}"""
+with known(s, id) as (values {table_of(L.known())}), names(n, id) as (values {table_of(L.names())}), single(id, name) as (values {table_of(L.alone())}),
+d as (select doc_id, row_number() over () as row_id, {bare} as t from documents),
+j as {read(L.ENDS[0])}, l as {read(L.ENDS[1])},
+h as (select doc_id, row_id, coalesce(j.ids, []::varchar[]) || list_filter(coalesce(l.ids, []::varchar[]), lambda x: not list_contains(coalesce(j.ids, []::varchar[]), x)) as ids from d left join j using (row_id) left join l using (row_id)),
+r0 as (select doc_id, row_id, ids, []::varchar[] as found, ' ' || array_to_string(ids, '  ') || ' ' as rest from h),
+{", ".join(steps)},
+s as (select row_id, list(name) as more from (select row_id, unnest(regexp_extract_all(rest, '[^ ]+')) as id from {last}) join single using (id) group by row_id)
+select doc_id, len(ids)::bigint as n_sentences, array_to_string(ids, ',') as sentence_ids, array_to_string(list_sort(list_distinct(found || coalesce(more, []::varchar[]))), ',') as licenses from {last} left join s using (row_id)"""
 
 
 def oracle_sql() -> dict[str, str]:
@@ -111,16 +119,19 @@ select doc_id, size, text_crc32, 'key' as law, a_s.shard::int as shard,
 from base join a_s using (doc_id, row_id) join b_s using (doc_id, row_id)""",
         "op9_quality_rules": rf"""
 with d as (select doc_id, row_number() over () as r, coalesce(text, '') as text, {WORDS} as w from documents),
-lines as (select r, count(*) as n, count(distinct line) as k from (select r, unnest(string_split(text, chr(10))) as line from d)
+lines as (select r, count(*) as n, count(distinct line) as k, count(*) filter (where regexp_matches(line, '^[\x20\x09-\x0D]*[-*•‣]')) as bullets,
+          count(*) filter (where regexp_matches(line, '(\.\.\.|…)[\x20\x09-\x0D]*$')) as ellipses
+          from (select r, unnest(string_split(text, chr(10))) as line from d)
           where regexp_matches(line, '[^\x20\x09-\x0D]') group by r),
 grams as (select r, i, list_slice(w, i, i + 7)::varchar as g from (select r, w, unnest(range(1, len(w) - 6)) as i from d where len(w) >= 8)),
 rep as (select r, i from (select r, i, count(*) over (partition by r, g) as n from grams) where n > 1),
 cover as (select r, count(*) as n from (select distinct r, i + k as at from rep, range(8) t(k)) group by r),
 m as (select doc_id, len(w)::bigint as n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g'))::bigint as word_chars,
         (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::bigint as n_symbols,
-        coalesce(lines.n - lines.k, 0)::bigint as n_dup_lines, coalesce(cover.n, 0)::bigint as n_repeat_words
+        coalesce(lines.n - lines.k, 0)::bigint as n_dup_lines, coalesce(cover.n, 0)::bigint as n_repeat_words,
+        5 * len(list_filter(w, lambda x: regexp_matches(x, '\p{{L}}'))) < 2 * len(w) or (lines.n >= 3 and (10 * bullets > 9 * lines.n or 10 * ellipses > 3 * lines.n)) as odd
       from d left join lines using (r) left join cover using (r)),
 b as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed from m)
-select *, not (base_failed or 5 * n_symbols > n_words or (n_dup_lines >= 3 and 20 * n_dup_lines > n_words)
+select * exclude (odd), not (base_failed or coalesce(odd, false) or 5 * n_symbols > n_words or (n_dup_lines >= 3 and 20 * n_dup_lines > n_words)
   or word_chars < 2 * n_words or word_chars > 15 * n_words) as kept from b""",
     }

@@ -1,13 +1,15 @@
 """Odd rows for every operator: nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns."""
 
 import hashlib
+import time
+import zlib
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 from tests.harness import difference
 
-from sigmill.llm import licenses, line_dedup, mixing, packing, quality_classifier, quality_rules, sharding, simhash, suffix_dedup
+from sigmill.llm import embedding_dedup, licenses, line_dedup, mixing, packing, quality_classifier, quality_rules, sharding, simhash, suffix_dedup
 from sigmill.llm.queries import oracle_sql, queries
 
 SF = "/root/testdata/sf0.001"
@@ -68,6 +70,36 @@ def test_odd_and_empty_tables(spark, odd, empty, name):
     assert RUNS[name](spark, empty).count() == 0
 
 
+def test_odd_vectors(spark):
+    rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (None, [0.0, 1.0]), (2, None), (3, []), (4, [0.0, 0.0]), (5, [None, 1.0]), (6, [float("nan"), 1.0])]
+    plain = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    clash = plain.withColumns({c: F.lit("mine") for c in ("key", "vec", "cls", "n", "kept", "block", "n_links", "component_id")})
+    a, b = (sorted(repr(tuple(r)) for r in embedding_dedup.near_vectors(t).collect()) for t in (plain, clash))
+    assert a == b and len(a) == len(rows)
+
+
+@pytest.mark.parametrize("name", sorted(set(RUNS) - {"op3"}))
+def test_large_ids_stay_exact_beside_null(spark, name):
+    ids = [2**53 + 1, 2**53 + 3, None]
+    docs = spark.createDataFrame([(i, f"text number {k} of three", "en", "s", 1) for k, i in enumerate(ids)], SCHEMA).coalesce(1)
+    assert {r.doc_id for r in RUNS[name](spark, docs).select("doc_id").collect()} == set(ids)
+
+
+def test_large_ids_of_scores(spark):
+    ids = [2**53 + 1, 2**53 + 3, None, *range(40)]
+    docs = spark.createDataFrame([(i, f"text number {k} of three" * (k % 5), "en", "s", 1) for k, i in enumerate(ids)], SCHEMA).coalesce(1)
+    got = quality_classifier.classify(docs, labels(spark, [(i, i % 2, 0) for i in range(40)])).collect()
+    assert {r.doc_id for r in got} == set(ids)
+
+
+def test_filters_over_verdicts_are_cheap_on_a_long_text(spark):
+    docs = spark.createDataFrame([(1, LONG, "en", "s", 1)], SCHEMA)
+    quality_rules.apply_rules(docs).filter("kept").count()
+    began = time.perf_counter()
+    assert quality_rules.apply_rules(docs).filter("kept").count() == 0
+    assert time.perf_counter() - began < 30
+
+
 def test_mix_keeps_limits(spark, odd):
     got = mixing.document_mix(odd).collect()
     assert all(0 <= r.taken <= 2 * r.size for r in got) and all(r.target <= 2 * r.source_size for r in got)
@@ -129,7 +161,7 @@ def test_lines_by_hand(odd):
 def test_licenses_by_hand(spark, odd):
     got = {r.doc_id: r for r in licenses.document_licenses(odd).filter("doc_id = 9").collect()}
     assert (got[9].sentence_ids, got[9].licenses) == ("mit-title,mit-notice,apache-notice", "Apache-2.0,MIT")
-    bsd = [s for s, i in licenses.SENTENCES.items() if i in ("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse")]
+    bsd = [licenses.SENTENCES[i][0] for i in ("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse")]
     two, turned = "\n".join(bsd[:3]), "\n".join(bsd[2::-1])
     rows = [(1, "\n".join(bsd)), (2, two), (3, turned)]
     got = {r.doc_id: r.licenses for r in licenses.document_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
@@ -138,7 +170,7 @@ def test_licenses_by_hand(spark, odd):
 
 def test_rule_order_changes_work_not_verdicts(odd):
     found = quality_rules.add_statistics(odd)
-    rules = quality_rules.default_rules()
+    rules = quality_rules.further_rules()
     one, two = (found.select(quality_rules.cascade(r).isNull().alias("k")).collect() for r in (rules, rules[::-1]))
     assert [r.k for r in one] == [r.k for r in two]
     kept = quality_rules.keep_good(odd)
@@ -154,8 +186,10 @@ def test_classifier_on_held_out_rows(spark):
 
 
 def test_classifier_without_classes(spark, odd):
-    got = {r.score for r in quality_classifier.classify(odd, labels(spark, [(3, 1, 0)])).collect()}
+    assert zlib.crc32(b"8") % 3 != 1 == zlib.crc32(b"3") % 3
+    got = {r.score for r in quality_classifier.classify(odd, labels(spark, [(8, 1, 0)])).collect()}
     assert got == {1.0}
+    assert {r.score for r in quality_classifier.classify(odd, labels(spark, [(3, 1, 0)])).collect()} == {0.5}  # held out
     assert {r.score for r in quality_classifier.classify(odd, labels(spark, [])).collect()} == {0.5}
 
 
