@@ -18,6 +18,9 @@ from sigmill.llm.components import connected_components
 SAMPLE, OFTEN, MOST = 16, 8, 50_000
 #: Nodes of a token that all others of the token are compared with first.
 STARS = 8
+#: Words of 64 bits in a set's parity map.
+MAP = 4
+MAP_COLUMNS = [f"b{k}" for k in range(MAP)]
 
 
 def shingles(text: str | None, words: int) -> list[bytes]:
@@ -47,6 +50,16 @@ def prefix(h: np.ndarray, similarity: float, often: np.ndarray, rank: np.ndarray
     return h[np.lexsort((h, at))][: len(h) - math.ceil(similarity * len(h) - 1e-9) + 1]
 
 
+def parities(h: np.ndarray) -> np.ndarray:
+    """Parity map of a set of hashes: a bit for each remainder, set if an odd count of members has it.
+
+    Two maps differ in no more bits than the sets have members that only one of them
+    holds, so the maps rule out pairs without their texts, and never a wrong one.
+    """
+    odd = np.bincount((h & np.uint64(64 * MAP - 1)).astype(np.int64), minlength=64 * MAP) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
 def frequent(slim: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, ranks) of shingles that many texts of a sample hold.
 
@@ -68,16 +81,20 @@ def frequent(slim: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
 def like_pairs(nodes: DataFrame, slim: DataFrame, words: int, similarity: float) -> DataFrame:
     """(u, v) node links that join up the same components as all pairs of at least ``similarity``.
 
-    ``nodes`` has a row for each distinct set: node, size, prefix and th, the hash of one
-    of its texts in ``slim``. Nodes of a token are first compared with a few of them; what
+    ``nodes`` has a row for each distinct set: node, size, prefix, parity map, and th, the
+    hash of one of its texts in ``slim``. Tokens that only one node has meet no one and are
+    left out before anything is joined to them. Nodes of a token are first compared with a few of them; what
     is in one component then isn't compared again, so a large group of near copies costs
-    few pairs. Candidates must share as many prefix hashes as the similarity needs and
+    few pairs. Candidates must share as many prefix hashes as the similarity needs, with maps
+    no further apart than it allows, and
     are then decided by the exact Jaccard similarity of the sets of shingles.
     """
-    each = nodes.select("node", "size", (F.col("size") - F.size("prefix")).alias("rest"), F.explode("prefix").alias("tok"))
+    each = nodes.select("node", F.explode("prefix").alias("tok"))
     w = W.partitionBy("tok").orderBy(F.xxhash64("node"), "node")
     each = each.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("tok"))).filter("n > 1")
-    each = written(each.withColumn("at", F.row_number().over(w)).drop("n"), "tokens")
+    each = written(each.select("node", "tok", F.row_number().over(w).alias("at")), "shared-tokens")
+    told = nodes.select("node", "size", (F.col("size") - F.size("prefix")).alias("rest"), *MAP_COLUMNS)
+    each = written(each.join(told, "node"), "tokens")
     first = candidates(each.withColumn("root", F.col("node")), each.filter(F.col("at") <= STARS).withColumn("root", F.col("node")), similarity, whole=False)
     first = written(first, "first-pairs")
     one = written(verified(first, nodes, slim, words, similarity), "first-links")
@@ -88,9 +105,11 @@ def like_pairs(nodes: DataFrame, slim: DataFrame, words: int, similarity: float)
 
 
 def candidates(each: DataFrame, stars: DataFrame, similarity: float, whole: bool) -> DataFrame:
-    """(u, v) pairs with a common token whose sizes, and common tokens if ``whole``, allow the similarity."""
-    s = stars.select("tok", *[F.col(c).alias(f"_{c}") for c in ("node", "size", "rest", "at", "root")])
+    """(u, v) pairs with a common token whose sizes, maps, and common tokens if ``whole``, allow the similarity."""
+    s = stars.select("tok", *[F.col(c).alias(f"_{c}") for c in ("node", "size", "rest", "at", "root", *MAP_COLUMNS)])
     near = F.least("size", "_size") >= similarity * F.greatest("size", "_size") - 1e-6
+    apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"_{c}"))) for c in MAP_COLUMNS), F.lit(0))
+    near &= apart <= (1 - similarity) / (1 + similarity) * (F.col("size") + F.col("_size")) + 1e-6
     pairs = each.join(s, "tok").filter((F.col("_at") < F.col("at")) & (F.col("root") != F.col("_root")) & near)
     need = similarity / (1 + similarity) * (F.col("size") + F.col("_size")) - 1e-6
     pairs = pairs.groupBy(F.least("node", "_node").alias("u"), F.greatest("node", "_node").alias("v"))

@@ -223,7 +223,7 @@ def _keep_one_like(docs: DataFrame, words: int, budget: int, similarity: float)
         import xxhash
 
         for b in batches:
-            fp, node, size, first = [], [], [], []
+            fp, node, size, first, maps = [], [], [], [], [np.zeros((0, shingles.MAP), np.int64)]
             for t in b.column("text").to_pylist():
                 h = shingles.hashes(t, words)
                 u = np.unique(h)
@@ -231,13 +231,17 @@ def _keep_one_like(docs: DataFrame, words: int, budget: int, similarity: float)
                 node.append(int(np.uint64(xxhash.xxh64_intdigest(u.tobytes())).view(np.int64)))
                 size.append(len(u))
                 first.append(shingles.prefix(u, similarity, often, rank).view("<i8"))
+                maps.append(shingles.parities(u)[None])
             told = [pa.array(fp, pa.int64()), pa.array(node, pa.int64()), pa.array(size, pa.int64()), pa.array(first, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), *told], ["doc_id", "th", "fp", "node", "size", "prefix"])
+            told += [pa.array(c) for c in np.concatenate(maps).T.copy()]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), *told], ["doc_id", "th", "fp", "node", "size", "prefix", *shingles.MAP_COLUMNS])
 
-    rows = written(slim.mapInArrow(run, "doc_id long, th long, fp long, node long, size long, prefix array<long>"), "profiles")
+    kinds = ", ".join(f"{c} long" for c in shingles.MAP_COLUMNS)
+    rows = written(slim.mapInArrow(run, f"doc_id long, th long, fp long, node long, size long, prefix array<long>, {kinds}"), "profiles")
     classes = rows.groupBy("fp", "node").agg(F.min(_key(rows)).alias("least")).withColumn("class", F.xxhash64("fp", "node"))
     classes = written(classes, "classes")
-    sets = written(rows.groupBy("node").agg(F.first("size").alias("size"), F.first("prefix").alias("prefix"), F.min("th").alias("th")), "sets")
+    one_of = [F.first(c).alias(c) for c in ("size", "prefix", *shingles.MAP_COLUMNS)]
+    sets = written(rows.groupBy("node").agg(*one_of, F.min("th").alias("th")), "sets")
     edges = None
     for by, found in (("fp", links(classes.select("fp").distinct(), budget)), ("node", shingles.like_pairs(sets, slim, words, similarity))):
         least = written(classes.groupBy(by).agg(F.min("class").alias("class")), "least")

@@ -1,5 +1,8 @@
 import hashlib
+import zlib
+from collections import Counter
 
+import numpy as np
 import pytest
 from tests.harness import duck
 
@@ -32,6 +35,13 @@ def brute_lines(docs):
 
 def brute_copies(docs):
 
+    def runs_of(t):
+        w = T_lower(t)
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} - {()}
+
+    def like(a, b):
+        return len(a & b) >= P.SIMILARITY * len(a | b)
+
     def fp(t):
         import xxhash
 
@@ -44,10 +54,10 @@ def brute_copies(docs):
         return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t).encode().split()
 
     docs = sorted(docs, key=lambda r: r["doc_id"])
-    fps, comp = [fp(r["text"]) for r in docs], list(range(len(docs)))
+    fps, runs, comp = [fp(r["text"]) for r in docs], [runs_of(r["text"]) for r in docs], list(range(len(docs)))
     for i in range(len(docs)):
         for j in range(i):
-            if (fps[i] ^ fps[j]).bit_count() <= P.BUDGET and comp[i] != comp[j]:
+            if comp[i] != comp[j] and ((fps[i] ^ fps[j]).bit_count() <= P.BUDGET or like(runs[i], runs[j])):
                 a, b = comp[i], comp[j]
                 comp = [min(a, b) if c in (a, b) else c for c in comp]
     return [r for i, r in enumerate(docs) if comp[i] == i]
@@ -105,7 +115,8 @@ def test_stages_against_brute_force(stages):
 def test_packed_stage_covers_every_token(stages):
     docs, pieces = stages[4][0].collect(), stages[4][1].collect()
     ids, total = reference(), 0
-    lengths = {r.doc_id: len(ids(r.text)) + 1 for r in docs}
+    tokens = {r.doc_id: [*ids(r.text), 1] for r in docs}
+    lengths = {d: len(t) for d, t in tokens.items()}
     total = sum(lengths[r.doc_id] for r in docs)
     assert sum(p.length for p in pieces) == total
     spans = sorted((p.sequence_id * 2048 + p.offset, p.length) for p in pieces)
@@ -114,6 +125,21 @@ def test_packed_stage_covers_every_token(stages):
         assert s == at
         at += n
     assert all(p.doc_tokens == lengths[p.doc_id] for p in pieces)
+    assert all(p.ids_crc32 == zlib.crc32(np.array(tokens[p.doc_id][p.start : p.start + p.length], "<u4").tobytes()) for p in pieces)
+    starts = Counter((p.doc_id, p.start) for p in pieces)
+    assert all(starts[d, 0] == n for d, n in Counter(r.doc_id for r in docs).items())
 
 def test_run_equals_stages(spark, stages):
     assert P.run(spark, SF).count() == stages[4][1].count()
+
+
+@pytest.mark.parametrize("rows", [[], [(1, None, None, None, None), (None, "", "en", "s", 0), (2, "a b\nc d\ne f " * 9, "en", None, 1), (2, "a b\nc d\ne f " * 9, "en", None, 1)]])
+def test_stages_take_odd_rows_and_extra_columns(spark, rows):
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int")
+    clash = docs.selectExpr("*", "1 as n_words", "2 as _size", "3 as node", "'x' as repeats", "4 as th")
+    for given in (docs, clash):
+        now = given
+        for name, stage in P.STAGES:
+            now = P.written(stage(spark, now, ""), "odd")
+            if name != "packing":
+                assert now.columns == given.columns
