@@ -6,7 +6,9 @@ whole. Anchors with a hash of their surroundings (the bytes that any string hold
 anchor can reach) are dealt out by the anchor's hash; equal surroundings fold into one class,
 of which all but the first place are repeats; where an anchor has unlike surroundings, one copy of
 each goes into a text of about a megabyte, in whose transform intervals of suffixes that
-share ``least`` bytes are found.
+share ``least`` bytes are found. An anchor with more unlike surroundings than such a text
+holds is cut by the strings of ``least`` bytes around it instead, each dealt by its own hash,
+so no anchor gathers in one task.
 """
 
 from __future__ import annotations
@@ -144,7 +146,8 @@ def places(docs: DataFrame, least: int) -> DataFrame:
                 for r in np.unique(row[~keep]):
                     these = ~keep & (row == r) if len(group) < 50 else np.flatnonzero(~keep & (row == r))
                     s, e = merged((at - left)[these], (at + right)[these])
-                    out.append(pd.DataFrame({"h": r, "g": s, "doc": doc[r], "part": part[r], "at": s, "reach": e - s, "span": True}))
+                    spread = _mix(s.astype(np.uint64) * ODD + np.uint64(row[these][0])).view(np.int64)  # spans belong to no anchor: their keys only spread them
+                    out.append(pd.DataFrame({"h": spread, "g": s, "doc": doc[r], "part": part[r], "at": s, "reach": e - s, "span": True}))
                 yield pd.concat(out)
 
     ordered = docs.sortWithinPartitions("doc", "part")
@@ -261,6 +264,32 @@ def repeats_in(rows: pd.DataFrame, least: int) -> pd.DataFrame:
     return pd.DataFrame({"doc": doc[seg[new]], "part": part[seg[new]], "s": place[new], "n": place[last] + least - place[new]})
 
 
+def windows_of(cut: DataFrame, least: int) -> DataFrame:
+    """(w, doc, part, s): every string of ``least`` bytes of the rows, by a hash of 128 bits."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import xxhash
+
+        for b in batches:
+            rows = [(xxhash.xxh3_128_digest(raw[k : k + least]), doc, part, s + k) for doc, part, s, raw in zip(b["doc"], b["part"], b["s"], b["raw"], strict=True) for k in range(len(raw) - least + 1)]
+            yield pd.DataFrame(rows, columns=["w", "doc", "part", "s"])
+
+    return cut.select("doc", "part", "s", "raw").mapInPandas(run, "w binary, doc long, part long, s long")
+
+
+def window_repeats(cut: DataFrame, least: int) -> DataFrame:
+    """Spans of the rows' strings of ``least`` bytes that occur at an earlier place too.
+
+    The first place of a string is found by partial sums, then joined back from written
+    tables, so that Spark can split a string that is everywhere.
+    """
+    each = written(windows_of(cut, least), "hot-windows")
+    place = F.struct("doc", "part", "s")
+    first = written(each.groupBy("w").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("k")).filter("k > 1").drop("k"), "hot-firsts")
+    later = each.join(first.hint("merge"), "w").filter(place != F.col("first"))
+    return later.select("doc", "part", "s", F.lit(least).cast("long").alias("n"))
+
+
 def repeated_spans(docs: DataFrame, least: int = 100, per_text: int = 6000) -> DataFrame:
     """(doc, part, s, n): spans of bytes to remove; they may overlap."""
     work = compared(places(docs, least))
@@ -269,6 +298,7 @@ def repeated_spans(docs: DataFrame, least: int = 100, per_text: int = 6000) -> D
     done = work.filter("h is null").drop("h")
     if not count:
         return done
+    hot = written(asked.groupBy("h").count().filter(F.col("count") > 2 * per_text).select("h"), "hot-anchors")
     wanted = asked.groupBy("doc", "part").agg(F.collect_list(F.struct("h", "s", "n")).alias("w"))
 
     def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -280,12 +310,16 @@ def repeated_spans(docs: DataFrame, least: int = 100, per_text: int = 6000) -> D
             yield pd.DataFrame(rows, columns=["h", "doc", "part", "s", "raw"])
 
     cut = docs.join(wanted, ["doc", "part"]).mapInPandas(fetch, "h long, doc long, part long, s long, raw binary")
+    if hot.limit(1).count():
+        cut = written(cut, "surroundings")
+        done = done.unionByName(window_repeats(cut.join(hot.hint("merge"), "h", "left_semi"), least))
+        cut = cut.join(hot.hint("merge"), "h", "left_anti")
     dealt = cut.withColumn("b", F.pmod(F.xxhash64("h"), F.lit(-(-count // per_text))))
     more = dealt.groupBy("b").applyInPandas(lambda rows: repeats_in(rows, least), "doc long, part long, s long, n long")
     return done.unionByName(more)
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = 100) -> DataFrame:
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = 100, per_text: int = 6000) -> DataFrame:
     """Every row with n_bytes, spans (start, end of the removed bytes) and kept (binary) added.
 
     A byte goes if a string of ``least`` bytes that covers it starts earlier too: in a lesser
@@ -300,7 +334,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", lea
     part = F.lit(0).cast("long") if alone else F.xxhash64("text")
     slim = slim.withColumn("part", part)
     once = slim if alone else slim.dropDuplicates(["doc", "part"])
-    spans = repeated_spans(once, least).groupBy("doc", "part").agg(F.collect_list("s").alias("s"), F.collect_list("n").alias("n"))
+    spans = repeated_spans(once, least, per_text).groupBy("doc", "part").agg(F.collect_list("s").alias("s"), F.collect_list("n").alias("n"))
     rows = docs.select(*[F.col(c).alias(f"_in_{c}") for c in names], F.coalesce(F.col(key).cast("long"), F.lit(NULL_ID)).alias("doc"), F.col(text).cast("string").alias("text"))
     rows = rows.withColumn("part", part).join(spans, ["doc", "part"], "left")
 

@@ -81,3 +81,14 @@ def test_odd_rows(spark):
     n = len(long)
     assert by == [(0, n, 0), (3, 0, 0), (3, 0, 0), (5, n, n), (5, n, n), (6, n + 1, n), (6, n + 1, n)]
     assert S.document_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+@pytest.mark.parametrize("per_text", [1, 4])
+def test_anchors_with_many_surroundings_are_cut_by_windows(spark, per_text):
+    rng = np.random.default_rng(9)
+    passage = " ".join(f"p{k}" for k in range(40))
+    texts = made(3, 25) + [f"{rng.integers(1 << 40)} {passage} {rng.integers(1 << 40)}" for _ in range(30)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    out = S.remove_repeats(docs, per_text=per_text)
+    got = sorted((r.doc_id, r.n_bytes, sum(x.end - x.start for x in r.spans), len(r.spans), hashlib.sha256(bytes(r.kept)).hexdigest()) for r in out.collect())
+    assert got == brute([(i, t.encode()) for i, t in enumerate(texts)])
