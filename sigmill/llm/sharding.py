@@ -17,19 +17,26 @@ class Tree:
     """Shards numbered from 0 fill racks, and racks fill regions, in order.
 
     ``weights[s]`` is the capacity of shard ``s``; a rack and a region weigh what
-    their shards do. A shard added when all regions are full opens a region of its
-    own, so the draws within every other region stay as they were.
+    their shards do. The first ``built`` shards (all if none is given) stand so; each
+    shard added later opens a region and a rack of its own, so the draws within
+    every other region stay as they were, and only the new shard takes rows. A tree
+    that grows keeps its ``built``.
     """
 
     weights: Sequence[float]
     rack_size: int = 4
     region_size: int = 8
+    built: int | None = None
+
+    def _group(self, s: int, size: int) -> int:
+        built = len(self.weights) if self.built is None else self.built
+        return s // size if s < built else -(-built // size) + s - built
 
     def region(self, s: int) -> int:
-        return s // self.region_size
+        return self._group(s, self.region_size)
 
     def rack(self, s: int) -> int:
-        return s // self.rack_size
+        return self._group(s, self.rack_size)
 
     def children(self, level: int, parent: int | None) -> dict[int, float]:
         """Weights of the nodes below ``parent``: regions (0), racks (1), shards (2)."""
@@ -41,8 +48,8 @@ class Tree:
         return out
 
 
-def equal_tree(shards: int, **sizes: int) -> Tree:
-    return Tree([1.0] * shards, **sizes)
+def equal_tree(shards: int, built: int | None = None, **sizes: int) -> Tree:
+    return Tree([1.0] * shards, built=built, **sizes)
 
 
 def _draw(key: Column, level: int, below: list[dict[int, float]], parent: Column) -> Column:
@@ -102,5 +109,5 @@ def document_shards(docs: DataFrame, shards: int = 40) -> DataFrame:
     """Digest of the placement of ``documents``: one row for each, nothing left out."""
     rows = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("_bytes"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"))
     rows = rows.select("doc_id", (F.col("_bytes") + 16).alias("size"), "text_crc32")
-    out = assign_shards(rows, "doc_id", equal_tree(shards), equal_tree(shards + 1))
+    out = assign_shards(rows, "doc_id", equal_tree(shards), equal_tree(shards + 1, built=shards))
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")

@@ -131,13 +131,21 @@ def test_shards(spark, odd):
 
 def test_a_new_shard_takes_rows_only_into_itself(spark):
     ids = spark.range(40_000).select(F.col("id").alias("doc_id"))
-    got = sharding.assign_shards(ids, "doc_id", sharding.equal_tree(40), sharding.equal_tree(41)).collect()
+    got = sharding.assign_shards(ids, "doc_id", sharding.equal_tree(40), sharding.equal_tree(41, built=40)).collect()
     moved = [r for r in got if r.shard != r.grown_shard]
     assert {r.grown_shard for r in moved} == {40} and 700 < len(moved) < 1300
     sizes = Counter(r.shard for r in got)
     assert set(sizes) == set(range(40)) and 800 < min(sizes.values()) and max(sizes.values()) < 1200
 
 
+@pytest.mark.parametrize("shards", [41, 42, 45])
+def test_every_further_shard_takes_rows_only_into_itself(spark, shards):
+    ids = spark.range(20_000).select(F.col("id").alias("doc_id"))
+    got = sharding.assign_shards(ids, "doc_id", sharding.equal_tree(shards, built=40), sharding.equal_tree(shards + 1, built=40)).collect()
+    moved = [r for r in got if r.shard != r.grown_shard]
+    assert {r.grown_shard for r in moved} == {shards} and len(moved) > 300
+
+
 def test_weights_move_rows_only_through_the_changed_subtrees(spark):
     ids = spark.range(20_000).select(F.col("id").alias("doc_id"))
     heavy = [1.0] * 40
