@@ -27,18 +27,16 @@ def index_p90(n: Column | str = "n") -> Column:
     return F.floor(F.col("n") * 9 / 10)
 
 
-def top_k_mean(value: Column, k: int) -> Column:
-    """Mean of the ``k`` largest of a group, or of all if there are fewer; keeps k values, not the group."""
-    top = F.slice(F.sort_array(F.collect_list(value), False), 1, k)
-    return F.aggregate(top, F.lit(0).cast("long"), lambda s, v: s + v) / F.size(top)
-
-
 def gini(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Sum of (2 i - n - 1) x over n times the sum of x, x in order and i from 1; 0 if all are 0."""
+    """Sum of (2 i - n - 1) x over n times the sum of x, x in order and i from 1; 0 if all are 0.
+
+    Equal values are counted first, so a hot key costs its distinct values; nulls count for nothing.
+    """
+    kinds = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
     w = W.partitionBy(*keys)
-    t = df.withColumns({"_i": F.row_number().over(w.orderBy(value)), "_n": F.count(F.lit(1)).over(w)})
-    total = F.sum(value)
-    return t.groupBy(*keys).agg(F.when(total > 0, F.sum((2 * F.col("_i") - F.col("_n") - 1) * F.col(value)) / (F.max("_n") * total)).otherwise(0.0).alias("gini"))
+    t = kinds.withColumns({"_before": F.sum("_c").over(w.orderBy(value).rowsBetween(W.unboundedPreceding, 0)) - F.col("_c"), "_n": F.sum("_c").over(w)})
+    total, x = F.sum(F.col(value) * F.col("_c")), F.col(value) * F.col("_c")
+    return t.groupBy(*keys).agg(F.when(total > 0, F.sum((2 * F.col("_before") + F.col("_c") - F.col("_n")) * x) / (F.max("_n") * total)).otherwise(0.0).alias("gini"))
 
 
 def calibration_bins(df: DataFrame, confidence: str, actual: str) -> DataFrame:

@@ -20,12 +20,17 @@ def url_duplicates(df: DataFrame, key: str, url: str) -> DataFrame:
 def event_groups(df: DataFrame, key: str, title: str, least: float = 0.75) -> DataFrame:
     """(key, group): rows whose titles have two entities or more and share enough of them, closed over links.
 
-    Equal sets of entities fold into one first; unlike sets meet on their entities.
+    Equal sets of entities fold into one first. Unlike sets meet on their rarest entities
+    alone: of two sets that share enough, the first ones in the order of rarity, as many as the
+    similarity leaves out and one more, have one in common; so common entities pair no one.
     """
     t = df.select(F.col(key).alias("k"), F.array_sort(X.entities(F.col(title))).alias("e")).filter(F.size("e") >= 2)
     sets = t.groupBy("e").agg(F.min("k").alias("first"))
-    x = sets.select("first", "e", F.explode("e").alias("t"))
-    y = sets.select(F.col("first").alias("other"), F.col("e").alias("f"), F.explode("e").alias("t"))
+    each = sets.select("first", F.explode("e").alias("t"))
+    rare = each.join(each.groupBy("t").agg(F.count(F.lit(1)).alias("n")), "t").groupBy("first").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "t"))), lambda s: s["t"]).alias("r"))
+    sets = sets.join(rare, "first").withColumn("r", F.slice("r", F.lit(1), (F.size("r") - F.ceil(F.lit(least) * F.size("r")) + 1).cast("int")))
+    x = sets.select("first", "e", F.explode("r").alias("t"))
+    y = sets.select(F.col("first").alias("other"), F.col("e").alias("f"), F.explode("r").alias("t"))
     near = x.join(y, "t").filter("first < other").dropDuplicates(["first", "other"]).filter(X.jaccard(F.col("e"), F.col("f")) >= least)
     roots = components(near.select(F.col("first").alias("a"), F.col("other").alias("b")))
     named = sets.join(roots, sets["first"] == roots["node"], "left").select("e", F.coalesce("root", "first").alias("grp"))

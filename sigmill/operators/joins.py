@@ -80,9 +80,18 @@ def title_pairs(df: DataFrame, key: str, title: str, least: float) -> DataFrame:
 
 
 def shared_token_pairs(df: DataFrame, key: str, tokens: str, least: int) -> DataFrame:
-    """(a, b, shared) of keys a < b with at least ``least`` tokens in common; rare tokens do the meeting."""
-    t = df.select(F.col(key).alias("k"), F.explode(F.array_distinct(tokens)).alias("t"))
-    return t.select(F.col("k").alias("a"), "t").join(t.select(F.col("k").alias("b"), "t"), "t").filter("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")).filter(F.col("shared") >= least)
+    """(a, b, shared) of keys a < b with at least ``least`` tokens in common; rare tokens do the meeting.
+
+    Of rows that share ``least`` tokens, all but the ``least`` - 1 most common tokens of each have one
+    in common, so these meet; the whole sets then decide.
+    """
+    t = df.select(F.col(key).alias("k"), F.array_distinct(tokens).alias("s")).filter(F.size("s") >= least)
+    each = t.select("k", F.explode("s").alias("t"))
+    seen = each.groupBy("t").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    rare = each.join(seen, "t").groupBy("k").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "t"))), lambda x: x["t"]).alias("r")).filter(F.size("r") >= least)
+    meet = rare.select("k", "r", F.explode(F.slice("r", F.lit(1), F.size("r") - (least - 1))).alias("t"))
+    pairs = meet.select(F.col("k").alias("a"), F.col("r").alias("x"), "t").join(meet.select(F.col("k").alias("b"), F.col("r").alias("y"), "t"), "t").filter("a < b").dropDuplicates(["a", "b"])
+    return pairs.select("a", "b", F.size(F.array_intersect("x", "y")).cast("long").alias("shared")).filter(F.col("shared") >= least)
 
 
 def cosine(a: Column, b: Column) -> Column:

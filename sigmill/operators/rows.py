@@ -22,8 +22,9 @@ def top_k(df: DataFrame, k: int, *order: Column, keys: Sequence[str] = ()) -> Da
     return df.withColumn("_r", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter(F.col("_r") <= k).drop("_r")
 
 
-def page(df: DataFrame, offset: int, limit: int, *order: Column) -> DataFrame:
-    return df.orderBy(*order).offset(offset).limit(min(limit, 100))
+def page(df: DataFrame, offset: int, limit: int, *order: Column, most: int | None = None) -> DataFrame:
+    """``limit`` rows behind ``offset`` in an order; a service that allows no more than ``most`` rows a page says so."""
+    return df.orderBy(*order).offset(offset).limit(limit if most is None else min(limit, most))
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:

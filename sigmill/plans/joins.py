@@ -78,18 +78,23 @@ def j12(spark, d):
     return joins.shared_token_pairs(t, "title", "w", 2)
 
 
-@query("j13_vector_top_k", """select vec_id, round(list_cosine_similarity(embedding::double[], q)::double, 6) as similarity from embeddings, (select embedding::double[] as q from embeddings where vec_id = 0)
-  where list_cosine_similarity(embedding::double[], q) >= 0.2 order by list_cosine_similarity(embedding::double[], q) desc, vec_id limit 10""")
-def j13(spark, d):
-    e = table(spark, d, "embeddings")
-    q = e.filter("vec_id = 0").limit(1).select(F.col("embedding").alias("q"))
-    s = e.crossJoin(F.broadcast(q)).withColumn("c", joins.cosine(F.col("embedding"), F.col("q"))).filter("c >= 0.2")
-    return rows.top_k(s, 10, F.desc("c"), F.asc("vec_id")).select("vec_id", F.round("c", 6).alias("similarity"))
+@query("j12_name_bigram_pairs", """with n as (select distinct lower(p_name) as name from part), g as (select distinct name, w[i] || ' ' || w[i + 1] as g from (select name, w, unnest(range(1, len(w))) as i from (select name, string_split(name, ' ') as w from n)))
+  select x.name as a, y.name as b, count(*) as shared from g x join g y on x.g = y.g and x.name < y.name group by 1, 2 having count(*) >= 2""")
+def j12_names(spark, d):
+    """Names of parts with two pairs of neighbouring words in common."""
+    w = F.split("name", " ")
+    two = F.transform(F.slice(w, F.lit(2), F.size(w)), lambda x, i: F.concat_ws(" ", F.element_at(w, i + 1), x))
+    names = table(spark, d, "part").select(F.lower("p_name").alias("name")).distinct()
+    return joins.shared_token_pairs(names.withColumn("g", two), "name", "g", 2)
+
 
+NEAREST = """select query_id, vec_id, round(c, 6) as similarity from (select q.vec_id as query_id, e.vec_id, list_cosine_similarity(e.embedding::double[], q.embedding::double[])::double as c
+  from embeddings e, embeddings q where q.vec_id % 100 = 0) where c >= 0.2 qualify row_number() over (partition by query_id order by c desc, vec_id) <= 10"""
 
-@query("j13_vector_top_k_all", """select query_id, vec_id, round(c, 6) as similarity from (select q.vec_id as query_id, e.vec_id, list_cosine_similarity(e.embedding::double[], q.embedding::double[])::double as c
-  from embeddings e, embeddings q where q.vec_id % 100 = 0) where c >= 0.2 qualify row_number() over (partition by query_id order by c desc, vec_id) <= 10""")
-def j13_all(spark, d):
+
+@query("j13_vector_top_k", NEAREST)
+@query("j13_vector_top_k_all", NEAREST)
+def j13(spark, d):
     e = table(spark, d, "embeddings").select("vec_id", "embedding")
     best = joins.nearest_vectors(e.filter("vec_id % 100 = 0"), e, "vec_id", "embedding", 10, 0.2)
     return best.select("query_id", "vec_id", F.round("c", 6).alias("similarity"))

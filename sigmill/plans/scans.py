@@ -49,26 +49,22 @@ def s17(spark, d):
     return table(spark, d, "events").select(F.col("event_id").alias("id"), F.coalesce(p["k"], F.lit(0)).alias("k"), F.coalesce(p["absent"], F.lit("none")).alias("absent"))
 
 
-@query("k02_append_skip_duplicates", sql("select id, source from sig where id % 3 = 0 union all select id, source from sig where id % 2 = 0 and id % 3 <> 0"))
-def k02(spark, d):
-    s = signals(spark, d).select("id", "source")
-    return rows.append_new(s.filter("id % 3 = 0"), s.filter("id % 2 = 0"), ["id"])
-
-
-@query("k03_upsert", sql("select id, case when id % 2 = 0 then cents + 1 else cents end as cents from sig where id % 2 = 0 or id % 3 = 0"))
-def k03(spark, d):
-    s = signals(spark, d).select("id", "cents")
-    return rows.upsert(s.filter("id % 3 = 0"), s.filter("id % 2 = 0").withColumn("cents", F.col("cents") + 1), ["id"])
+APPENDED = sql("select id, source from sig where id % 3 = 0 union all select id, source from sig where id % 3 <> 0")
 
 
-@query("k02_append_skip_duplicates_all", sql("select id, source from sig where id % 3 = 0 union all select id, source from sig where id % 3 <> 0"))
-def k02_all(spark, d):
+@query("k02_append_skip_duplicates", APPENDED)
+@query("k02_append_skip_duplicates_all", APPENDED)
+def k02(spark, d):
     s = signals(spark, d).select("id", "source")
     return rows.append_new(s.filter("id % 3 = 0"), s.filter("id % 3 <> 0 or id % 2 = 0"), ["id"])
 
 
-@query("k03_upsert_all", sql("select id, case when id % 3 <> 0 or id % 2 = 0 then cents + 1 else cents end as cents from sig"))
-def k03_all(spark, d):
+UPSERTED = sql("select id, case when id % 3 <> 0 or id % 2 = 0 then cents + 1 else cents end as cents from sig")
+
+
+@query("k03_upsert", UPSERTED)
+@query("k03_upsert_all", UPSERTED)
+def k03(spark, d):
     s = signals(spark, d).select("id", "cents")
     return rows.upsert(s.filter("id % 3 = 0"), s.filter("id % 3 <> 0 or id % 2 = 0").withColumn("cents", F.col("cents") + 1), ["id"])
 

@@ -21,3 +21,18 @@ def st2(spark, d):
 @query("st3_rolling_window", """select strftime(e, '%Y-%m-%d') as day, count(*) as n from (select ts, unnest(generate_series(date_trunc('day', ts) + interval 1 day, date_trunc('day', ts) + interval 14 day, interval 1 day)) as e from events) group by 1""")
 def st3(spark, d):
     return R.finished(R.rolling_counts(R.event_stream(spark, d)), "complete")
+
+
+@query("st4_suppressed_alerts", "select distinct user_id, event_type from events")
+def st4(spark, d):
+    return R.landed(R.suppressed(R.event_stream(spark, d)))
+
+
+@query("st5_failure_state", "select user_id, count(*) as total, count_if(event_type = 'error') as failures from events group by user_id")
+def st5(spark, d):
+    return R.landed(R.failure_state(R.event_stream(spark, d)))
+
+
+@query("st6_closed_days", "select strftime(ts, '%Y-%m-%d') as day, event_type, count(*) as n from events where date_trunc('day', ts) + interval 1 day <= (select max(ts) from events) - interval 7 day group by 1, 2")
+def st6(spark, d):
+    return R.landed(R.closed_days(R.event_stream(spark, d)))

@@ -29,12 +29,21 @@ def part_outcomes(spark, d):
     return t.withColumn("cr", F.when(F.col("starts") > 0, F.col("done") / F.col("starts")))
 
 
-@query("d22_feasibility", """select c_custkey, p_partkey, round(0.2 * case when p_size <= 10 then 1 when p_size <= 25 then 0.6 else 0.2 end + 0.2 * least(1, (c_custkey % 12 + 1) / greatest(p_size, 1)) + 0.6 * case when c_mktsegment = 'BUILDING' then 0.9 else 0.7 end, 6)::double as feasibility
-  from customer, part where c_custkey % 50 = 0 and p_partkey % 20 = 0""")
+PAIR = "pair as (select distinct o_custkey as c_custkey, l_partkey as p_partkey from lineitem join orders on o_orderkey = l_orderkey)"
+
+
+def pairs(spark, d):
+    """Each customer with the parts of their orders, and the columns of both."""
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("c_custkey"))
+    t = table(spark, d, "lineitem").select("l_orderkey", F.col("l_partkey").alias("p_partkey")).join(o, "l_orderkey").select("c_custkey", "p_partkey").distinct()
+    return t.join(table(spark, d, "customer").select("c_custkey", "c_mktsegment"), "c_custkey").join(table(spark, d, "part").select("p_partkey", "p_size", "p_type", "p_brand"), "p_partkey")
+
+
+@query("d22_feasibility", f"""with {PAIR} select c_custkey, p_partkey, round(0.2 * case when p_size <= 10 then 1 when p_size <= 25 then 0.6 else 0.2 end + 0.2 * least(1, (c_custkey % 12 + 1) / greatest(p_size, 1)) + 0.6 * case when c_mktsegment = 'BUILDING' then 0.9 else 0.7 end, 6)::double as feasibility
+  from pair join customer using (c_custkey) join part using (p_partkey)""")
 def d22(spark, d):
-    c, p = table(spark, d, "customer").filter("c_custkey % 50 = 0"), table(spark, d, "part").filter("p_partkey % 20 = 0")
     x = 0.2 * F.when(F.col("p_size") <= 10, 1.0).when(F.col("p_size") <= 25, 0.6).otherwise(0.2) + 0.2 * F.least(F.lit(1), (F.col("c_custkey") % 12 + 1) / F.greatest("p_size", F.lit(1)))
-    return c.crossJoin(p).select("c_custkey", "p_partkey", F.round(x + 0.6 * F.when(F.col("c_mktsegment") == "BUILDING", 0.9).otherwise(0.7), 6).alias("feasibility"))
+    return pairs(spark, d).select("c_custkey", "p_partkey", F.round(x + 0.6 * F.when(F.col("c_mktsegment") == "BUILDING", 0.9).otherwise(0.7), 6).alias("feasibility"))
 
 
 @query("d23_verdict", f"with {OUT} select p, case when q / 5 >= 0.7 and cr >= 0.5 then 'strong_fit' when q / 5 >= 0.5 then 'conditional_fit' when q / 5 >= 0.3 then 'high_risk' else 'execution_mismatch' end as verdict from oo")
@@ -43,18 +52,16 @@ def d23(spark, d):
     return part_outcomes(spark, d).select("p", F.when((s >= 0.7) & (F.col("cr") >= 0.5), "strong_fit").when(s >= 0.5, "conditional_fit").when(s >= 0.3, "high_risk").otherwise("execution_mismatch").alias("verdict"))
 
 
-@query("d29_relevance", """select c_custkey, p_partkey, round(greatest(0, least(1, 0.25 * case when p_type like '%STEEL%' or lower(p_type) like '%steel%' then 1 else 0.5 end + 0.25 * case when p_size <= c_custkey % 50 then 1 else 0 end + 0.15 * (1 - p_size / 50) - 0.3 * (p_brand = 'Brand#11')::int)), 6)::double as relevance
-  from customer join part on p_partkey % 100 = c_custkey % 100""")
+@query("d29_relevance", f"""with {PAIR} select c_custkey, p_partkey, round(greatest(0, least(1, 0.25 * case when p_type like '%STEEL%' or lower(p_type) like '%steel%' then 1 else 0.5 end + 0.25 * case when p_size <= c_custkey % 50 then 1 else 0 end + 0.15 * (1 - p_size / 50) - 0.3 * (p_brand = 'Brand#11')::int)), 6)::double as relevance
+  from pair join part using (p_partkey)""")
 def d29(spark, d):
-    c = table(spark, d, "customer").withColumn("k", F.col("c_custkey") % 100)
-    p = table(spark, d, "part").withColumn("k", F.col("p_partkey") % 100)
     parts = {
         "role": F.when(F.lower("p_type").contains("steel"), 1.0).otherwise(0.5),
         "domain": (F.col("p_size") <= F.col("c_custkey") % 50).cast("int"),
         "effort": 1 - F.col("p_size") / 50,
         "avoid": (F.col("p_brand") == "Brand#11").cast("int"),
     }
-    return c.join(p, "k").select("c_custkey", "p_partkey", F.round(U.relevance(parts), 6).alias("relevance"))
+    return pairs(spark, d).select("c_custkey", "p_partkey", F.round(U.relevance(parts), 6).alias("relevance"))
 
 
 MOD = """case when starts >= 3 then greatest(-0.3, least(0.3, case when cr >= 0.6 then 0.10 when cr >= 0.4 then 0.05 when cr < 0.2 then -0.15 else 0 end + case when q >= 4 then 0.10 when q >= 3 then 0.05 when q > 0 and q < 2 then -0.10 else 0 end

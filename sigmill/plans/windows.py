@@ -54,17 +54,13 @@ def w02(spark, d):
     return items(spark, d).select("trend_id", D(), F.row_number().over(O.by()).cast("long").alias("snapshots_seen"))
 
 
-@query("w03_running_distinct", sql("select id, trend_id, (select count(distinct s.created_at::date) from sig s where s.trend_id = t.trend_id and (s.created_at, s.id) <= (t.created_at, t.id)) as days_seen from sig t where t.trend_id < 40"))
-def w03(spark, d):
-    w = W.partitionBy("trend_id").orderBy("created_at", "id")
-    day = F.to_date("created_at")
-    s = signals(spark, d).filter("trend_id < 40").withColumn("new", (~F.lag(day).over(w).eqNullSafe(day)).cast("int"))
-    return s.select("id", "trend_id", F.sum("new").over(w.rowsBetween(W.unboundedPreceding, 0)).alias("days_seen"))
+DAYS_SEEN = sql("""select id, trend_id, sum(new) over (partition by trend_id order by created_at, id rows unbounded preceding)::bigint as days_seen from
+  (select id, trend_id, created_at, (lag(created_at::date) over (partition by trend_id order by created_at, id) is distinct from created_at::date)::int as new from sig)""")
 
 
-@query("w03_running_distinct_all", sql("""select id, trend_id, sum(new) over (partition by trend_id order by created_at, id rows unbounded preceding)::bigint as days_seen from
-  (select id, trend_id, created_at, (lag(created_at::date) over (partition by trend_id order by created_at, id) is distinct from created_at::date)::int as new from sig)"""))
-def w03_all(spark, d):
+@query("w03_running_distinct", DAYS_SEEN)
+@query("w03_running_distinct_all", DAYS_SEEN)
+def w03(spark, d):
     w = W.partitionBy("trend_id").orderBy("created_at", "id")
     day = F.to_date("created_at")
     s = signals(spark, d).withColumn("new", (~F.lag(day).over(w).eqNullSafe(day)).cast("int"))

@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from sigmill.sources.sinks import new_path
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,3 +40,39 @@ def finished(stream: DataFrame, mode: str) -> DataFrame:
     finally:
         q.stop()
     return spark.table(name)
+
+
+def landed(stream: DataFrame) -> DataFrame:
+    """Runs an append stream over the input that is there, into Parquet files in the shared folder, and reads them."""
+    spark = stream.sparkSession
+    path = new_path(spark, "stream")
+    q = stream.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start()
+    try:
+        q.awaitTermination()
+    finally:
+        q.stop()
+    return spark.read.schema(stream.schema).parquet(path)
+
+
+def suppressed(events: DataFrame) -> DataFrame:
+    """One alert for each user and type within 24 hours: state is dropped behind the watermark."""
+    return events.withWatermark("ts", "24 hours").dropDuplicatesWithinWatermark(["user_id", "event_type"]).select("user_id", "event_type")
+
+
+def closed_days(events: DataFrame, late: str = "7 days") -> DataFrame:
+    """Counts of the days that the watermark has passed; a day is told once and its state is gone."""
+    w = F.window("ts", "1 day")
+    return events.withWatermark("ts", late).groupBy(w, "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "event_type", "n")
+
+
+def failure_state(events: DataFrame) -> DataFrame:
+    """Totals and failures of each user, carried over from batch to batch in state; a row for each user of a batch."""
+
+    def count(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        total, failures = state.get if state.exists else (0, 0)
+        for f in frames:
+            total, failures = total + len(f), failures + int((f["event_type"] == "error").sum())
+        state.update((total, failures))
+        yield pd.DataFrame({"user_id": [key[0]], "total": [total], "failures": [failures]})
+
+    return events.select("user_id", "event_type").groupBy("user_id").applyInPandasWithState(count, "user_id long, total long, failures long", "total long, failures long", "append", GroupStateTimeout.NoTimeout)
