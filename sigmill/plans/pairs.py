@@ -61,8 +61,8 @@ RELEVANCE = f"""{FIT}, rel as (select u, part, level, feasibility, case when u %
   least(1, weeks / greatest(build_max, 1)) as effort, case u % 3 when 0 then 1 - complexity / 5 when 1 then 0.3 + 0.4 * (1 - complexity / 5) else 0.5 + 0.5 * complexity / 5 end as risk, {held('t', AVOID)} as avoided from fit)"""
 
 
-def relevances(spark, d):
-    """Relevance of every ordered part's post for the customer: role, domain, stack, effort and risk, less what it avoids."""
+def parts_of_relevance(spark, d):
+    """Of every ordered part's post, how it fits the customer: role, domain, skills, effort, risk, and topics that they avoid."""
     t = fits(spark, d)
     low, u, safe = F.col("t"), F.col("u"), 1 - F.col("complexity") / 5
     role, domain = F.when(u % 6 == 0, 0.5), F.when(u % 9 == 0, 0.5)
@@ -70,11 +70,23 @@ def relevances(spark, d):
         role = role.when(u % len(ROLE) == k, (M.hits(low, words) > 0).cast("int"))
     for k, words in enumerate(M.EXECUTION.values()):
         domain = domain.when(u % len(KIND) == k, (M.hits(low, words) > 0).cast("int"))
-    skills = F.when(F.size("skills") == 0, 0.5).otherwise(F.col("overlap") / F.size("skills"))
-    effort = F.least(F.lit(1.0), F.col("weeks") / F.greatest("build_max", F.lit(1)))
-    risk = F.when(u % 3 == 0, safe).when(u % 3 == 1, 0.3 + 0.4 * safe).otherwise(0.5 + 0.5 * F.col("complexity") / 5)
-    total = 0.25 * role + 0.25 * domain + 0.20 * skills + 0.15 * effort + 0.10 * risk - 0.30 * F.least(F.lit(1.0), 0.5 * M.hits(low, AVOID))
-    return t.select("u", "part", "level", F.greatest(F.lit(0.0), F.least(F.lit(1.0), total)).alias("relevance"))
+    return t.select(
+        "u",
+        "part",
+        "level",
+        role.alias("role"),
+        domain.alias("domain"),
+        F.when(F.size("skills") == 0, 0.5).otherwise(F.col("overlap") / F.size("skills")).alias("skills_fit"),
+        F.least(F.lit(1.0), F.col("weeks") / F.greatest("build_max", F.lit(1))).alias("effort"),
+        F.when(u % 3 == 0, safe).when(u % 3 == 1, 0.3 + 0.4 * safe).otherwise(0.5 + 0.5 * F.col("complexity") / 5).alias("risk"),
+        M.hits(low, AVOID).alias("avoided"),
+    )
+
+
+def relevances(spark, d):
+    c = F.col
+    total = 0.25 * c("role") + 0.25 * c("domain") + 0.20 * c("skills_fit") + 0.15 * c("effort") + 0.10 * c("risk") - 0.30 * F.least(F.lit(1.0), 0.5 * c("avoided"))
+    return parts_of_relevance(spark, d).select("u", "part", "level", F.greatest(F.lit(0.0), F.least(F.lit(1.0), total)).alias("relevance"))
 
 
 @query("d29_relevance_pairs", sql_posts(f"select u, part, round(({REL})::double, 6) as relevance from rel", RELEVANCE))
