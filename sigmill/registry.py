@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-PLANS = ("scans", "joins", "aggregates", "windows", "scalars", "domain", "users", "reports", "more", "market", "state", "sinks", "pairs", "rest", "topics", "streams")
+PLANS = ("scans", "joins", "aggregates", "windows", "scalars", "domain", "users", "reports", "more", "market", "state", "sinks", "pairs", "rest", "topics", "digests", "streams")
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 
@@ -27,6 +27,11 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def sql_of(name: str) -> str:
+    """SQL of a query that is already registered, for SQL that builds on it."""
+    return _SQL[name]
+
+
 def _load() -> None:
     for m in PLANS:
         importlib.import_module(f"sigmill.plans.{m}")
