@@ -51,3 +51,72 @@ def s16(spark, d):
 def s01(spark, d):
     s = signals(spark, d).orderBy(F.desc("created_at"), "id")
     return s.select("id", "source", "cents", "trend_id", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("at"))
+
+
+def started(spark, d, name: str, *columns: str):
+    """Path of a new table that holds the signals of even ids."""
+    path = sinks.new_path(spark, name)
+    sinks.replace(signals(spark, d).select(*columns).filter("id % 2 = 0"), path)
+    return path
+
+
+@query("k02_append_missing_written", sql("select id, source from sig"))
+def k02(spark, d):
+    path = started(spark, d, "k02", "id", "source")
+    return sinks.append_missing(signals(spark, d).select("id", "source"), path, ["id"])
+
+
+@query("k03_merge_written", sql("select id, case when id % 2 = 0 and id % 5 > 0 then cents else cents + 1 end as cents from sig"))
+def k03(spark, d):
+    path = started(spark, d, "k03", "id", "cents")
+    new = signals(spark, d).filter("id % 2 = 1 or id % 5 = 0").select("id", (F.col("cents") + 1).alias("cents"))
+    return sinks.merge(new, path, ["id"])
+
+
+@query("k06_update_written", sql("select id, source, case when source = 'error' then 0 else cents end as cents from sig"))
+def k06(spark, d):
+    s, path = signals(spark, d).select("id", "source", "cents"), sinks.new_path(spark, "k06")
+    sinks.replace(s, path)
+    return sinks.merge(s.filter("source = 'error'").withColumn("cents", F.lit(0).cast("long")), path, ["id"])
+
+
+@query("k07_delete_written", sql("select id, source, comments from sig where not (source = 'error' and comments < 50)"))
+def k07(spark, d):
+    path = sinks.new_path(spark, "k07")
+    sinks.replace(signals(spark, d).select("id", "source", "comments"), path)
+    return sinks.delete(spark, path, (F.col("source") == "error") & (F.col("comments") < 50))
+
+
+@query("k09_history_written", sql("select id, cents as old_cents, cents + 1 as new_cents, 1 as version from sig where source = 'purchase'"))
+def k09(spark, d):
+    """What a merge is about to change goes to a history table first."""
+    s, path = signals(spark, d).select("id", "source", "cents"), sinks.new_path(spark, "k09")
+    old = sinks.replace(s, path)
+    new = s.filter("source = 'purchase'").withColumn("cents", F.col("cents") + 1)
+    both = old.select("id", F.col("cents").alias("old_cents")).join(new.select("id", F.col("cents").alias("new_cents")), "id")
+    past = sinks.append(both.withColumn("version", F.lit(1)), f"{path}-history")
+    sinks.merge(new, path, ["id"])
+    return past
+
+
+@query("k10_run_log_written", sql("select source as stage, count(*) as rows_seen, 'done' as status from sig group by source"))
+def k10(spark, d):
+    """A row for each stage, running and then done; the log keeps the last."""
+    path, t = sinks.new_path(spark, "k10"), signals(spark, d).groupBy(F.col("source").alias("stage")).agg(F.count(F.lit(1)).alias("rows_seen"))
+    sinks.append(t.select("stage", F.lit(0).cast("long").alias("rows_seen"), F.lit("running").alias("status")), path)
+    return sinks.merge(t.withColumn("status", F.lit("done")), path, ["stage"])
+
+
+@query("k11_gate_log_written", sql("select trend_id, k as place, name as gate from (select trend_id, count(*) as n, count(distinct source) as s from sig group by 1), (select * from (values (0, 'signals'), (1, 'sources')) v(k, name)) where k = 0 or n >= 2"))
+def k11(spark, d):
+    """Gate decisions appended gate by gate; the second is asked where the first is passed."""
+    path, t = sinks.new_path(spark, "k11"), signals(spark, d).groupBy("trend_id").agg(F.count(F.lit(1)).alias("n"))
+    sinks.append(t.select("trend_id", F.lit(0).alias("place"), F.lit("signals").alias("gate")), path)
+    return sinks.append(t.filter("n >= 2").select("trend_id", F.lit(1).alias("place"), F.lit("sources").alias("gate")), path)
+
+
+@query("k12_integrity_violations", """select 'unique' as rule, (select coalesce(sum(n - 1), 0) from (select count(*) as n from lineitem group by l_orderkey, l_suppkey))::bigint as rows union all
+  select 'foreign key', count(*) from lineitem where l_orderkey not in (select o_orderkey from orders where o_orderstatus <> 'P')""")
+def k12(spark, d):
+    li = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_suppkey")
+    return sinks.violations(li, ["o_orderkey", "l_suppkey"], table(spark, d, "orders").filter("o_orderstatus <> 'P'"), "o_orderkey")
