@@ -92,3 +92,9 @@ def d58(spark, d):
     once = posts(spark, d).groupBy("trend", "site", "title").agg(F.min("id").alias("id"))
     g = once.groupBy("trend", "site").agg(F.array_sort(F.collect_list(F.struct("id", "title"))).alias("x"))
     return g.select("trend", "site", F.array_join(F.transform("x", lambda x: x["title"]), " | ").alias("titles"))
+
+
+@query("j11_entity_and_title_groups")
+def j11(spark, d):
+    """Posts that tell of one event, by entities and titles."""
+    return dedup.event_groups(posts(spark, d), "id", "title")

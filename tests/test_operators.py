@@ -60,6 +60,28 @@ def test_event_groups(spark):
     assert got[1] == got[2] and got[3] == 3 and 4 not in got
 
 
+def test_event_groups_against_all_pairs(spark):
+    rng = np.random.default_rng(4)
+    names = ["Acme Corp", "Blue Sky", "API", "SDK", "v1.2", "v3.4", "GPU", "Red Hat", "CPU", "Deep Mind"]
+    rows_ = [(i, " and ".join(rng.permutation(names)[: rng.integers(1, 6)])) for i in range(70)] + [(100 + i, f"word {i}") for i in range(5)]
+    df = spark.createDataFrame([(int(i), str(t)) for i, t in rows_], "id long, title string")
+    sets, first = {}, {}
+    for r in df.select("id", "title", X.entities(F.col("title")).alias("e")).collect():
+        if len(r.e) >= 2:
+            sets.setdefault(frozenset(r.e), []).append(r.id)
+            first.setdefault(frozenset(r.e), r.title)
+    key = lambda t: " ".join(sorted(t.lower().split()))
+    links = []
+    for a, b in itertools.combinations(sets, 2):
+        j = len(a & b) / len(a | b)
+        if j >= 0.75 or (j >= 0.5 and joins.indel_ratio(key(first[a]), key(first[b])) >= 0.70):
+            links.append(frozenset((min(sets[a]), min(sets[b]))))
+    comp = {n: min(c) for c in closure(links, {min(v) for v in sets.values()}) for n in c}
+    want = {i: comp[min(v)] for v in sets.values() for i in v}
+    assert len(set(want.values())) < len(sets)
+    assert {r.id: r.event_group for r in dedup.event_groups(df, "id", "title").collect()} == want
+
+
 URLS = [
     ("https://github.com/Owner/Repo.git", "github.com/owner/repo", "github_repo"),
     ("http://github.com/Owner/Repo/issues/3?utm_source=x#top", "github.com/owner/repo", "github_repo"),
