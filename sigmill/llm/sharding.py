@@ -84,25 +84,27 @@ def assign_shards(df: DataFrame, key: str, tree: Tree, grown: Tree | None = None
     rows that repeat a key share its shard and take slots of their own. Columns of
     the same names are replaced; an empty table stays empty.
 
-    Slots don't gather a shard in one task: a shard is cut by the leading digits of
-    its keys' hashes, rows are numbered within a cut, and the counts of the cuts
-    before it are added. A key that repeats very often stays in one cut.
+    Slots don't gather a shard, or a key that repeats or is null, in one task: rows are dealt
+    by ranges of shard, hash of the key and their other columns down to a row number, so even
+    like rows part; rows are numbered within a range, and the counts of the ranges before it are added.
     """
-    cut, order, base = f"{prefix}_cut", f"{prefix}_order", f"{prefix}_base"
-    df = df.drop("shard", "slot", "grown_shard", cut, order, base)
+    order, row, part, base = f"{prefix}_order", f"{prefix}_row", f"{prefix}_part", f"{prefix}_base"
+    df = df.drop("shard", "slot", "grown_shard", order, row, part, base)
     rest = sorted(c for c, t in df.dtypes if c != key and not t.startswith(("map", "variant", "void")))
     df = df.withColumns(
         {
             "shard": shard_of(F.col(key), tree),
             "grown_shard": shard_of(F.col(key), grown) if grown else F.lit(None).cast("int"),
             order: hex_draw(F.col(key), "slot"),
+            row: F.monotonically_increasing_id(),
         }
-    ).withColumn(cut, F.substring(order, 1, 3))
-    df = written(df, "shards")
-    counts = df.groupBy("shard", cut).agg(F.count(F.lit(1)).alias("_n"))
-    counts = counts.select("shard", cut, (F.sum("_n").over(W.partitionBy("shard").orderBy(cut)) - F.col("_n")).alias(base))
-    within = F.row_number().over(W.partitionBy("shard", cut).orderBy(order, key, *rest)) - 1
-    return df.withColumn("slot", within).join(counts, ["shard", cut]).withColumn("slot", (F.col("slot") + F.col(base)).cast("long")).drop(cut, order, base)
+    )
+    inner = [order, key, *rest, row]
+    df = written(df.repartitionByRange("shard", *inner).withColumn(part, F.spark_partition_id()), "shards")
+    counts = df.groupBy("shard", part).agg(F.count(F.lit(1)).alias("_n"))
+    counts = counts.select("shard", part, (F.sum("_n").over(W.partitionBy("shard").orderBy(part)) - F.col("_n")).alias(base))
+    within = F.row_number().over(W.partitionBy("shard", part).orderBy(*inner)) - 1
+    return df.withColumn("slot", within).join(counts, ["shard", part]).withColumn("slot", (F.col("slot") + F.col(base)).cast("long")).drop(order, row, part, base)
 
 
 def document_shards(docs: DataFrame, shards: int = 40) -> DataFrame:

@@ -129,6 +129,17 @@ def test_shards(spark, odd):
     assert len({r.shard for r in got if r.doc_id == 1}) == 1
 
 
+def test_slots_of_null_and_repeated_keys(spark):
+    rows = [(None, f"text {i % 40}") for i in range(700)] + [(5, "same")] * 600 + [(i, "x" * (i % 9)) for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = sharding.document_shards(docs).collect()
+    for s in {r.shard for r in got}:
+        own = [r for r in got if r.shard == s]
+        assert sorted(r.slot for r in own) == list(range(len(own)))
+    nulls = sorted((r.slot, r.size) for r in got if r.doc_id is None)
+    assert [x for _, x in nulls] == sorted(x for _, x in nulls) and len({r.shard for r in got if r.doc_id is None}) == 1
+
+
 def test_a_new_shard_takes_rows_only_into_itself(spark):
     ids = spark.range(40_000).select(F.col("id").alias("doc_id"))
     got = sharding.assign_shards(ids, "doc_id", sharding.equal_tree(40), sharding.equal_tree(41, built=40)).collect()
