@@ -73,14 +73,14 @@ b0 as (select label, i, avg(x) as x from (select label, vec_id, unnest(embedding
 a as (select label, list(x order by i) as v from a0 group by label), b as (select label, list(x order by i) as v from b0 group by label)
 select a.label, arg_max(b.label, list_cosine_similarity(a.v, b.v)) as previous, round(max(list_cosine_similarity(a.v, b.v)), 6) as similarity, case when max(list_cosine_similarity(a.v, b.v)) >= 0.5 then 'continuation' else 'new' end as lineage from a, b group by a.label""")
 def d05(spark, d):
-    from sigmill.operators.joins import cosine
+    """Nearest centroid of the half before, by blocks of centroids."""
+    from sigmill.operators.joins import nearest_vectors
 
     e = table(spark, d, "embeddings")
-    a = dedup.centroids(e.filter("vec_id % 2 = 0"), "label", "embedding")
-    b = dedup.centroids(e.filter("vec_id % 2 = 1"), "label", "embedding").select(F.col("label").alias("previous"), F.col("centroid").alias("old"))
-    s = a.crossJoin(b).withColumn("s", cosine(F.col("centroid"), F.col("old")))
-    t = s.groupBy("label").agg(F.max_by("previous", "s").alias("previous"), F.max("s").alias("s"))
-    return t.select("label", "previous", F.round("s", 6).alias("similarity"), F.when(F.col("s") >= 0.5, "continuation").otherwise("new").alias("lineage"))
+    now, old = (dedup.centroids(e.filter(f"vec_id % 2 = {k}"), "label", "embedding") for k in (0, 1))
+    best = nearest_vectors(now, old, "label", "centroid", 1, -1.0)
+    kind = F.when(F.col("c") >= 0.5, "continuation").otherwise("new")
+    return best.select(F.col("query_id").cast("int").alias("label"), F.col("label").cast("int").alias("previous"), F.round("c", 6).alias("similarity"), kind.alias("lineage"))
 
 
 @query("d06_cluster_distance", """with c0 as (select label, i, avg(x) as x from (select label, unnest(embedding)::double as x, generate_subscripts(embedding, 1) as i from embeddings) group by 1, 2), c as (select label, list(x order by i) as v from c0 group by label)

@@ -161,9 +161,9 @@ def d48(spark, d):
 @query("d56_overview_top_five", sql(f"select count(*) as trends, count_if({SCORE} >= 0.5) as qualified, count_if({SCORE} < 0.5 and {SCORE} >= 0.3) as watching, (select string_agg(trend_id::varchar, ',' order by s desc, trend_id) from (select trend_id, round({SCORE}, 6) as s from state order by s desc, trend_id limit 5)) as top from state", STATE))
 def d56(spark, d):
     t = state(spark, d).select("trend_id", score().alias("s"))
-    a = t.agg(n_rows().alias("trends"), F.count_if(F.col("s") >= 0.5).alias("qualified"), F.count_if((F.col("s") < 0.5) & (F.col("s") >= 0.3)).alias("watching"))
-    top = rows.top_k(t.withColumn("s", F.round("s", 6)), 5, F.desc("s"), F.asc("trend_id")).agg(F.array_sort(F.collect_list(F.struct((-F.col("s")).alias("s"), "trend_id"))).alias("x"))
-    return a.join(top.select(F.array_join(F.transform("x", lambda x: x["trend_id"].cast("string")), ",").alias("top")), how="full_outer")
+    a = t.groupBy(F.lit(1).alias("one")).agg(n_rows().alias("trends"), F.count_if(F.col("s") >= 0.5).alias("qualified"), F.count_if((F.col("s") < 0.5) & (F.col("s") >= 0.3)).alias("watching"))
+    top = rows.top_k(t.withColumn("s", F.round("s", 6)), 5, F.desc("s"), F.asc("trend_id")).groupBy(F.lit(1).alias("one")).agg(F.array_sort(F.collect_list(F.struct((-F.col("s")).alias("s"), "trend_id"))).alias("x"))
+    return a.join(top, "one").select("trends", "qualified", "watching", F.array_join(F.transform("x", lambda x: x["trend_id"].cast("string")), ",").alias("top"))
 
 
 @query("d65_quotes_and_sources", sql_posts("""select trend, quotes, sources from (select trend, string_agg(title, ' | ' order by score desc, id) as quotes from (select * from posts qualify row_number() over (partition by trend order by score desc, id) <= 5) group by 1)

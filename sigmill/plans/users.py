@@ -68,12 +68,12 @@ MOD = """case when starts >= 3 then greatest(-0.3, least(0.3, case when cr >= 0.
   + case when starts >= 10 then 0.05 when starts >= 5 then 0.02 else 0 end)) else 0 end"""
 
 
-@query("d30_personal_rank", f"""with {OUT}, r as (select c_mktsegment, p, round(0.6 * (q / 5) * (1 + {MOD}) + 0.4 * ((p % 10) / 10), 6)::double as score from oo, (select distinct c_mktsegment from customer))
+@query("d30_personal_rank", f"""with {PAIR}, {OUT}, r as (select c_mktsegment, p, round(0.6 * (q / 5) * (1 + {MOD}) + 0.4 * ((p % 10) / 10), 6)::double as score from oo join (select distinct c_mktsegment, p_partkey from pair join customer using (c_custkey)) on p_partkey = p)
   select c_mktsegment, p, score from r qualify row_number() over (partition by c_mktsegment order by score desc, p) <= 20""")
 def d30(spark, d):
-    users = table(spark, d, "customer").select("c_mktsegment").distinct()
+    bought = pairs(spark, d).select("c_mktsegment", F.col("p_partkey").alias("p")).distinct()
     base = U.personal_rank(F.col("q") / 5, S.outcome_modifier(F.col("starts"), F.col("cr"), F.col("q")), F.col("p") % 10 / 10)
-    t = part_outcomes(spark, d).select("p", F.round(base, 6).alias("score")).crossJoin(users)
+    t = part_outcomes(spark, d).select("p", F.round(base, 6).alias("score")).join(bought, "p")
     return rows.top_k(t.select("c_mktsegment", "p", "score"), 20, F.desc("score"), F.asc("p"), keys=["c_mktsegment"])
 
 
