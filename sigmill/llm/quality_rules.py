@@ -110,8 +110,16 @@ def _base_rule() -> Column:
     return F.when(F.col("n_words") < 20, F.lit("few_words")).when(100 * F.col("n_repeat_words") > 30 * F.col("n_words"), F.lit("repeated_words"))
 
 
-def _has_letter(w: Column) -> Column:
-    return w.rlike(r"\p{L}")
+def _text_rules(body: Column, n: Column) -> list[Rule]:
+    """Rules over the text itself, each a pass or two with one pattern; a match is a word or a line."""
+    count = lambda pattern: F.regexp_count(body, F.lit(pattern))
+    size = F.length(body).cast("long")
+    lines = count(rf"[^\n]*?[^{SPACE}][^\n]*+")
+    return [
+        Rule("letters", 5 * count(rf"[^\p{{L}}{SPACE}]*+\p{{L}}[^{SPACE}]*+") < 2 * n, 2 * size),
+        Rule("bullets", (lines >= 3) & (10 * count(rf"(?md)^[{SPACE}]*[-*•‣]") > 9 * lines), 3 * size),
+        Rule("ellipses", (lines >= 3) & (10 * count(rf"(?md)(?:\.\.\.|…)[{SPACE}]*$") > 3 * lines), 3 * size),
+    ]
 
 
 def further_rules(text: str = "text") -> list[Rule]:
@@ -121,17 +129,12 @@ def further_rules(text: str = "text") -> list[Rule]:
     own, which rows that an earlier rule rejects are spared.
     """
     n, chars, body = F.col("n_words"), F.col("word_chars"), text_of(text)
-    lines = F.filter(F.split(body, "\n"), lambda x: F.length(F.btrim(x, F.lit(SPACES))) > 0)
-    share = lambda rx: F.size(F.filter(lines, lambda x: x.rlike(rx)))
     one = F.lit(1).cast("long")
-    size = F.length(body).cast("long")
     return [
         Rule("symbols", 5 * F.col("n_symbols") > n, one),
         Rule("dup_lines", (F.col("n_dup_lines") >= 3) & (F.col("n_dup_lines") * 20 > n), one),
         Rule("word_length", (chars < 2 * n) | (chars > 15 * n), one),
-        Rule("letters", 5 * F.size(F.filter(words_of(body), _has_letter)) < 2 * n, 3 * size),
-        Rule("bullets", (F.size(lines) >= 3) & (10 * share(rf"^[{SPACE}]*[-*•‣]") > 9 * F.size(lines)), 2 * size),
-        Rule("ellipses", (F.size(lines) >= 3) & (10 * share(rf"(\.\.\.|…)[{SPACE}]*$") > 3 * F.size(lines)), 2 * size),
+        *_text_rules(body, n),
     ]
 
 
@@ -147,17 +150,13 @@ def lean_rules(text: str = "text") -> list[Rule]:
     )
     repeats = F.when(F.col("_rule_twice"), covered_words("_rule_runs")).otherwise(0)
     chars = F.length(F.regexp_replace(body, rf"[{SPACE}]+", ""))
-    lines = F.filter(F.split(body, "\n"), lambda x: F.length(F.btrim(x, F.lit(SPACES))) > 0)
-    share = lambda rx: F.size(F.filter(lines, lambda x: x.rlike(rx)))
     return [
         Rule("few_words", n < 20, 2 * size),
         Rule("repeated_words", (100 * repeats > 30 * n) & (F.col("_rule_row") >= 0), 30 * size, steps),
         Rule("symbols", 5 * symbol_count(body) > n, 3 * size),
         Rule("dup_lines", (dup_lines(body) >= 3) & (dup_lines(body) * 20 > n), 4 * size),
         Rule("word_length", (chars < 2 * n) | (chars > 15 * n), 3 * size),
-        Rule("letters", 5 * F.size(F.filter(words_of(body), _has_letter)) < 2 * n, 5 * size),
-        Rule("bullets", (F.size(lines) >= 3) & (10 * share(rf"^[{SPACE}]*[-*•‣]") > 9 * F.size(lines)), 3 * size),
-        Rule("ellipses", (F.size(lines) >= 3) & (10 * share(rf"(\.\.\.|…)[{SPACE}]*$") > 3 * F.size(lines)), 3 * size),
+        *_text_rules(body, n),
     ]
 
 
