@@ -6,7 +6,9 @@ whole. Anchors with a hash of their surroundings (the bytes that any string hold
 anchor can reach) are dealt out by the anchor's hash; equal surroundings fold into one class,
 of which all but the first place are repeats; where an anchor has unlike surroundings, one copy of
 each goes into a text of about a megabyte, in whose transform intervals of suffixes that
-share ``least`` bytes are found. An anchor with more unlike surroundings than such a text
+share ``least`` bytes are found. Strings that hold an anchor reach half of what they can to its left or to its
+right, so surroundings are dealt by what they have on one side: those that share neither side with any other can't
+hold a repeat and are left out. A side with more unlike surroundings than such a text
 holds is cut by the strings of ``least`` bytes around it instead, each dealt by its own hash,
 so no anchor gathers in one task.
 """
@@ -18,7 +20,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -58,14 +60,15 @@ def _slide(best, a: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors(buf: np.ndarray, ends: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
-    """(at, left, right, h, g) of the anchors of texts that stand one behind another in ``buf``.
+    """(at, left, right, h, g, gl, gr) of the anchors of texts that stand one behind another in ``buf``.
 
     ``ends[i]`` is where the text of byte i ends. ``left`` and ``right``: how far strings
-    that hold the anchor can reach; ``h`` hashes the anchor, ``g`` all that can be reached.
+    that hold the anchor can reach; ``h`` hashes the anchor, ``g`` all that can be reached, ``gl`` and
+    ``gr`` the anchor with the near half of either side, 0 where the text doesn't reach so far.
     """
     width = least - GRAM + 1
     if len(buf) < least:
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64, np.int32, np.int32))
     values, power, inverse = _tables()
     prefix = np.zeros(len(buf) + 1, np.uint64)
     np.cumsum(values[buf] * power[: len(buf)], out=prefix[1:])
@@ -80,7 +83,14 @@ def anchors(buf: np.ndarray, ends: np.ndarray, least: int) -> tuple[np.ndarray,
     first = np.searchsorted(ends, end, "left")  # ends never fall, so a text starts where its end first shows
     left, right = np.minimum(width - 1, at - first), np.minimum(least, end - at)
     reach = (prefix[at + right] - prefix[at - left]) * inverse[at - left]
-    return at, left, right, _mix(gram[at]), _mix(_mix(reach) + (left * 65536 + right).astype(np.uint64) * ODD)
+    half = (least - GRAM) // 2
+
+    def side(ok: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        a, b = np.where(ok, a, at), np.where(ok, b, at)
+        return np.where(ok, (_mix((prefix[b] - prefix[a]) * inverse[a]) >> np.uint64(32)).astype(np.uint32) | np.uint32(1), np.uint32(0)).view(np.int32)
+
+    gl, gr = side(left >= half, at - half, at + GRAM), side(right >= least - half, at, at + least - half)
+    return at, left, right, _mix(gram[at]), _mix(_mix(reach) + (left * 65536 + right).astype(np.uint64) * ODD), gl, gr
 
 
 def _pieces(texts: Iterator[tuple[int, bytes]], margin: int) -> Iterator[list[tuple[int, int, int, int, bytes]]]:
@@ -126,13 +136,13 @@ def places(docs: DataFrame, least: int) -> DataFrame:
             for group in _pieces(((i, (t or "").encode()) for i, t in enumerate(b["text"])), least):
                 size = np.array([len(p[4]) for p in group])
                 base = np.cumsum(size) - size
-                at, left, right, h, g = anchors(np.frombuffer(b"".join(p[4] for p in group), np.uint8), np.repeat(base + size, size), least)
+                at, left, right, h, g, gl, gr = anchors(np.frombuffer(b"".join(p[4] for p in group), np.uint8), np.repeat(base + size, size), least)
                 k = np.searchsorted(base, at, "right") - 1
                 k = np.searchsorted(base, base[k], "right") - 1
                 row, off, lo, hi = (np.array([p[c] for p in group])[k] for c in range(4))
                 at = at - base[k]
                 own = (at >= lo) & (at < hi)
-                at, left, right, h, g, row = (v[own] for v in (at + off, left, right, h, g, row))
+                at, left, right, h, g, gl, gr, row = (v[own] for v in (at + off, left, right, h, g, gl, gr, row))
                 if not len(at):
                     continue
                 both = _mix(h + g * ODD)
@@ -142,33 +152,42 @@ def places(docs: DataFrame, least: int) -> DataFrame:
                 seen = np.sort(np.concatenate([seen, known[fresh]]))
                 keep = np.zeros(len(at), bool)
                 keep[first[fresh]] = True
-                out = [pd.DataFrame({"h": h[keep].view(np.int64), "g": g[keep].view(np.int64), "doc": doc[row[keep]], "part": part[row[keep]], "at": at[keep], "reach": left[keep] * 65536 + right[keep], "span": False})]
+                out = [pd.DataFrame({"h": h[keep].view(np.int64), "g": g[keep].view(np.int64), "doc": doc[row[keep]], "part": part[row[keep]], "at": at[keep], "reach": left[keep] * 65536 + right[keep], "gl": gl[keep], "gr": gr[keep], "span": False})]
                 for r in np.unique(row[~keep]):
                     these = ~keep & (row == r) if len(group) < 50 else np.flatnonzero(~keep & (row == r))
                     s, e = merged((at - left)[these], (at + right)[these])
                     spread = _mix(s.astype(np.uint64) * ODD + np.uint64(row[these][0])).view(np.int64)  # spans belong to no anchor: their keys only spread them
-                    out.append(pd.DataFrame({"h": spread, "g": s, "doc": doc[r], "part": part[r], "at": s, "reach": e - s, "span": True}))
+                    out.append(pd.DataFrame({"h": spread, "g": s, "doc": doc[r], "part": part[r], "at": s, "reach": e - s, "gl": np.int32(0), "gr": np.int32(0), "span": True}))
                 yield pd.concat(out)
 
     ordered = docs.sortWithinPartitions("doc", "part")
-    return ordered.mapInPandas(run, "h long, g long, doc long, part long, at long, reach long, span boolean")
+    return ordered.mapInPandas(run, "h long, g long, doc long, part long, at long, reach long, gl int, gr int, span boolean")
 
 
-def compared(found: DataFrame) -> DataFrame:
-    """What is left to do: spans, and anchors (h kept) whose surroundings must be compared.
+def compared(found: DataFrame, least: int) -> DataFrame:
+    """(doc, part, s, n, w): spans known to be repeats, with ``w`` empty, and surroundings to compare, each named in ``w``.
 
     Sorted by surroundings and place within an anchor: whatever follows an equal one is
-    a repeat; of the rest, those of anchors with several surroundings go on.
+    a repeat. Of the rest, those go on whose near half on one side is that of another
+    too: ``w`` has the side's key, and where the bytes begin and how many there are that strings which reach
+    that half can hold.
     """
-    of = W.partitionBy("h", "span")
+    of, half = W.partitionBy("h", "span"), (least - GRAM) // 2
     again = F.lag("g").over(of.orderBy("g", "doc", "part", "at")) == F.col("g")
     w = found.withColumns({"again": ~F.col("span") & F.coalesce(again, F.lit(False)), "many": ~F.col("span") & (F.min("g").over(of) != F.max("g").over(of))})
+    known = F.col("span") | F.col("again")
+    w = w.filter(known | F.col("many"))
+    shared = lambda c: ~known & (F.col(c) != 0) & (F.sum((~known).cast("int")).over(W.partitionBy("h", "span", c)) > 1)
+    w = w.withColumns({"is_l": shared("gl"), "is_r": shared("gr")}).filter(known | F.col("is_l") | F.col("is_r"))
     left, right = F.floor(F.col("reach") / 65536), F.col("reach") % 65536
     s = F.when(F.col("span"), F.col("at")).otherwise(F.col("at") - left)
     n = F.when(F.col("span"), F.col("reach")).otherwise(left + right)
-    is_span = F.col("span") | F.col("again")
-    w = w.filter(is_span | F.col("many")).select("doc", "part", F.when(~is_span, F.col("h")).alias("h"), s.cast("long").alias("s"), n.cast("long").alias("n"))
-    return written(w, "repeats")
+
+    def asked(side: int, c: str, before: Column, behind: Column) -> Column:
+        return F.struct(F.xxhash64(F.lit(side), "h", c).alias("h"), (F.col("at") - before).cast("long").alias("s"), (before + behind).cast("long").alias("n"))
+
+    sides = F.array_compact(F.array(F.when(F.col("is_l"), asked(0, "gl", left, F.least(right, F.lit(least - half)))), F.when(F.col("is_r"), asked(1, "gr", F.least(left, F.lit(half)), right))))
+    return written(w.select("doc", "part", s.cast("long").alias("s"), n.cast("long").alias("n"), sides.alias("w")), "repeats")
 
 
 def bwt_groups(raw: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -292,14 +311,14 @@ def window_repeats(cut: DataFrame, least: int) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, least: int = 100, per_text: int = 6000) -> DataFrame:
     """(doc, part, s, n): spans of bytes to remove; they may overlap."""
-    work = compared(places(docs, least))
-    asked = work.filter("h is not null")
-    count = asked.count()
-    done = work.filter("h is null").drop("h")
+    work = compared(places(docs, least), least)
+    asked = work.filter(F.size("w") > 0)
+    count = asked.agg(F.sum(F.size("w"))).first()[0]
+    done = work.filter(F.size("w") == 0).drop("w")
     if not count:
         return done
-    hot = written(asked.groupBy("h").count().filter(F.col("count") > 2 * per_text).select("h"), "hot-anchors")
-    wanted = asked.groupBy("doc", "part").agg(F.collect_list(F.struct("h", "s", "n")).alias("w"))
+    hot = written(asked.select(F.explode("w.h").alias("h")).groupBy("h").count().filter(F.col("count") > 2 * per_text).select("h"), "hot-anchors")
+    wanted = asked.groupBy("doc", "part").agg(F.flatten(F.collect_list("w")).alias("w"))
 
     def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
