@@ -130,32 +130,52 @@ def links(nodes: DataFrame, budget: int = 2, per_node: int = 8192) -> DataFrame:
     two fingerprints within the budget agree on one run at least, so with each run in
     front in turn they share a subtree of that trie. Subtrees are joined with
     themselves, many small ones in a task. A subtree with more than ``per_node`` members is
-    cut again: its free bits into runs, its members by each. When no more bits are
-    free than the budget has, all members of a subtree are linked to the least. So no
-    task holds a crowded subtree, whatever the prefixes. Tasks return forests: links
-    grow with members, not pairs.
+    cut once more, its free bits into runs; one that is crowded still, as a group of near copies is, is
+    dealt out in tiles, pairs of parts of about ``per_node`` members, whose work grows with the square of
+    that one subtree. So no task holds a crowded subtree, whatever the prefixes. Tasks return
+    forests: links grow with members, not pairs.
     """
     found, rows, masks = [], nodes.select("fp", F.lit(0).cast("long").alias("mask")), [0]
-    while masks:
+    for _ in range(2):
         ways = {m: _blocks(m, budget) for m in masks}
         to = F.create_map(*[x for m, kids in ways.items() for x in (F.lit(_signed(m)), F.array(*[F.lit(_signed(k)).cast("long") for k in kids]))])
         each = rows.select("fp", F.explode(F.element_at(to, F.col("mask"))).alias("mask")).withColumn("key", F.col("fp").bitwiseAND(F.col("mask"))).distinct()
-        count = written(each.groupBy("mask", "key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("least")).filter("n > 1"), "subtrees")
-        full = [_signed(k) for kids in ways.values() for k in kids if BITS - k.bit_count() <= budget]
-        is_full = F.col("mask").isin(full) if full else F.lit(False)
+        count = written(each.groupBy("mask", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "subtrees")
         each = each.join(count, ["mask", "key"])
-        found.append(each.filter(is_full & (F.col("fp") != F.col("least"))).select(F.col("fp").alias("u"), F.col("least").alias("v")))
-        found.append(_joined(each.filter(~is_full & (F.col("n") <= per_node)), count.filter(F.col("n") <= per_node).agg(F.sum("n")).first()[0] or 0, budget, per_node))
-        crowded = count.filter(~is_full & (F.col("n") > per_node))
-        masks = [r.mask % (1 << BITS) for r in crowded.select("mask").distinct().collect()]  # so many as there are ways to cut bits, whatever the table
-        if masks:
-            rows = written(each.filter(~is_full & (F.col("n") > per_node)).select("fp", "mask"), "crowded")
+        found.append(_joined(each.filter(F.col("n") <= per_node), count.filter(F.col("n") <= per_node).agg(F.sum("n")).first()[0] or 0, budget, per_node))
+        masks = [r.mask % (1 << BITS) for r in count.filter(F.col("n") > per_node).select("mask").distinct().collect()]  # so many as there are ways to cut bits, whatever the table
+        if not masks:
+            break
+        rows = written(each.filter(F.col("n") > per_node), "crowded")
+    else:
+        found.append(_tiled(rows, budget, per_node))
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
     return out
 
 
+def _tiled(each: DataFrame, budget: int, per_node: int) -> DataFrame:
+    """Forest links of crowded subtrees: every two parts of one, and each with itself, are one group."""
+    parts = F.ceil(F.col("n") / per_node).cast("int")
+    cut = each.withColumns({"part": F.pmod(F.xxhash64("fp"), parts).cast("int"), "other": F.explode(F.sequence(F.lit(0), parts - 1))})
+    cut = cut.select("mask", "key", "fp", "part", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"))
+
+    def join(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        fp, part, same = rows["fp"].to_numpy().view(np.uint64), rows["part"].to_numpy(), key[2] == key[3]
+        x = np.sort(fp[part == key[2]])
+        y = x if same else np.sort(fp[part == key[3]])
+        out, shift = (x, 0) if same else (np.concatenate([x, y]), len(x))
+        forest = Forest(len(out))
+        for i, j in trie_pairs(x, y, 0, budget, same):
+            forest.add(i, j + shift)
+        root = forest.roots()
+        far = root != np.arange(len(out))
+        return pd.DataFrame({"u": out[far].view(np.int64), "v": out[root[far]].view(np.int64)})
+
+    return cut.groupBy("mask", "key", "a", "b").applyInPandas(join, "u long, v long")
+
+
 def _joined(each: DataFrame, members: int, budget: int, per_node: int) -> DataFrame:
     """Forest links of subtrees of up to ``per_node`` members each, dealt out to tasks by mask and key."""
 
