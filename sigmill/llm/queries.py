@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sigmill.llm import embedding_dedup, licenses, line_dedup, mixing, packing, quality_classifier, quality_rules, sharding, simhash, suffix_dedup
+from sigmill.llm import embedding_dedup, licenses, line_dedup, merkle, mixing, packing, quality_classifier, quality_rules, sharding, simhash, suffix_dedup
 from sigmill.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,7 @@ def queries() -> dict[str, Query]:
         "op8_simhash": over("documents", simhash.document_components),
         "op10_embedding_dedup": over("embeddings", embedding_dedup.near_vectors),
         "op9_quality_rules": over("documents", quality_rules.document_rules),
+        "op13_merkle": over("documents", merkle.document_proofs),
     }
 
 
@@ -80,8 +81,37 @@ s as (select row_id, list(name) as more from (select row_id, unnest(regexp_extra
 select doc_id, len(ids)::bigint as n_sentences, array_to_string(ids, ',') as sentence_ids, array_to_string(list_sort(list_distinct(found || coalesce(more, []::varchar[]))), ',') as licenses from {last} left join s using (row_id)"""
 
 
+def _merkle() -> str:
+    """Levels one after another, siblings by level, then each way folded from its leaf to the root."""
+    told = lambda v: f"coalesce(octet_length(encode({v}::varchar))::varchar || ':' || {v}::varchar, '-')"
+    leaf = lambda n: f"sha256({' || '.join(told(v) for v in ('doc_id', 'source', 'lang', n, 'text'))})"
+    tree = lambda name, base: f"""
+{name}(g, l, i, h, n) as (select g, 0, i, h, n from {base} union all
+  select g, l + 1, i // 2, sha256(string_agg(h, '' order by i)), (n + 1) // 2 from {name} where n > 1 group by g, l, i // 2, n)"""
+    steps = lambda name, base: f"""
+{name} as (select g, i, list(s order by l) filter (where s is not null) as p from (select b.g, b.i, t.l,
+    case when t.n > 1 then case when o.h is null then '=' when o.i < t.i then '<' || o.h else '>' || o.h end end as s
+  from {base} b join {base}_t t on t.g = b.g and t.i = b.i >> t.l left join {base}_t o on o.g = t.g and o.l = t.l and o.i = xor(t.i, 1)) group by g, i)"""
+    return f"""
+with recursive d as (select *, {leaf("n_chars")} as leaf, {leaf("(n_chars + 1)")} as odd, row_number() over (order by lang nulls first, doc_id nulls first) as r, coalesce(doc_id::varchar, '') as k from documents),
+langs as (select lang, row_number() over (order by lang nulls first) - 1 as g, count(*) as n from d group by lang),
+bits(v0, v, b) as (select n, n::bigint, 0 from range(256) x(n) union all select v0, case when v % 2 = 1 then xor(v // 2, 3988292384) else v // 2 end, b + 1 from bits where b < 8),
+tab as (select list(v order by v0) as tab from bits where b = 8),
+a as (select d.*, langs.g, langs.n, row_number() over (partition by langs.g order by doc_id nulls first, leaf) - 1 as i, leaf as h,
+  xor(list_reduce(list_prepend(4294967295::bigint, list_transform(regexp_extract_all(hex(encode(k)), '..'), lambda x: ('0x' || x)::bigint)),
+    lambda s, c: xor(s >> 8, tab[xor(s, c) % 256 + 1])), 4294967295) as crc from d join langs on d.lang is not distinct from langs.lang, tab),
+{tree("a_t", "a")},{steps("low", "a")},
+b as (select 0 as g, g as i, h, count(*) over () as n from a_t where n = 1),
+{tree("b_t", "b")},{steps("high", "b")},
+p as (select a.*, b.h as subroot, root.h as root, coalesce(low.p, []::varchar[]) || coalesce(high.p, []::varchar[]) as p from a join low on low.g = a.g and low.i = a.i join b on b.i = a.g join high on high.i = a.g, (select h from b_t where n = 1) root),
+f as (select doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(p, lambda s: s[2:]), '')) as proof_sha256,
+  list_reduce(list_prepend(case when doc_id is not null and crc % 7 = 0 then coalesce(odd, leaf) else leaf end, p), lambda x, s: sha256(case when s[1] = '<' then s[2:] || x else x || s[2:] end)) as folded_root from p)
+select *, folded_root = root as verified from f"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "op13_merkle": _merkle(),
         "op2_mixing": rf"""
 with d as (select doc_id, source, len({WORDS})::bigint as size, md5('42:' || coalesce(doc_id::varchar, '~')) as h from documents),
 s as (select source, sum(size)::bigint as source_size, [5, 2, 1][(row_number() over (order by source nulls last) - 1) % 3 + 1]::double as w from d group by source),
