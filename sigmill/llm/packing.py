@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -20,6 +21,9 @@ from sigmill.llm.common import written
 #: Fixed value: how byte-level BPE cuts a text before it merges.
 BYTE_LEVEL_SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
+#: Runs of white space, or of anything else, that the faster library isn't given.
+LONG_RUN = re.compile(r"(?<!\s)\s{50000}|(?<!\S)\S{50000}")
+
 #: Rows of totals (one for each task of the first pass) up to which they are sent to every executor.
 BROADCAST_ROWS = 1_000_000
 
@@ -28,7 +32,7 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 PARTS = "sequence_id long, offset long, ids binary, whole boolean"
 
 
-def _byte_names() -> dict[str, int]:
+def byte_names() -> dict[str, int]:
     """Byte-level BPE writes each byte as a printable character; its value by character."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     rest = [b for b in range(256) if b not in plain]
@@ -45,31 +49,48 @@ def _plain_byte_level(told: dict) -> bool:
         return False
     made = ["".join(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
     ids = [model["vocab"].get(t, -1) for t in made]
-    return ids[:1] != [-1] and all(a < b for a, b in zip(ids, ids[1:], strict=False)) and all(c in model["vocab"] for c in _byte_names())
+    return ids[:1] != [-1] and all(a < b for a, b in zip(ids, ids[1:], strict=False)) and all(c in model["vocab"] for c in byte_names())
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str) -> Callable[[str], list[int]]:
-    """Ids of a text under the tokenizer file at ``path``, without special tokens.
-
-    Byte-level BPE files whose merges stand in the order of their ids (the usual case)
-    are run by a faster library with the same vocabulary; tests hold the two equal. Any
-    other file is run by its own library.
+def encoder(path: str, special: bool = True) -> Callable[[str], list[int]]:
+    """Ids of a text under the tokenizer file at ``path``; nothing is put around the text.
+
+    Strings of special tokens that stand in a text become those tokens, as the file's library
+    does it, or are plain text if not ``special``. Byte-level BPE files whose merges stand in the
+    order of their ids (the usual case) are run by a faster library with the same
+    vocabulary; tests hold the two equal. Any other file is run by its own library, and so
+    are texts with a run of letters or of white space too long for the faster one.
     """
     from tokenizers import Tokenizer
 
-    slow = Tokenizer.from_file(path)
-    slow.encode_special_tokens = True
+    own = Tokenizer.from_file(path)
+    own.encode_special_tokens = not special
     with open(path, encoding="utf-8") as f:
         told = json.load(f)
-    if not _plain_byte_level(told):
-        return lambda text: slow.encode(text, add_special_tokens=False).ids
+    added = told.get("added_tokens", [])
+    slow = lambda text: own.encode(text, add_special_tokens=False).ids
+    if not _plain_byte_level(told) or any(t.get(k) for t in added for k in ("lstrip", "rstrip", "single_word")) or not all(t.get("special") for t in added):
+        return slow
     import tiktoken
 
-    names, special = _byte_names(), {t["content"] for t in told.get("added_tokens", [])}
-    ranks = {bytes(names[c] for c in t): i for t, i in told["model"]["vocab"].items() if t not in special}
-    fast = tiktoken.Encoding("file", pat_str=BYTE_LEVEL_SPLIT, mergeable_ranks=ranks, special_tokens={})
-    return fast.encode_ordinary
+    names, marks = byte_names(), {t["content"]: t["id"] for t in added}
+    ranks = {bytes(names[c] for c in t): i for t, i in told["model"]["vocab"].items() if t not in marks}
+    fast = tiktoken.Encoding("file", pat_str=BYTE_LEVEL_SPLIT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    border = re.compile("|".join(map(re.escape, sorted(marks, key=len, reverse=True)))) if special and marks else None
+
+    def ids(text: str) -> list[int]:
+        if LONG_RUN.search(text):
+            return slow(text)
+        if not border or not border.search(text):
+            return fast(text)
+        out, at = [], 0
+        for m in border.finditer(text):
+            out += [*fast(text[at : m.start()]), marks[m[0]]]
+            at = m.end()
+        return out + fast(text[at:])
+
+    return ids
 
 
 def tokenize(docs: DataFrame, path: str, end_id: int = 1) -> DataFrame:

@@ -10,20 +10,31 @@ from sigmill.llm import packing
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 
-def reference():
+def reference(special=True):
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
+    t.encode_special_tokens = not special
     return lambda text: t.encode(text, add_special_tokens=False).ids
 
 
-def test_encoder_equals_tokenizers(spark):
-    want, got = reference(), packing.encoder(PATH)
+ODD = ["", " ", "  \n\n x", "don't I'LL 12３ ²", "<|endoftext|>", "a  <|endoftext|>\n <|endoftext|><|endoftext", "日本 😀é́", "a" * 3000, "\t \r\n", "\x00\x85\xa0z"]
+LONG = [" " * 3_000_000 + "x", "y" + "\n" * 3_000_000, " \n" * 600_000 + "<|endoftext|>z", "a" * 1_500_000, " " * 49_990 + "b"]
+
+
+@pytest.mark.parametrize("special", [True, False])
+def test_encoder_equals_tokenizers(spark, special):
+    want, got = reference(special), packing.encoder(PATH, special)
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").limit(60).collect()
-    odd = ["", " ", "  \n\n x", "don't I'LL 12３ ²", "<|endoftext|>", "日本 😀é́", "a" * 3000, "\t \r\n", "\x00\x85\xa0z"]
-    for t in [*odd, *(r.text for r in docs)]:
+    for t in [*ODD, *LONG, *(r.text for r in docs)]:
         assert list(got(t)) == list(want(t))
 
 
+def test_long_white_space_and_special_tokens_in_the_query(spark):
+    texts = [*ODD, LONG[0], LONG[2]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    want = {i: len(reference()(t)) + 1 for i, t in enumerate(texts)}
+    assert {r.doc_id: r.doc_tokens for r in packing.document_pieces(docs).select("doc_id", "doc_tokens").distinct().collect()} == want
+
+
 @pytest.mark.parametrize("size", [16, 2048])
 def test_round_trip(spark, size):
     ids = reference()
