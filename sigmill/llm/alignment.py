@@ -78,21 +78,31 @@ def links(ids_a: np.ndarray, ends_a: np.ndarray, ids_b: np.ndarray, ends_b: np.n
     return ids_a[np.searchsorted(ends_a, ends)] << 32 | ids_b[np.searchsorted(ends_b, ends)]
 
 
-def groups(ids_a: np.ndarray, ends_a: np.ndarray, ids_b: np.ndarray, ends_b: np.ndarray) -> tuple[int, str]:
-    """Number of groups between offsets where both sides end, and their text ``a1,a2|b1;a3|b2``."""
-    both = np.intersect1d(ends_a, ends_b, assume_unique=True)
-    group, side, ids = [], [], []
-    for k, (i, e) in enumerate(((ids_a, ends_a), (ids_b, ends_b))):
-        group.append(np.searchsorted(both, e))
-        side.append(np.full(len(i), k))
-        ids.append(i)
-    group, side, ids = np.concatenate(group), np.concatenate(side), np.concatenate(ids)
-    order = np.argsort(2 * group + side, kind="stable")
-    group, side, ids = group[order], side[order], ids[order]
-    last = np.append((group[1:] != group[:-1]) | (side[1:] != side[:-1]), True)
-    marks = np.where(~last, ",", np.where(side == 0, "|", ";"))
-    marks[-1:] = ""
-    return len(both), "".join([x for pair in zip(map(str, ids.tolist()), marks.tolist(), strict=True) for x in pair])
+@lru_cache(maxsize=1)
+def _digits(ids: int) -> np.ndarray:
+    """A row for each id: its decimal digits, zero bytes before them, and room for a mark behind."""
+    width = len(str(ids))
+    rows = np.frombuffer("".join(f"{i:>{width}} " for i in range(ids)).encode(), np.uint8).reshape(ids, width + 1)
+    return np.where(rows == ord(" "), 0, rows)
+
+
+def groups(ids_a: np.ndarray, ends_a: np.ndarray, ids_b: np.ndarray, ends_b: np.ndarray, ids: int) -> tuple[int, bytes]:
+    """Number of groups between offsets where both sides end, and their text ``a1,a2|b1;a3|b2``; all ids are below ``ids``."""
+    at = np.searchsorted(ends_b, ends_a)
+    ends = ends_b[at] == ends_a
+    last_a, last_b = np.flatnonzero(ends), at[ends]
+    group_a, group_b = np.cumsum(ends) - ends, np.zeros(len(ids_b), np.int64)
+    group_b[last_b[:-1] + 1] = 1
+    group_b = np.cumsum(group_b)
+    # a token stands behind those of its side, and behind the other side's of the groups before (A) or up to its own (B)
+    place_a = np.arange(len(ids_a)) + np.append(0, last_b + 1)[group_a]
+    place_b = np.arange(len(ids_b)) + (last_a + 1)[group_b]
+    rows = np.empty((len(ids_a) + len(ids_b), _digits(ids).shape[1]), np.uint8)
+    for place, own, last, mark in ((place_a, ids_a, last_a, "|"), (place_b, ids_b, last_b, ";")):
+        rows[place] = _digits(ids)[own]
+        rows[place, -1] = ord(",")
+        rows[place[last], -1] = ord(mark)
+    return len(last_a), rows[rows != 0].tobytes()[:-1]
 
 
 def aligned(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
@@ -102,9 +112,11 @@ def aligned(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     they travel; ``tid`` is the text's sha256. Null and empty texts are left out. A text is
     worked on at once, in memory in proportion to it.
     """
+    names, kinds = [c.split()[0] for c in ALIGNED.split(", ")], [pa.binary(), *[pa.int64()] * 5, pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = byte_level(a_path), pieces_of(b_path)
+        most = max(len(a.raw), len(b.raw))
         for batch in batches:
             out = []
             for tid, copies, text in zip(*(batch.column(c).to_pylist() for c in ("tid", "copies", "text")), strict=True):
@@ -112,12 +124,9 @@ def aligned(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
                     out.append((tid, copies, 0, 0, 0, 0, "", [], []))
                     continue
                 pairs, times = np.unique(links(*cut), return_counts=True)
-                n, told = groups(*cut)
-                out.append((tid, copies, len(cut[0]), len(cut[2]), n, int(times.sum()), hashlib.sha256(told.encode()).hexdigest(), pairs, times.astype(np.int32)))
-            names, kinds = zip(*(c.rsplit(" ", 1) for c in ALIGNED.split(", ")), strict=True)
-            kinds = {"binary": pa.binary(), "long": pa.int64(), "string": pa.string(), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32())}, kinds
-            cols = [pa.array([r[k] for r in out], kinds[0][t]) for k, t in enumerate(kinds[1])]
-            yield pa.RecordBatch.from_arrays(cols, list(names))
+                n, told = groups(*cut, most)
+                out.append((tid, copies, len(cut[0]), len(cut[2]), n, int(times.sum()), hashlib.sha256(told).hexdigest(), pairs, times.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names)
 
     texts = docs.select(F.col("text").cast("string").alias("text")).filter("text <> ''").groupBy("text").agg(F.count(F.lit(1)).alias("copies"))
     return written(texts.select(_tid(F.col("text")).alias("tid"), "copies", "text").mapInArrow(run, ALIGNED), "aligned")

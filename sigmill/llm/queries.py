@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sigmill.llm import alignment, embedding_dedup, licenses, line_dedup, merkle, mixing, packing, quality_classifier, quality_rules, sharding, simhash, suffix_dedup
+from sigmill.llm import alignment, embedding_dedup, graph_search, licenses, line_dedup, merkle, mixing, packing, quality_classifier, quality_rules, sharding, simhash, suffix_dedup
 from sigmill.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,7 @@ def queries() -> dict[str, Query]:
         "op10_embedding_dedup": over("embeddings", embedding_dedup.near_vectors),
         "op9_quality_rules": over("documents", quality_rules.document_rules),
         "op11_alignment": over("documents", alignment.document_alignment),
+        "op12_graph_search": over("embeddings", graph_search.document_neighbours),
         "op13_merkle": over("documents", merkle.document_proofs),
     }
 
