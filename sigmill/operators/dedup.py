@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sigmill.functions import text as X
 from sigmill.operators.graph import components
-from sigmill.operators.joins import token_sort_ratio
+from sigmill.operators.similar import token_sort_ratio
 
 
 def url_duplicates(df: DataFrame, key: str, url: str) -> DataFrame:

@@ -32,53 +32,6 @@ def nearest_in_time(df: DataFrame, key: str, at: str, value: str, days_back: int
     return df.join(best.withColumnRenamed("_at", at), [key, at], "left")
 
 
-def indel_ratio(a: str, b: str) -> float:
-    """Normalised indel similarity, 2 * lcs / (m + n), with bit-parallel longest common subsequence."""
-    if not a and not b:
-        return 1.0
-    where: dict[str, int] = {}
-    for i, c in enumerate(a):
-        where[c] = where.get(c, 0) | 1 << i
-    full, s = (1 << len(a)) - 1, (1 << len(a)) - 1
-    for c in b:
-        u = s & where.get(c, 0)
-        s = ((s + u) | (s - u)) & full
-    return 2 * (len(a) - s.bit_count()) / (len(a) + len(b))
-
-
-def token_sort_ratio(a: Column, b: Column) -> Column:
-    """Similarity of two titles after lower-casing and sorting their tokens, 0 to 1."""
-
-    @F.pandas_udf("double")
-    def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([indel_ratio(p, q) if p and q else 0.0 for p, q in zip(x, y, strict=True)])
-
-    order = lambda c: F.array_join(F.array_sort(F.filter(F.split(F.lower(F.trim(c)), r"\s+"), lambda t: t != "")), " ")
-    return ratio(order(a), order(b))
-
-
-def title_pairs(df: DataFrame, key: str, title: str, least: float) -> DataFrame:
-    """(a, b, similarity) of keys a < b whose titles are at least ``least`` alike.
-
-    Equal titles fold into one first. A pair of strings of m and n characters is at
-    most 2 min(m, n) / (m + n) alike, so only lengths in that band meet: titles are dealt
-    to bands of geometric width and joined with their own band and the next.
-    """
-    import math
-
-    one = df.groupBy(F.lower(F.trim(title)).alias("t")).agg(F.sort_array(F.collect_list(key)).alias("keys")).filter("t <> ''")
-    width = math.log((2 - least) / least) + 1e-9
-    band = F.floor(F.log(F.length("t").cast("double")) / F.lit(width))
-    one = one.withColumn("band", band)
-    other = one.select(F.col("t").alias("u"), F.col("keys").alias("more"), F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("band"), F.col("band").alias("own"))
-    pairs = one.join(other, "band").filter((F.col("own") > F.col("band")) | (F.col("t") < F.col("u")))
-    pairs = pairs.filter(2 * F.least(F.length("t"), F.length("u")) >= F.lit(least) * (F.length("t") + F.length("u")))
-    alike = pairs.withColumn("similarity", token_sort_ratio(F.col("t"), F.col("u"))).filter(F.col("similarity") >= least)
-    across = alike.select(F.element_at("keys", 1).alias("x"), F.element_at("more", 1).alias("y"), "similarity")
-    within = one.filter(F.size("keys") > 1).select(F.explode(F.slice("keys", F.lit(2), F.size("keys"))).alias("y"), F.element_at("keys", 1).alias("x"), F.lit(1.0).alias("similarity"))
-    return across.unionByName(within).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity")
-
-
 def shared_token_pairs(df: DataFrame, key: str, tokens: str, least: int) -> DataFrame:
     """(a, b, shared) of keys a < b with at least ``least`` tokens in common; rare tokens do the meeting.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sigmill.operators import joins, rows
+from sigmill.operators import joins, rows, similar
 from sigmill.registry import query
 from sigmill.sources.tables import items, signals, sql, table
 
@@ -67,7 +67,7 @@ def j09(spark, d):
 @query("j10_title_similarity_pairs")
 def j10(spark, d):
     t = table(spark, d, "documents").select("doc_id", F.split("text", "\n")[0].alias("title"))
-    return joins.title_pairs(t, "doc_id", "title", 0.9)
+    return similar.title_pairs(t, "doc_id", "title", 0.9)
 
 
 @query("j12_bigram_overlap_pairs", sql("""select a, b, count(*) as shared from (select x.title as a, y.title as b from

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sigmill.functions import market as M
 from sigmill.functions import scoring as S
-from sigmill.operators import dedup, graph, joins, rows
+from sigmill.operators import dedup, density, graph, joins, rows
 from sigmill.plans.market import AVOID, FIT, fits, held
 from sigmill.plans.scalars import q
 from sigmill.plans.users import MOD, OUT, part_outcomes
@@ -30,6 +30,12 @@ def d04(spark, d):
     return e.select("vec_id").join(found, "vec_id", "left").select("vec_id", F.coalesce("cluster", F.lit(-1)).alias("cluster"))
 
 
+@query("d04_density_clusters")
+def d04_density(spark, d):
+    """Hierarchical density clusters of all vectors, two points making one; noise is -1."""
+    return density.density_clusters(table(spark, d, "embeddings"), "vec_id", "embedding")
+
+
 MEMBERS = """x as (select label, vec_id, unnest(embedding)::double as x, generate_subscripts(embedding, 1) as i from embeddings), c0 as (select label, vec_id % 2 as old, i, avg(x) as x from x group by 1, 2, 3), c as (select label, old, list(x order by i) as v from c0 group by 1, 2),
 mem as (select distinct label, vec_id % 2 as old, vec_id // 2 as k from embeddings), size as (select label, old, count(*) as n from mem group by 1, 2), common as (select a.label, b.label as previous, count(*) as n from mem a join mem b on a.k = b.k and a.old = 0 and b.old = 1 group by 1, 2)"""
 

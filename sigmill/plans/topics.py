@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sigmill.functions import market as M
 from sigmill.functions import phrases as P
-from sigmill.operators import dedup
+from sigmill.operators import dedup, trends
 from sigmill.plans.market import held
 from sigmill.plans.scalars import listed, q
 from sigmill.registry import query
@@ -44,6 +44,12 @@ def d03(spark, d):
     return dedup.phrase_index(topics(spark, d), "id", "topics")
 
 
+@query("d03_merged_trends")
+def d03_merged(spark, d):
+    """Phrases that posts share, merged from the most common one on; the thirty largest groups."""
+    return trends.trend_groups(topics(spark, d), "id", "topics")
+
+
 INTENTS = [
     ("top_signals", r"\b(top|best|most (popular|engaged|upvoted|viewed|mentioned)|highest)\b"),
     ("source_breakdown", r"\b(source|platform|where|which site|subreddit|forum|community)\b"),

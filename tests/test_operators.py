@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sigmill.functions import scoring as S
 from sigmill.functions import text as X
-from sigmill.operators import dedup, graph, joins, rows, windows
+from sigmill.operators import dedup, graph, joins, rows, similar, windows
 from sigmill.operators.aggregates import calibration_bins, index_p90, pick_by_place
 
 
@@ -21,14 +21,14 @@ def lcs(a, b):
 
 @pytest.mark.parametrize("a, b", [("", ""), ("abc", ""), ("kitten", "sitting"), ("aaaa", "aa"), ("abcdef" * 9, "badcfe" * 8)])
 def test_indel_ratio(a, b):
-    assert joins.indel_ratio(a, b) == pytest.approx(2 * lcs(a, b) / (len(a) + len(b)) if a or b else 1.0)
+    assert similar.indel_ratio(a, b) == pytest.approx(2 * lcs(a, b) / (len(a) + len(b)) if a or b else 1.0)
 
 
 def test_title_pairs_reach_the_same_groups_as_all_pairs(spark):
     titles = ["Alpha beta gamma", "beta alpha gamma", "alpha beta gamma!", "Alpha beta", "x", "", None, "Delta epsilon zeta eta", "delta epsilon zeta etas", "alpha beta gamma"]
-    got = {frozenset((r.a, r.b)) for r in joins.title_pairs(spark.createDataFrame(list(enumerate(titles)), "id int, title string"), "id", "title", 0.8).collect()}
+    got = {frozenset((r.a, r.b)) for r in similar.title_pairs(spark.createDataFrame(list(enumerate(titles)), "id int, title string"), "id", "title", 0.8).collect()}
     key = lambda t: " ".join(sorted((t or "").lower().split()))
-    want = {frozenset((i, j)) for i, j in itertools.combinations(range(len(titles)), 2) if key(titles[i]) and key(titles[j]) and joins.indel_ratio(key(titles[i]), key(titles[j])) >= 0.8}
+    want = {frozenset((i, j)) for i, j in itertools.combinations(range(len(titles)), 2) if key(titles[i]) and key(titles[j]) and similar.indel_ratio(key(titles[i]), key(titles[j])) >= 0.8}
     assert got <= want
     close = lambda edges: {frozenset(c) for c in closure(edges, range(len(titles)))}
     assert close(got) == close(want)
@@ -74,7 +74,7 @@ def test_event_groups_against_all_pairs(spark):
     links = []
     for a, b in itertools.combinations(sets, 2):
         j = len(a & b) / len(a | b)
-        if j >= 0.75 or (j >= 0.5 and joins.indel_ratio(key(first[a]), key(first[b])) >= 0.70):
+        if j >= 0.75 or (j >= 0.5 and similar.indel_ratio(key(first[a]), key(first[b])) >= 0.70):
             links.append(frozenset((min(sets[a]), min(sets[b]))))
     comp = {n: min(c) for c in closure(links, {min(v) for v in sets.values()}) for n in c}
     want = {i: comp[min(v)] for v in sets.values() for i in v}

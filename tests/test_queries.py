@@ -15,4 +15,4 @@ def test_equals_sql(spark, name):
 
 
 def test_only_these_have_no_sql():
-    assert sorted(set(QUERIES) - set(SQL)) == ["d02_event_groups", "j10_title_similarity_pairs", "j11_entity_and_title_groups"]
+    assert sorted(set(QUERIES) - set(SQL)) == ["d02_event_groups", "d03_merged_trends", "d04_density_clusters", "j10_title_similarity_pairs", "j11_entity_and_title_groups"]
