@@ -129,6 +129,23 @@ def entities(title: Column) -> Column:
     return F.array_distinct(F.transform(F.flatten(F.array(*found)), lambda x: F.lower(x)))
 
 
+# Names that begin titles and tell nothing, and acronyms that are too common.
+STOP_NAMES = "The This That These Those What Why How When Where Who Show Ask New First Last Update Launch Release Breaking Just Now Today Yesterday".split()
+STOP_ACRONYMS = "HN TL DR AI ML US UK EU".split()
+
+#: Proper names of one word or more, quoted parts, acronyms, versions.
+NAMES, QUOTES, ACRONYMS, VERSIONS = r"\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)\b", r'"([^"]+)"', r"\b([A-Z]{2,6})\b", r"\b(v?\d+\.\d+(?:\.\d+)?)\b"
+
+
+def key_entities(title: Column) -> Column:
+    """Lower-cased names of three letters or more, quoted parts, acronyms and versions, without those that tell nothing; in order, none for null."""
+    every = lambda p: F.regexp_extract_all(F.coalesce(title, F.lit("")), F.lit("(?U)" + p), F.lit(1))
+    names = F.filter(every(NAMES), lambda x: ~x.isin(STOP_NAMES) & (F.length(x) > 2))
+    quoted = F.transform(every(QUOTES), lambda x: F.trim(x))
+    acronyms = F.filter(every(ACRONYMS), lambda x: ~x.isin(STOP_ACRONYMS))
+    return F.array_sort(F.array_distinct(F.transform(F.concat(names, quoted, acronyms, every(VERSIONS)), lambda x: F.lower(x))))
+
+
 def jaccard(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)))
 

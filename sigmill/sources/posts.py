@@ -70,6 +70,27 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def shared_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, site, day, score, comments, url, data (JSON of the post), title (begin of the text) and headed (a headline, the same for equal begins, and that).
+
+    Of each 44 documents in a row the first 22 share addresses in pairs, eleven apart.
+    """
+    n = F.when(F.floor(F.col("doc_id") / 11) % 4 < 2, F.floor(F.col("doc_id") / 22)).otherwise(F.col("doc_id")).cast("string")
+    fill = lambda c: F.replace(F.replace(c, F.lit("{n}"), n), F.lit("{u}"), F.lit(""))
+    begin = F.trim(F.substring(F.regexp_replace(F.split(F.coalesce("text", F.lit("")), "\n")[0], "[^ -~]", ""), 1, 80))
+    return table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("id"),
+        _pick(SITES, F.col("doc_id")).alias("site"),
+        (F.floor(F.col("doc_id") / 7) % 30).alias("day"),
+        (F.col("n_chars") % 1000).cast("long").alias("score"),
+        (F.col("n_chars") % 37).cast("long").alias("comments"),
+        fill(_pick([u for u, _ in LINKS], F.col("doc_id"))).alias("url"),
+        fill(_pick([j for _, j in LINKS], F.col("doc_id"))).alias("data"),
+        begin.alias("title"),
+        F.concat(_pick(HEADLINES, F.crc32(begin)), F.lit(" "), begin).alias("headed"),
+    )
+
+
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """page_id, url and data (JSON of the post that holds the link)."""
     n = F.col("page_id").cast("string")
@@ -89,7 +110,11 @@ _LINKS = "links as (select page_id, {} as url, {} as data from pages)".format(
     *[_FILL.replace("{c}", f"{_list([x[k] for x in LINKS])}[page_id % {len(LINKS)} + 1]") for k in (0, 1)]
 )
 
+_SHARED = "shared as (select id, site, day, score, comments, {} as url, {} as data from (select doc_id as id, {}[doc_id % {} + 1] as site, (doc_id // 7) % 30 as day, n_chars % 1000 as score, n_chars % 37 as comments, (case when (doc_id // 11) % 4 < 2 then doc_id // 22 else doc_id end)::varchar as n from documents))".format(
+    *[f"replace(replace({_list([x[k] for x in LINKS])}[id % {len(LINKS)} + 1], '{{n}}', n), '{{u}}', '')" for k in (0, 1)], _list(SITES), len(SITES)
+)
+
 
 def sql_posts(body: str, *ctes: str) -> str:
-    """SQL over the projections posts and links: then ``ctes``, then ``body``."""
-    return "with " + ",\n".join([_POSTS, _LINKS, *ctes]) + "\n" + body
+    """SQL over the projections posts, links and shared (without titles): then ``ctes``, then ``body``."""
+    return "with " + ",\n".join([_POSTS, _LINKS, _SHARED, *ctes]) + "\n" + body
