@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from sigmill.functions import market as M
 from sigmill.functions import scoring as S
-from sigmill.operators import dedup, density, graph, joins, rows
+from sigmill.operators import dedup, density, graph, joins, rows, spacing
+from sigmill.operators.graph import kept
 from sigmill.plans.market import AVOID, FIT, fits, held
 from sigmill.plans.scalars import q
 from sigmill.plans.users import MOD, OUT, part_outcomes
@@ -159,17 +160,9 @@ def d64(spark, d):
   select user_id, event_id from w where event_id is not null""")
 def j17(spark, d):
     """Alerts of each user, none within 24 hours of the last that was sent; suppressed ones don't count."""
-    import pandas as pd
-
-    def sent(f: pd.DataFrame) -> pd.DataFrame:
-        f, last, keep = f.sort_values(["s", "event_id"]), None, []
-        for s in f["s"]:
-            keep.append(last is None or s - last >= 86400)
-            last = s if keep[-1] else last
-        return f.loc[keep, ["user_id", "event_id"]]
-
     e = table(spark, d, "events").filter(F.col("event_type").isin("purchase", "error"))
     e = e.select("user_id", "event_id", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000000).alias("s"))
-    # of one second only the first can be sent: what a user brings to a task follows the time covered, not the events
-    first = e.groupBy("user_id", "s").agg(F.min_by("event_id", F.struct("s", "event_id")).alias("event_id"))
-    return first.select("user_id", "event_id", "s").groupBy("user_id").applyInPandas(sent, "user_id long, event_id long")
+    # of one second only the first can be sent
+    first = kept(e.groupBy("user_id", "s").agg(F.min_by("event_id", F.struct("s", "event_id")).alias("event_id")))
+    sent = spacing.spaced(first, "user_id", "s", 86400)
+    return first.join(sent, first["user_id"].eqNullSafe(sent["user_id"]) & (first["s"] == sent["s"])).select(first["user_id"], "event_id")

@@ -36,3 +36,11 @@ def st5(spark, d):
 @query("st6_closed_days", "select strftime(ts, '%Y-%m-%d') as day, event_type, count(*) as n from events where date_trunc('day', ts) + interval 1 day <= (select max(ts) from events) - interval 7 day group by 1, 2")
 def st6(spark, d):
     return R.landed(R.closed_days(R.event_stream(spark, d)))
+
+
+@query("st4_alerts_sent", f"""with recursive c as (select event_id, user_id, epoch_us(ts) // 1000 as s, row_number() over (partition by user_id order by epoch_us(ts) // 1000, event_id) as k from events where event_type in ('purchase', 'error')),
+  w(user_id, k, event_id, ms, sent) as (select user_id, k, event_id, s, s from c where k = 1 union all select c.user_id, c.k, case when c.s - w.sent >= {R.SILENCE} then c.event_id end, c.s, case when c.s - w.sent >= {R.SILENCE} then c.s else w.sent end from w join c on c.user_id = w.user_id and c.k = w.k + 1)
+  select user_id, event_id, ms from w where event_id is not null and ms < (select max(s) from c) - {R.LATE}""")
+def st4_sent(spark, d):
+    """Purchases and errors as alerts, as a stream with state: those that the watermark has passed."""
+    return R.landed(R.sent_alerts(R.event_stream(spark, d).filter(F.col("event_type").isin("purchase", "error"))))

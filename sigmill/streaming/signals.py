@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -30,16 +29,21 @@ def rolling_counts(events: DataFrame) -> DataFrame:
     return events.withWatermark("ts", "7 days").groupBy(w).agg(F.count(F.lit(1)).alias("n")).select(F.date_format("window.end", "yyyy-MM-dd").alias("day"), "n")
 
 
-def finished(stream: DataFrame, mode: str) -> DataFrame:
-    """Runs a stream over the input that is there, then returns its result as a table."""
-    spark = stream.sparkSession
-    name = f"stream_{uuid.uuid4().hex[:12]}"
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+def finished(stream: DataFrame, mode: str = "complete") -> DataFrame:
+    """Runs a stream over the input that is there and returns its last whole result, which each batch writes into the shared folder under its number."""
+    spark, last = stream.sparkSession, []
+    path = new_path(spark, "stream")
+
+    def write(result: DataFrame, batch: int) -> None:
+        result.write.mode("overwrite").parquet(f"{path}/{batch}")
+        last[:] = [batch]
+
+    q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}-state").foreachBatch(write).trigger(availableNow=True).start()
     try:
         q.awaitTermination()
     finally:
         q.stop()
-    return spark.table(name)
+    return spark.read.schema(stream.schema).parquet(f"{path}/{last[0]}") if last else spark.createDataFrame([], stream.schema)
 
 
 def landed(stream: DataFrame) -> DataFrame:
@@ -76,3 +80,42 @@ def failure_state(events: DataFrame) -> DataFrame:
         yield pd.DataFrame({"user_id": [key[0]], "total": [total], "failures": [failures]})
 
     return events.select("user_id", "event_type").groupBy("user_id").applyInPandasWithState(count, "user_id long, total long, failures long", "total long, failures long", "append", GroupStateTimeout.NoTimeout)
+
+
+#: Milliseconds for which a sent alert silences its key, and for which rows may come late.
+SILENCE, LATE = 24 * 3600 * 1000, 3600 * 1000
+
+
+def sent_alerts(events: DataFrame, key: str = "user_id", row: str = "event_id") -> DataFrame:
+    """(key, row, at): alerts that are sent, each 24 hours or more behind the last that was sent of its key; suppressed ones don't count.
+
+    Rows are decided in the order of their time (then ``row``) once the watermark, an hour behind the latest row, has passed them, so neither files nor their
+    order matter; rows behind the watermark are dropped. A key's state is the time of the last sent alert and the rows that may still be
+    sent: those within 24 hours of it are dropped at once. A timer decides rows of a key that gets no more, and ends the state 24 hours after the last alert.
+    """
+
+    def decide(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, times, ids = state.get if state.exists else (None, [], [])
+        open_ = list(zip(times, ids, strict=True))
+        for f in frames:
+            open_ += list(zip(f["ms"], f["row"], strict=True))
+        passed, sent, wait = state.getCurrentWatermarkMs(), [], []
+        for ms, r in sorted((int(ms), int(r)) for ms, r in open_):
+            if last is not None and ms - last < SILENCE:
+                continue
+            if ms >= passed:
+                wait.append((ms, r))
+            else:
+                last = ms
+                sent.append((ms, r))
+        if not wait and (last is None or last + SILENCE <= passed):
+            if state.exists:
+                state.remove()
+        else:
+            state.update((last, [ms for ms, _ in wait], [r for _, r in wait]))
+            state.setTimeoutTimestamp(max(wait[0][0] if wait else last + SILENCE, passed + 1))
+        yield pd.DataFrame({"k": [k[0]] * len(sent), "row": [r for _, r in sent], "ms": [ms for ms, _ in sent]}).astype({"row": "int64", "ms": "int64"})
+
+    rows = events.withWatermark("ts", f"{LATE} milliseconds").select(F.col(key).cast("long").alias("k"), F.col(row).cast("long").alias("row"), F.floor(F.unix_micros("ts") / 1000).alias("ms"), "ts").filter("ms is not null")
+    sent = rows.groupBy("k").applyInPandasWithState(decide, "k long, row long, ms long", "last long, times array<long>, ids array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+    return sent.select(F.col("k").alias(key), F.col("row").alias(row), "ms")
