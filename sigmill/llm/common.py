@@ -45,6 +45,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def aside(docs: DataFrame, *used: str) -> tuple[DataFrame, list[str], list[Column]]:
+    """(docs, used, back): all columns under numbered names, those of ``used`` there, and what gives every column its own name back.
+
+    Operators name their inner columns freely; so none of a table's own is met or overwritten.
+    """
+    names = [f"__{k}" for k in range(len(docs.columns))]
+    of = {c.lower(): n for c, n in zip(docs.columns, names, strict=True)} | dict(zip(docs.columns, names, strict=True))
+    return docs.toDF(*names), [of.get(c, of.get(c.lower())) for c in used], [F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)]
+
+
 def word_count(text: Column) -> Column:
     """Number of words; 0 for null. One mark replaces each word with the space before it."""
     kept = F.rtrim(F.coalesce(text, F.lit("")), F.lit(SPACES))

@@ -11,16 +11,18 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sigmill.llm.common import aside
 from sigmill.llm.license_texts import ALONE, LICENSES, SENTENCES, SEQUENCES
 
 #: Comment marks at the begin and end of a line.
 MARKS = r"^[ \t]*(?://+|/\*+|\*+/?|#+|--+|;+|%+|<!--+)[ \t]*"
-END_MARKS = r"[ \t]*(?:\*+/|--+>)[ \t\r]*$"
+#: Runs are taken whole and only from their begin, so that a long one is read once.
+END_MARKS = r"(?<![ \t])[ \t]*+(?:(?<!\*)\*++/|(?<!-)--++>)[ \t\r]*+$"
 #: A tag keeps its colon from ending a sentence.
 TAG = r"spdx-license-identifier[ \t]*:"
 #: A sentence ends at . ! ? ; : before white space, or at an empty line; in the second reading at every line's end.
-STOP = r"""[.!?;:]+["')\]]*[ \t\r\n]+"""
-ENDS = (STOP + r"|\n[ \t\r]*\n[ \t\r\n]*", STOP + r"|[\r\n]+")
+STOP = r"""(?<![.!?;:])[.!?;:]++["')\]]*+[ \t\r\n]++"""
+ENDS = (STOP + r"|\n[ \t\r]*+\n[ \t\r\n]*+", STOP + r"|[\r\n]+")
 BRACKETS = r"\([^()]*\)"
 OTHER = r"[^\p{L}\p{N}]+"
 VERBS = "licensed|released|distributed|available|provided|published"
@@ -129,9 +131,10 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
         ids = [sentence_ids(t) if t else [] for t in texts]
         return pd.DataFrame({"sentence_ids": ids, "licenses": [licenses_of(i) if i else [] for i in ids]})
 
+    docs, (text,), back = aside(docs.drop("sentence_ids", "licenses"), text)
     body: Column = F.col(text).cast("string")
     some = F.when(F.lower(body).rlike(_hint()), body)
-    return docs.drop("sentence_ids", "licenses").withColumn("_told", told(some)).select(*[c for c in docs.columns if c not in ("sentence_ids", "licenses")], "_told.*")
+    return docs.withColumn("_told", told(some)).select(*back, "_told.*")
 
 
 def document_licenses(docs: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sigmill.llm.common import SPACES, written
+from sigmill.llm.common import SPACES, aside, written
 
 WIDTH = 3
 
@@ -66,7 +66,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     dealt out with the texts, never sent whole to every executor: their count grows
     with the table, and so the plan is the same for every size.
     """
-    names = docs.columns
+    docs, (key, text), back = aside(docs.drop("n_lines", "n_removed"), key, text)
     gone = written(repeated_lines(docs, key, text), "line-gone")
     both = docs.withColumn("_part", F.xxhash64(text)).join(gone.hint("merge"), F.col(key).eqNullSafe(F.col("doc")) & (F.col("_part") == F.col("part")), "left")
     both = both.withColumn("_lines", _lines(text))
@@ -77,16 +77,19 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
         "n_lines": F.size("_lines").cast("long"),
         "n_removed": F.coalesce(F.size("gone"), F.lit(0)).cast("long"),
     }
-    plain = [c for c in names if c not in out]
-    done = both.select(*plain, *[v.alias(k) for k, v in out.items()])
-    return done.select(*[c for c in names if c not in ("n_lines", "n_removed")], "n_lines", F.greatest("n_removed", F.lit(0)).alias("n_removed"))
+    done = both.select(*[c for c in docs.columns if c not in out], *[v.alias(k) for k, v in out.items()])
+    return done.select(*back, "n_lines", F.greatest("n_removed", F.lit(0)).alias("n_removed"))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """Documents with what is left of their texts; those of which no word is left are gone."""
-    done = dedup_lines(docs)
-    left = done.filter((F.col("n_removed") == 0) | (F.length(F.btrim("text", F.lit(SPACES))) > 0))
-    return left.select(*docs.columns)
+    """Documents with what is left of their texts; those of which no word is left are gone.
+
+    Null and empty texts had no line to lose and stay; columns besides the text stay as they are, whatever their names.
+    """
+    docs, (key, text), back = aside(docs, "doc_id", "text")
+    done = dedup_lines(docs, key, text)
+    left = done.filter((F.col("n_removed") == 0) | (F.length(F.btrim(text, F.lit(SPACES))) > 0))
+    return left.select(*back)
 
 
 def document_lines(docs: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sigmill.llm.common import hex_draw, word_count, written
+from sigmill.llm.common import aside, hex_draw, word_count, written
 
 #: Rows up to which the table of sources may be sent to every executor.
 BROADCAST_ROWS = 50_000
@@ -54,7 +54,7 @@ def mix(docs: DataFrame, size: str = "size", source: str = "source", key: str =
     in one task. The table of sources is sent to every executor up to ``BROADCAST_ROWS``
     rows and joined by shuffle beyond that; rows and results are the same.
     """
-    docs = docs.drop("source_size", "target", "repeats")
+    docs, (size, source, key), back = aside(docs.drop("source_size", "target", "repeats"), size, source, key)
     slim = docs.select(F.col(source).alias("source"), _size(size), F.col(key).alias("_k")).withColumn("_h", hex_draw(f"{seed}", F.col("_k")))
     cuts = written(slim.groupBy("source", F.substring("_h", 1, 3).alias("_cut")).agg(F.sum("_n").alias("_n")), "mix-cuts")
     goals = source_targets(cuts.groupBy("source").agg(F.sum("_n").alias("source_size")), **law)
@@ -84,8 +84,9 @@ def mix(docs: DataFrame, size: str = "size", source: str = "source", key: str =
     extra = (first < F.col("_cut")) | ((first == F.col("_cut")) & (place <= last))
     told = (*names, "source_size", "target")
     if not plan.filter("_last.take < _last.copies").limit(1).count():
-        return found.select(*told, _times(extra).alias("repeats"))
-    return found.filter(~split).select(*told, _times(extra).alias("repeats")).unionByName(_some_copies(found.filter(split), names, told))
+        return found.select(*told, _times(extra).alias("repeats")).select(*back, "source_size", "target", "repeats")
+    both = found.filter(~split).select(*told, _times(extra).alias("repeats")).unionByName(_some_copies(found.filter(split), names, told))
+    return both.select(*back, "source_size", "target", "repeats")
 
 
 def _size(size: str) -> Column:
@@ -132,6 +133,13 @@ def repeated(mixed: DataFrame, columns: Sequence[str]) -> DataFrame:
     return mixed.filter("repeats > 0").withColumn("_i", F.explode(F.array_repeat(F.lit(0), F.col("repeats")))).select(*columns)
 
 
+def mixture(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", **law) -> DataFrame:
+    """The mix of whole documents by their words, each as often as it is taken, with the columns as they came, whatever their names."""
+    docs, (text, source, key), back = aside(docs, text, source, key)
+    taken = repeated(mix(docs.withColumn("_size", word_count(F.col(text))), "_size", source, key, **law), docs.columns)
+    return taken.select(*back)
+
+
 def document_mix(docs: DataFrame) -> DataFrame:
     """Digest of the mix of ``documents``; every row stays, taken or not."""
     sizes = written(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "mix-sizes")

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sigmill.llm.common import SPACE, SPACES, word_count, written
+from sigmill.llm.common import SPACE, SPACES, aside, word_count, written
 
 #: Characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -215,12 +215,14 @@ def keep_good(docs: DataFrame, text: str = "text", sample_rows: int = 1000) -> D
     """Only the rows that no rule rejects, with the columns as they came.
 
     Each rule is a filter of its own over the text, in the sample's order, so that
-    documents which a cheap rule rejects never reach a dear one.
+    documents which a cheap rule rejects never reach a dear one. Columns besides the
+    text stay as they are, whatever their names.
     """
+    docs, (text,), back = aside(docs, text)
     names = docs.columns
     for r in ordered(lean_rules(text), sampled(docs.select(text), text, sample_rows)):
         docs = stepped(docs, r.steps).filter(~r.fails).select(*names)
-    return docs
+    return docs.select(*back)
 
 
 def document_rules(docs: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sigmill.llm import shingles
-from sigmill.llm.common import written
+from sigmill.llm.common import aside, written
 from sigmill.llm.components import Forest, connected_components
 
 BITS = 64
@@ -286,11 +286,12 @@ def _kept(docs: DataFrame, rows: DataFrame, classes: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose key is the least of its ``root``; one of each key. ``rows`` holds all keys."""
     least = classes.groupBy("root").agg(F.min("least").alias("least"))
     ids = written(least.select(F.col("least.doc_id").alias("_kept"), F.col("least.th").alias("_hash")), "kept")
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_kept")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_hash"))
+    docs, (key, text), back = aside(docs, "doc_id", "text")
+    same = F.col(key).cast("long").eqNullSafe(F.col("_kept")) & (F.xxhash64(F.col(text).cast("string")) == F.col("_hash"))
     left = docs.join(ids.hint("merge"), same, "left_semi")
     again = rows.groupBy("doc_id", "th").count().filter("count > 1")
     again = again.join(ids, F.col("doc_id").eqNullSafe(F.col("_kept")) & (F.col("th") == F.col("_hash")), "left_semi")
-    return left.dropDuplicates(["doc_id", "text"]) if again.limit(1).count() else left
+    return (left.dropDuplicates([key, text]) if again.limit(1).count() else left).select(*back)
 
 
 def document_components(docs: DataFrame) -> DataFrame:
