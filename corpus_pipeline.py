@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigmill.llm import line_dedup, mixing, packing, quality_rules, simhash
-from sigmill.llm.common import table, word_count, written
+from sigmill.llm.common import table, written
 
 #: Words of a shingle, bits by which fingerprints of near copies may differ, and the
 #: similarity of sets of shingles from which texts are near copies whatever their fingerprints.
@@ -33,8 +33,7 @@ def copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: none, once or twice."""
-    sized = docs.withColumn("_size", word_count(F.col("text")))
-    return mixing.repeated(mixing.mix(sized, size="_size"), docs.columns)
+    return mixing.mixture(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
