@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sigmill.operators import rows
 from sigmill.registry import query
-from sigmill.sources import sinks
+from sigmill.sources import buckets, sinks
 from sigmill.sources.tables import AS_OF, signals, sql, table
 
 
@@ -21,17 +21,17 @@ def k01(spark, d):
 @query("k04_batched_merge", sql("select id, case when id % 2 = 0 then cents + 2 else cents + id % 3 end as cents from sig"))
 def k04(spark, d):
     s, path = signals(spark, d).select("id", "cents"), sinks.new_path(spark, "merged")
-    out = sinks.replace(s.limit(0), path)
+    out = buckets.replace(s.limit(0), path, ["id"])
     for k in range(3):
-        out = sinks.merge(s.filter(f"id % 3 = {k} or id % 2 = 0").withColumn("cents", F.col("cents") + k), path, ["id"])
+        out = buckets.merge(s.filter(f"id % 3 = {k} or id % 2 = 0").withColumn("cents", F.col("cents") + k), path)
     return out
 
 
 @query("k05_full_replace", sql("select trend_id, count(*) as n, min(id) as canonical from sig group by trend_id"))
 def k05(spark, d):
     path, t = sinks.new_path(spark, "replaced"), signals(spark, d).groupBy("trend_id").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("canonical"))
-    sinks.replace(t.withColumn("n", F.col("n") + 1), path)
-    return sinks.replace(t, path)
+    buckets.replace(t.withColumn("n", F.col("n") + 1), path, ["trend_id"])
+    return buckets.replace(t, path, ["trend_id"])
 
 
 def signals_without_vectors(spark: SparkSession, sf_dir: str, lookback_days: int = 14, limit: int = 1000) -> DataFrame:
@@ -56,46 +56,46 @@ def s01(spark, d):
 def started(spark, d, name: str, *columns: str):
     """Path of a new table that holds the signals of even ids."""
     path = sinks.new_path(spark, name)
-    sinks.replace(signals(spark, d).select(*columns).filter("id % 2 = 0"), path)
+    buckets.replace(signals(spark, d).select(*columns).filter("id % 2 = 0"), path, ["id"])
     return path
 
 
 @query("k02_append_missing_written", sql("select id, source from sig"))
 def k02(spark, d):
     path = started(spark, d, "k02", "id", "source")
-    return sinks.append_missing(signals(spark, d).select("id", "source"), path, ["id"])
+    return buckets.append_missing(signals(spark, d).select("id", "source"), path)
 
 
 @query("k03_merge_written", sql("select id, case when id % 2 = 0 and id % 5 > 0 then cents else cents + 1 end as cents from sig"))
 def k03(spark, d):
     path = started(spark, d, "k03", "id", "cents")
     new = signals(spark, d).filter("id % 2 = 1 or id % 5 = 0").select("id", (F.col("cents") + 1).alias("cents"))
-    return sinks.merge(new, path, ["id"])
+    return buckets.merge(new, path)
 
 
 @query("k06_update_written", sql("select id, source, case when source = 'error' then 0 else cents end as cents from sig"))
 def k06(spark, d):
     s, path = signals(spark, d).select("id", "source", "cents"), sinks.new_path(spark, "k06")
-    sinks.replace(s, path)
-    return sinks.merge(s.filter("source = 'error'").withColumn("cents", F.lit(0).cast("long")), path, ["id"])
+    buckets.replace(s, path, ["id"])
+    return buckets.update(s.filter("source = 'error'").select("id", F.lit(0).cast("long").alias("cents")), path)
 
 
 @query("k07_delete_written", sql("select id, source, comments from sig where not (source = 'error' and comments < 50)"))
 def k07(spark, d):
     path = sinks.new_path(spark, "k07")
-    sinks.replace(signals(spark, d).select("id", "source", "comments"), path)
-    return sinks.delete(spark, path, (F.col("source") == "error") & (F.col("comments") < 50))
+    buckets.replace(signals(spark, d).select("id", "source", "comments"), path, ["id"])
+    return buckets.delete(spark, path, (F.col("source") == "error") & (F.col("comments") < 50))
 
 
 @query("k09_history_written", sql("select id, cents as old_cents, cents + 1 as new_cents, 1 as version from sig where source = 'purchase'"))
 def k09(spark, d):
     """What a merge is about to change goes to a history table first."""
     s, path = signals(spark, d).select("id", "source", "cents"), sinks.new_path(spark, "k09")
-    old = sinks.replace(s, path)
+    old = buckets.replace(s, path, ["id"])
     new = s.filter("source = 'purchase'").withColumn("cents", F.col("cents") + 1)
     both = old.select("id", F.col("cents").alias("old_cents")).join(new.select("id", F.col("cents").alias("new_cents")), "id")
     past = sinks.append(both.withColumn("version", F.lit(1)), f"{path}-history")
-    sinks.merge(new, path, ["id"])
+    buckets.merge(new, path)
     return past
 
 
@@ -103,8 +103,8 @@ def k09(spark, d):
 def k10(spark, d):
     """A row for each stage, running and then done; the log keeps the last."""
     path, t = sinks.new_path(spark, "k10"), signals(spark, d).groupBy(F.col("source").alias("stage")).agg(F.count(F.lit(1)).alias("rows_seen"))
-    sinks.append(t.select("stage", F.lit(0).cast("long").alias("rows_seen"), F.lit("running").alias("status")), path)
-    return sinks.merge(t.withColumn("status", F.lit("done")), path, ["stage"])
+    buckets.replace(t.select("stage", F.lit(0).cast("long").alias("rows_seen"), F.lit("running").alias("status")), path, ["stage"], 4)
+    return buckets.merge(t.withColumn("status", F.lit("done")), path)
 
 
 @query("k11_gate_log_written", sql("select trend_id, k as place, name as gate from (select trend_id, count(*) as n, count(distinct source) as s from sig group by 1), (select * from (values (0, 'signals'), (1, 'sources')) v(k, name)) where k = 0 or n >= 2"))

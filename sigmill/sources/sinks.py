@@ -1,4 +1,4 @@
-"""Sinks: Parquet tables in the folder that the cluster shares, appended to, replaced or merged by key."""
+"""Sinks: Parquet tables in the folder that the cluster shares, appended to. Tables with a key are in ``buckets``."""
 
 from __future__ import annotations
 
@@ -6,11 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigmill.operators.rows import upsert
-
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share, as the cluster names it; only a local session makes its own."""
@@ -34,35 +32,6 @@ def append(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def replace(df: DataFrame, path: str) -> DataFrame:
-    """The rows alone, in place of all that was there."""
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
-def merge(df: DataFrame, path: str, keys: Sequence[str]) -> DataFrame:
-    """Rows of ``df`` in place of those with their keys, which are unique in ``df``; other rows stay.
-
-    The merged table is written beside the old one first, so that it is whole before the
-    old one goes; a reader in between waits for the second write.
-    """
-    spark = df.sparkSession
-    staged = replace(upsert(spark.read.parquet(path), df, keys), f"{path}-staged-{uuid.uuid4().hex[:12]}")
-    return replace(staged, path)
-
-
-def append_missing(df: DataFrame, path: str, keys: Sequence[str]) -> DataFrame:
-    """Adds the rows whose key the table lacks, one of each key; rows with a known key are passed over."""
-    old = df.sparkSession.read.parquet(path)
-    return append(df.dropDuplicates(list(keys)).join(old.select(*keys), list(keys), "left_anti"), path)
-
-
-def delete(spark: SparkSession, path: str, gone: Column) -> DataFrame:
-    """The table without the rows for which ``gone`` holds; rows for which it is null stay."""
-    staged = replace(spark.read.parquet(path).filter(~F.coalesce(gone, F.lit(False))), f"{path}-staged-{uuid.uuid4().hex[:12]}")
-    return replace(staged, path)
-
-
 def violations(df: DataFrame, keys: Sequence[str], parents: DataFrame, on: str) -> DataFrame:
     """(rule, rows): rows beyond the first of a key, and rows without a parent, as a table with constraints would refuse them."""
     again = df.groupBy(*keys).agg((F.count(F.lit(1)) - 1).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).select(F.lit("unique").alias("rule"), "rows")
