@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-PLANS = ("scans", "joins", "aggregates", "windows", "scalars", "domain", "users", "reports", "more", "market", "state", "sinks", "pairs", "rest", "topics", "digests", "streams", "events", "forecasts")
+PLANS = ("scans", "joins", "aggregates", "windows", "scalars", "domain", "users", "reports", "more", "market", "state", "sinks", "pairs", "rest", "topics", "digests", "streams", "events", "forecasts", "baselines")
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 

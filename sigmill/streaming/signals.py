@@ -69,6 +69,13 @@ def closed_days(events: DataFrame, late: str = "7 days") -> DataFrame:
     return events.withWatermark("ts", late).groupBy(w, "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "event_type", "n")
 
 
+def daily_values(events: DataFrame, late: str = "7 days") -> DataFrame:
+    """(source, slot, value, c): how often each whole value came on a day that the watermark has passed; state holds counts of open days alone."""
+    counts = events.withWatermark("ts", late).groupBy(F.window("ts", "1 day"), "event_type", F.floor("value").alias("value")).agg(F.count(F.lit(1)).alias("c"))
+    slot = F.date_diff(F.to_date("window.start"), F.lit("2024-01-01").cast("date"))
+    return counts.select(F.col("event_type").alias("source"), slot.alias("slot"), "value", "c")
+
+
 def failure_state(events: DataFrame) -> DataFrame:
     """Totals and failures of each user, carried over from batch to batch in state; a row for each user of a batch."""
 
