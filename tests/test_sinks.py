@@ -11,7 +11,7 @@ def test_append(spark):
     path = sinks.new_path(spark, "test")
     make = lambda data: spark.createDataFrame(data, "id long, v string")
     assert rows(sinks.append(make([(1, "a"), (2, None)]), path)) == [(1, "a"), (2, None)]
-    assert rows(sinks.append(make([(2, "x")]), path)) == [(1, "a"), (2, None), (2, "x")]
+    assert rows(sinks.append(make([(2, "x")]), path)) == [(1, "a"), (2, "x"), (2, None)]
 
 
 def test_violations(spark):
