@@ -18,6 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sigmill.operators.graph import components, kept
+from sigmill.sources.sinks import new_path
 
 #: Least distance that is told apart from none, so that copies have a finite density.
 FLOOR = 1e-9
@@ -202,6 +203,9 @@ def spanning_tree(blocks: DataFrame, pairs: DataFrame, cores: DataFrame) -> Data
         links = new.join(state.select(F.col("id").alias("a"), F.col("comp").alias("ca")), "a").join(end, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
         roots = _joined(kept(links))
         state = kept(state.join(roots, state["comp"] == roots["node"], "left").select("id", F.coalesce("root", "comp").alias("comp")))
+        # a round that finds nothing has no bound, so it would compare all blocks
+        if state.select("comp").distinct().limit(2).count() < 2:
+            return tree
 
 
 def _read_band(band: int, least: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
@@ -289,12 +293,20 @@ def condensed(tree: DataFrame, least: int, band: int = 500_000) -> tuple[DataFra
 def chosen(ended: DataFrame) -> DataFrame:
     """(cluster, top): the topmost cluster above each one, or itself, that is worth no less than all below it together; the root never is.
 
-    Paths upward are doubled in each round, so their number grows with the depth's logarithm.
+    Paths upward are doubled in each round, so their number grows with the depth's logarithm. Rounds are written and read again, as a checkpoint
+    keeps what the planner has inferred of its columns, which doubles with each round too.
     """
-    now = kept(ended.select("cluster", F.col("parent").alias("up"), F.when(F.col("stability") >= F.col("below"), F.col("cluster")).alias("top")))
+    spark = ended.sparkSession
+
+    def written(df: DataFrame) -> DataFrame:
+        path = new_path(spark, "paths")
+        df.write.parquet(path)
+        return spark.read.parquet(path)
+
+    now = written(ended.select("cluster", F.col("parent").alias("up"), F.when(F.col("stability") >= F.col("below"), F.col("cluster")).alias("top")))
     while True:
         above = now.select(F.col("cluster").alias("c2"), F.col("up").alias("up2"), F.col("top").alias("top2"))
-        new = kept(now.join(above, F.col("up") == F.col("c2"), "left").select("cluster", F.col("up2").alias("up"), F.coalesce("top2", "top").alias("top")))
+        new = written(now.join(above, F.col("up") == F.col("c2"), "left").select("cluster", F.col("up2").alias("up"), F.coalesce("top2", "top").alias("top")))
         if not new.filter("up is not null").limit(1).count():
             return new.select("cluster", "top")
         now = new

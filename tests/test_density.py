@@ -1,5 +1,7 @@
 """Density clusters against a plain version: full matrix, sorted edges, the tree read from its root down."""
 
+import time
+
 import numpy as np
 import pytest
 
@@ -94,3 +96,12 @@ def test_query_equals_plain_version(spark):
     rows = spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding").collect()
     got = {r.vec_id: r.cluster for r in queries()["d04_density_clusters"](spark, SF).collect()}
     assert got == brute([r.vec_id for r in rows], np.array([r.embedding for r in rows], float))
+
+
+def test_deep_paths_take_few_seconds(spark):
+    n = 4000
+    ended = spark.createDataFrame([(i, i + 1 if i < n else n + 7, 1.0, 0.5 if i % 1000 == 0 and i else 2.0) for i in range(n + 1)], "cluster long, parent long, stability double, below double")
+    began = time.perf_counter()
+    got = {r.cluster: r.top for r in D.chosen(ended).collect()}
+    assert time.perf_counter() - began < 60
+    assert set(got.values()) == {n} and len(got) == n + 1
