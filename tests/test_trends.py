@@ -106,3 +106,19 @@ def test_similar_titles_equal_all_pairs(spark, least):
     df = spark.createDataFrame(list(enumerate(titles)), "id long, title string").repartition(3)
     got = similar.title_pairs(df, "id", "title", least).collect()
     assert {(r.a, r.b) for r in got} == want and len(got) == len(want)
+
+
+def test_phrases_take_time_in_proportion(spark):
+    import time
+
+    from pyspark.sql import functions as F
+
+    from sigmill.functions.phrases import topic_phrases
+
+    words = [f"telling{i}" for i in range(20_000)]
+    df = spark.createDataFrame([(0, "Rust tools, edge"), (1, " ".join(words)), (2, ""), (3, None), (4, "alone")], "id long, title string")
+    begin = time.perf_counter()
+    got = {r.id: r.p for r in df.select("id", topic_phrases(F.col("title")).alias("p")).collect()}
+    assert time.perf_counter() - begin < 40
+    assert got[0] == ["edge", "rust", "rust-tool", "tool-edge"]
+    assert got[1] == sorted(f"{a}-{b}" for a, b in zip(words, words[1:])) and got[2] == [] and got[3] is None and got[4] == []
