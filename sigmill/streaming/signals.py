@@ -93,36 +93,47 @@ def failure_state(events: DataFrame) -> DataFrame:
 SILENCE, LATE = 24 * 3600 * 1000, 3600 * 1000
 
 
-def sent_alerts(events: DataFrame, key: str = "user_id", row: str = "event_id") -> DataFrame:
+#: Groups into which keys are dealt by hash, each with one state: a call for a group costs the same for one key as for hundreds. A stream keeps the number of its first run.
+GROUPS = 1024
+
+
+def sent_alerts(events: DataFrame, key: str = "user_id", row: str = "event_id", groups: int = GROUPS) -> DataFrame:
     """(key, row, at): alerts that are sent, each 24 hours or more behind the last that was sent of its key; suppressed ones don't count.
 
     Rows are decided in the order of their time (then ``row``) once the watermark, an hour behind the latest row, has passed them, so neither files nor their
     order matter; rows behind the watermark are dropped. A key's state is the time of the last sent alert and the rows that may still be
-    sent: those within 24 hours of it are dropped at once. A timer decides rows of a key that gets no more, and ends the state 24 hours after the last alert.
+    sent: those within 24 hours of it are dropped at once; ``groups`` of keys hold theirs together. A timer decides rows of keys that get no more, and ends a key's state 24 hours after its last alert.
+    Rows without key are one key.
     """
 
-    def decide(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, times, ids = state.get if state.exists else (None, [], [])
-        open_ = list(zip(times, ids, strict=True))
+    def decide(g: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        told, lasts, keys, times, ids = state.get if state.exists else ([], [], [], [], [])
+        last, open_ = dict(zip(told, lasts, strict=True)), list(zip(keys, times, ids, strict=True))
         for f in frames:
-            open_ += list(zip(f["ms"], f["row"], strict=True))
-        passed, sent, wait = state.getCurrentWatermarkMs(), [], []
-        for ms, r in sorted((int(ms), int(r)) for ms, r in open_):
-            if last is not None and ms - last < SILENCE:
+            open_ += zip(f["k"].tolist(), f["ms"].tolist(), f["row"].tolist(), strict=True)
+        passed, sent, wait, first = state.getCurrentWatermarkMs(), [], [], {}
+        for k, ms, r in sorted(open_):
+            if k in last and ms - last[k] < SILENCE:
                 continue
             if ms >= passed:
-                wait.append((ms, r))
+                wait.append((k, ms, r))
+                first.setdefault(k, ms)
             else:
-                last = ms
-                sent.append((ms, r))
-        if not wait and (last is None or last + SILENCE <= passed):
+                last[k] = ms
+                sent.append((k, ms, r))
+        last = {k: ms for k, ms in last.items() if k in first or ms + SILENCE > passed}
+        if not wait and not last:
             if state.exists:
                 state.remove()
         else:
-            state.update((last, [ms for ms, _ in wait], [r for _, r in wait]))
-            state.setTimeoutTimestamp(max(wait[0][0] if wait else last + SILENCE, passed + 1))
-        yield pd.DataFrame({"k": [k[0]] * len(sent), "row": [r for _, r in sent], "ms": [ms for ms, _ in sent]}).astype({"row": "int64", "ms": "int64"})
+            state.update((list(last), list(last.values()), *(list(x) for x in (zip(*wait, strict=True) if wait else ([], [], [])))))
+            due = min([*first.values(), *(ms + SILENCE for k, ms in last.items() if k not in first)])
+            state.setTimeoutTimestamp(max(due, passed + 1))
+        out = pd.DataFrame(sent, columns=["k", "ms", "row"]).astype("int64")
+        yield out if g[0] >= 0 else out.assign(k=pd.Series([None] * len(out), dtype="Int64"))
 
     rows = events.withWatermark("ts", f"{LATE} milliseconds").select(F.col(key).cast("long").alias("k"), F.col(row).cast("long").alias("row"), F.floor(F.unix_micros("ts") / 1000).alias("ms"), "ts").filter("ms is not null")
-    sent = rows.groupBy("k").applyInPandasWithState(decide, "k long, row long, ms long", "last long, times array<long>, ids array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+    # rows without key are a group of their own, in which 0 stands for it
+    rows = rows.withColumn("g", F.when(F.col("k").isNull(), -1).otherwise(F.pmod(F.xxhash64("k"), F.lit(groups)).cast("int"))).fillna(0, ["k"])
+    sent = rows.groupBy("g").applyInPandasWithState(decide, "k long, ms long, row long", "told array<long>, lasts array<long>, keys array<long>, times array<long>, ids array<long>", "append", GroupStateTimeout.EventTimeTimeout)
     return sent.select(F.col("k").alias(key), F.col("row").alias(row), "ms")

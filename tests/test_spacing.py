@@ -73,6 +73,36 @@ def test_alerts_don_t_depend_on_files(spark):
         assert streamed(spark, [rows[k : k + cut] for k in range(0, len(rows), cut)]) == sorted(want)
 
 
+@pytest.mark.parametrize("groups", [1, 3])
+def test_alerts_of_keys_that_share_a_state(spark, groups):
+    path, rng = new_path(spark, "alerts"), np.random.default_rng(groups)
+    users = [None, 0, -4, 2**60 + 1, 7, 8]
+    rows = sorted(((users[u], i, int(s)) for i, (u, s) in enumerate(zip(rng.integers(0, 6, 300), rng.integers(0, 30 * 24 * HOUR, 300)))), key=lambda r: r[2])
+    want, last = [], {}
+    for u, i, s in rows:
+        if u not in last or s - last[u] >= 24 * HOUR:
+            last[u] = s
+            want.append((u, i))
+    rows.append((99, 999, 60 * 24 * HOUR))
+    for at in range(0, len(rows), 75):
+        some = [(u, i, BASE + dt.timedelta(seconds=s)) for u, i, s in rows[at : at + 75]]
+        spark.createDataFrame(some, "user_id long, event_id long, ts timestamp").coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(path)
+    got = signals.landed(signals.sent_alerts(stream, groups=groups)).collect()
+    assert sorted(((r.user_id, r.event_id) for r in got), key=str) == sorted(want, key=str)
+
+
+def test_calls_of_a_stream_are_no_more_with_more_keys(spark):
+    """Many keys take few groups, each of which costs a call in every batch."""
+    path = new_path(spark, "alerts")
+    spark.range(20_000).selectExpr("id as user_id", "id as event_id", "timestamp'2024-01-01' + make_interval(0, 0, 0, 0, 0, 0, id % 60) as ts").coalesce(1).write.parquet(path)
+    out = signals.sent_alerts(spark.readStream.schema(spark.read.parquet(path).schema).parquet(path))
+    name = f"alerts{abs(hash(path))}"
+    q = out.writeStream.outputMode("append").format("memory").queryName(name).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert max(op["numRowsTotal"] for p in q.recentProgress for op in p["stateOperators"]) <= 1024
+
+
 def test_counts_over_files(spark):
     path = new_path(spark, "counts")
     for k in range(3):
