@@ -1,8 +1,8 @@
 """Density clustering of vectors: core distances, a minimum spanning tree of mutual reachability, excess of mass.
 
 Points lie in blocks of bounded size within the cells of a bounded sample of pivots. Pairs of
-cells that are provably further apart than what is sought are left out. The tree grows by
-rounds in which every component takes its least edge outward; it is then read from
+cells that are provably further apart than what is sought are left out. Blocks lie on a bounded number of sides,
+every two of which go to one task. The tree grows by rounds in which every component takes its least edge outward; it is then read from
 its shortest edge to its longest, a bounded band of edges at a time.
 """
 
@@ -26,17 +26,26 @@ FLOOR = 1e-9
 #: Links up to which one task joins components.
 FEW = 200_000
 
+#: Sides of blocks at most, and the share of a matrix from which on its distances are made as a matrix.
+SIDES, MANY = 16, 0.05
+
 EDGE = "comp long, w double, a long, b long"
 BAND = "kind string, id long, other long, size long, members array<long>, x double, y double"
 
 
 def units(df: DataFrame, key: str, vec: str) -> DataFrame:
-    """(id, vec): vectors of length 1; those that are null, zero or not finite are left out."""
+    """(id, vec): vectors with a direction; those that are null, zero or not finite are left out."""
     x = F.col(vec).cast("array<double>")
     bad = F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
     norm = F.sqrt(F.aggregate(x, F.lit(0.0), lambda s, v: s + v * v))
     ok = x.isNotNull() & ~F.coalesce(bad, F.lit(True))
-    return df.filter(ok).withColumn("_norm", norm).filter("_norm > 0").select(F.col(key).cast("long").alias("id"), F.transform(x, lambda v: v / F.col("_norm")).alias("vec"))
+    kind = df.schema[vec].dataType.elementType.simpleString()
+    return df.filter(ok).withColumn("_norm", norm).filter("_norm > 0").select(F.col(key).cast("long").alias("id"), F.col(vec).cast(f"array<{kind if kind == 'float' else 'double'}>").alias("vec"))
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    x = x.astype(float)
+    return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
 def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -44,87 +53,150 @@ def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.maximum(np.round(1 - x @ y.T, 9), 0)
 
 
-def in_blocks(points: DataFrame, pivots: int, block: int) -> tuple[DataFrame, DataFrame]:
-    """Blocks (cell, sub, ids, raw) in order of their ids, and pairs of cells (p, q, low) with the least distance between them.
+class Block:
+    """A block's points: cell, ids in order, unit vectors in double and single precision, and what is told of them besides."""
+
+    def __init__(self, row: object, kind: str) -> None:
+        self.cell, self.sub, self.ids = row["cell"], row["sub"], np.asarray(row["ids"])
+        self.x = _unit(np.frombuffer(row["raw"], kind).reshape(len(self.ids), -1))
+        self.rough = self.x.astype(np.float32)
+        self.more = {c: np.asarray(row[c]) for c in ("d", "comp", "core", "best") if c in row}
+
+
+def _slack(b: Block) -> float:
+    """What a distance made in single precision may be off by: each product by a few units of that, and so each of their sums."""
+    return (b.x.shape[1] + 8) * 1.2e-7 + 1e-8
+
+
+def near(a: Block, b: Block, p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, d): pairs of points of two blocks that are no further apart than p[i] or q[j], among others if there are many; of a block with itself no point meets itself.
+
+    Products in single precision tell which may be; only these are told in double precision.
+    """
+    s, slack = a.rough @ b.rough.T, _slack(a)
+    close = (s >= (1 - p - slack).astype(np.float32)[:, None]) | (s >= (1 - q - slack).astype(np.float32)[None])
+    if a is b:
+        np.fill_diagonal(close, False)
+    if "comp" in a.more and np.count_nonzero(close) > 1000:
+        close &= a.more["comp"][:, None] != b.more["comp"][None]
+    i, j = np.divmod(np.flatnonzero(close), close.shape[1])
+    if len(i) > close.size * MANY:
+        return i, j, distances(a.x, b.x)[i, j]
+    d = [np.zeros(0), *(np.einsum("ij,ij->i", a.x[i[k : k + 65_536]], b.x[j[k : k + 65_536]]) for k in range(0, len(i), 65_536))]
+    return i, j, np.maximum(np.round(1 - np.concatenate(d), 9), 0)
+
+
+class Blocks:
+    """Blocks (side, cell, sub, ids, raw) as a table, their vectors' type, how many sides they lie on, and the least distance between each two cells."""
+
+    def __init__(self, rows: DataFrame, kind: str, sides: int, low: np.ndarray) -> None:
+        self.rows, self.kind, self.sides, self.low = rows, kind, sides, low
+
+    def each(self, told: DataFrame | None, within: bool, found: Callable[[list[Block], list[Block]], Iterator[pd.DataFrame]], shape: str) -> DataFrame:
+        """Runs ``found`` on the blocks of every two sides, or of each side alone (``within``, twice the same list); told: more arrays (cell, sub, ...) of each block, in the order of its ids."""
+        rows, sides, kind = self.rows if told is None else self.rows.join(told, ["cell", "sub"]), self.sides, self.kind
+        pairs = [(p, q) for p in range(sides) for q in range(p, sides) if (p == q) == within]
+        to = F.broadcast(rows.sparkSession.createDataFrame([(side, n) for n, pair in enumerate(pairs) for side in sorted(set(pair))], "side int, pair int"))
+
+        def run(group: pd.DataFrame) -> pd.DataFrame:
+            parts = [[Block(r, kind) for _, r in g.sort_values(["cell", "sub"]).iterrows()] for _, g in group.groupby("side")]
+            return pd.concat([*found(parts[0], parts[-1])] or [pd.DataFrame({c.split()[0]: [] for c in shape.split(", ")})])
+
+        # four places for each pair, so that few pairs share one
+        return rows.join(to, "side").repartition(4 * max(1, len(pairs)), "pair").groupBy("pair").applyInPandas(run, shape)
+
+
+def in_blocks(points: DataFrame, pivots: int, block: int) -> Blocks:
+    """Blocks of points in order of their ids.
 
     ``pivots`` points, a bounded sample, name the cells; a cell that holds more than ``block`` points has several
     blocks. Only pivots and the cells' counts and radii, a row each, are brought together.
     """
     some = points.orderBy(F.xxhash64("id"), "id").limit(pivots).select("vec").toPandas()["vec"]
-    mid = np.stack(some.to_numpy())
+    mid, kind = _unit(np.stack(some.to_numpy())), {"float": "<f4"}.get(points.schema["vec"].dataType.elementType.simpleString(), "<f8")
 
-    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def dealt_to(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
-                x = np.stack(b["vec"].to_numpy())
+                x = _unit(np.stack(b["vec"].to_numpy()))
                 c = (x @ mid.T).argmax(1)
                 yield pd.DataFrame({"id": b["id"], "vec": b["vec"], "cell": c, "r": np.sqrt(((x - mid[c]) ** 2).sum(1))})
 
-    dealt = kept(points.mapInPandas(near, "id long, vec array<double>, cell int, r double"))
-    cells = dealt.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("r").alias("r")).toPandas()
-    subs = points.sparkSession.createDataFrame([(int(c), math.ceil(n / block)) for c, n in zip(cells["cell"], cells["n"], strict=True)], "cell int, subs int")
-    gap = np.sqrt(((mid[cells["cell"]][:, None] - mid[cells["cell"]][None]) ** 2).sum(2)) - cells["r"].to_numpy()[:, None] - cells["r"].to_numpy()[None]
-    low = np.maximum(0, gap - 1e-9) ** 2 / 2
-    pairs = [(int(cells["cell"][i]), int(cells["cell"][j]), float(low[i, j])) for i in range(len(cells)) for j in range(len(cells))]
+    dealt = kept(points.mapInPandas(dealt_to, f"id long, vec {points.schema['vec'].dataType.simpleString()}, cell int, r double"))
+    cells = dealt.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("r").alias("r")).orderBy("cell").toPandas()
+    names = [(int(c), k, math.ceil(n / block)) for c, n in zip(cells["cell"], cells["n"], strict=True) for k in range(math.ceil(n / block))]
+    sides = max(1, min(SIDES, len(names), -(-int(cells["n"].sum()) // (4 * block))))
+    where = points.sparkSession.createDataFrame([(c, k, n, at * sides // len(names)) for at, (c, k, n) in enumerate(names)], "cell int, sub int, subs int, side int")
+    radius = np.zeros(len(mid))
+    radius[cells["cell"]] = cells["r"]
+    low = np.maximum(0, np.sqrt(np.maximum(((mid[:, None] - mid[None]) ** 2).sum(2), 0)) - radius[:, None] - radius[None] - 1e-9) ** 2 / 2
 
     def packed(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("id")
-        return pd.DataFrame({"cell": [key[0]], "sub": [key[1]], "ids": [rows["id"].to_numpy()], "raw": [np.stack(rows["vec"].to_numpy()).tobytes()]})
+        return pd.DataFrame({"cell": [key[0]], "sub": [key[1]], "ids": [rows["id"].to_numpy()], "raw": [np.stack(rows["vec"].to_numpy()).astype(kind).tobytes()]})
 
-    split = dealt.join(F.broadcast(subs), "cell").withColumn("sub", F.pmod(F.xxhash64("id"), "subs").cast("int"))
+    split = dealt.join(F.broadcast(where.select("cell", "subs").distinct()), "cell").withColumn("sub", F.pmod(F.xxhash64("id"), "subs").cast("int"))
     blocks = split.select("cell", "sub", "id", "vec").groupBy("cell", "sub").applyInPandas(packed, "cell int, sub int, ids array<long>, raw binary")
-    return kept(blocks), points.sparkSession.createDataFrame(pairs, "p int, q int, low double")
-
-
-def _matrix(row: object) -> np.ndarray:
-    ids = row["ids"]
-    return np.frombuffer(row["raw"]).reshape(len(ids), -1)
-
-
-def _pairs_of(blocks: DataFrame, pairs: DataFrame, bound: DataFrame) -> DataFrame:
-    """Two different blocks a row (left columns, right ones with ``_2``), each pair once, unless their cells lie beyond both their bounds."""
-    b1, b2 = (bound.select(F.col("cell").alias(c), F.col("bound").alias(f"bound_{c}")) for c in "pq")
-    near = pairs.join(F.broadcast(b1), "p").join(F.broadcast(b2), "q").filter("low <= greatest(bound_p, bound_q) and p <= q").select("p", "q")
-    left = blocks.join(F.broadcast(near), F.col("cell") == F.col("p"))
-    right = blocks.select([F.col(c).alias(f"{c}_2") for c in blocks.columns])
-    return left.join(right, F.col("q") == F.col("cell_2")).filter("cell < cell_2 or sub < sub_2").drop("p", "q")
-
+    return Blocks(kept(blocks.join(F.broadcast(where.select("cell", "sub", "side")), ["cell", "sub"])), kind, sides, low)
 
-def _each(rows: DataFrame, found: Callable[[object], Iterator[pd.DataFrame]], shape: str) -> DataFrame:
-    """Runs ``found`` on every row, a group of its own, as a row holds whole blocks."""
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        return pd.concat([*found(group.iloc[0])] or [pd.DataFrame({c.split()[0]: [] for c in shape.split(", ")})])
+def _least(ids: np.ndarray, d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``k`` least d of each id."""
+    order = np.lexsort((d, ids))
+    ids, d = ids[order], d[order]
+    first = np.append(True, ids[1:] != ids[:-1])[: len(ids)]
+    ok = np.arange(len(ids)) - np.maximum.accumulate(np.where(first, np.arange(len(ids)), 0)) < k
+    return ids[ok], d[ok]
 
-    return rows.groupBy(*[c for c in ("cell", "sub", "cell_2", "sub_2") if c in rows.columns]).applyInPandas(run, shape)
 
+def core_distances(blocks: Blocks, k: int) -> DataFrame:
+    """(id, core): distance of each point from its ``k``-th nearest other one, or the furthest if there are fewer.
 
-def core_distances(blocks: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
-    """(id, core): distance of each point from its ``k``-th nearest other one, or the furthest if there are fewer."""
+    First among the points of its side; then only nearer ones are looked for.
+    """
+    low, shape = blocks.low, "id long, d double"
+
+    def found(mine: list[Block], others: list[Block]) -> Iterator[pd.DataFrame]:
+        within, every = mine is others, mine if mine is others else mine + others
+        most = [np.array(b.more["d"], float) if "d" in b.more else _within_block(b, k) for b in every]
+        held = [(np.zeros(0, int), np.zeros(0)) for _ in every]
+        for x, a in enumerate(mine):
+            for y, b in list(enumerate(every))[x if within else len(mine) :]:
+                if low[a.cell, b.cell] > max(most[x].max(), most[y].max()):
+                    continue
+                i, j, d = near(a, b, most[x], most[y])
+                # a block with itself has each pair both ways
+                for of, at in ((x, i), (y, j))[: 1 if a is b else 2]:
+                    at, least = held[of] = _least(np.append(held[of][0], at), np.append(held[of][1], d), k)
+                    last = np.flatnonzero(np.bincount(at, minlength=len(most[of])) == k)
+                    ends = np.searchsorted(at, last, "right") - 1
+                    most[of][last] = np.minimum(most[of][last], least[ends])
+        for b, (at, d) in zip(every, held, strict=True):
+            yield pd.DataFrame({"id": b.ids[at], "d": d})
+
+    inner = kept(blocks.each(None, True, found, shape))
+    both = inner
+    if blocks.sides > 1:
+        far = inner.groupBy("id").agg(F.when(F.count(F.lit(1)) >= k, F.max("d")).otherwise(3.0).alias("d"))
+        points = blocks.rows.select("cell", "sub", F.explode("ids").alias("id")).join(far, "id", "left").fillna(3.0, ["d"])
+        both = inner.unionByName(blocks.each(_told(points, "d"), False, found, shape))
+    ranked = both.selectExpr("id", "d", "row_number() over (partition by id order by d) as r").filter(F.col("r") <= k)
+    return kept(ranked.groupBy("id").agg(F.max("d").alias("core")))
 
-    def least(ids: np.ndarray, d: np.ndarray, cell: int) -> pd.DataFrame:
-        m = min(k, d.shape[1])
-        best = np.sort(np.partition(d, m - 1, axis=1)[:, :m], axis=1)
-        return pd.DataFrame({"id": np.repeat(ids, m), "cell": cell, "d": best.ravel()})
 
-    def own(row: object) -> Iterator[pd.DataFrame]:
-        if len(row["ids"]) > 1:
-            d = distances(_matrix(row), _matrix(row))
-            np.fill_diagonal(d, 3.0)
-            yield least(row["ids"], d, row["cell"]).query("d < 3")
+def _told(points: DataFrame, *columns: str) -> DataFrame:
+    """Columns of points (cell, sub, id, ...) as arrays of each block, in the order of its ids."""
+    t = points.groupBy("cell", "sub").agg(F.array_sort(F.collect_list(F.struct("id", *columns))).alias("t"))
+    return t.select("cell", "sub", *[F.col(f"t.{c}").alias(c) for c in columns])
 
-    def other(row: object) -> Iterator[pd.DataFrame]:
-        d = distances(_matrix(row), np.frombuffer(row["raw_2"]).reshape(len(row["ids_2"]), -1))
-        yield least(row["ids"], d, row["cell"])
-        yield least(row["ids_2"], d.T, row["cell_2"])
 
-    shape = "id long, cell int, d double"
-    inner = kept(_each(blocks, own, shape))
-    size = blocks.select("cell", F.explode("ids").alias("id")).join(inner.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.max("d").alias("d")), "id", "left")
-    bound = kept(size.groupBy("cell").agg(F.max(F.when(F.col("n") >= k, F.col("d")).otherwise(3.0)).alias("bound")))
-    outer = _each(_pairs_of(blocks, pairs, bound), other, shape)
-    ranked = inner.unionByName(outer).selectExpr("id", "d", "row_number() over (partition by id order by d) as r").filter(F.col("r") <= k)
-    return kept(ranked.groupBy("id").agg(F.max("d").alias("core")))
+def _within_block(b: Block, k: int) -> np.ndarray:
+    """No less than the distance of each point from its ``k``-th nearest one of the block."""
+    if len(b.ids) <= k:
+        return np.full(len(b.ids), 3.0)
+    s = b.rough @ b.rough.T
+    np.fill_diagonal(s, -3)
+    return 1 - np.partition(s, len(b.ids) - k, axis=1)[:, len(b.ids) - k].astype(float) + _slack(b)
 
 
 def _joined(links: DataFrame) -> DataFrame:
@@ -148,52 +220,62 @@ def _joined(links: DataFrame) -> DataFrame:
     return kept(links.select("a", "b", F.lit(1).alias("one")).groupBy("one").applyInPandas(run, "node long, root long"))
 
 
-def _outward(ids: np.ndarray, comp: np.ndarray, w: np.ndarray, others: np.ndarray) -> pd.DataFrame:
-    """Least edge of each component among those from its rows to columns; equal ones by their ends."""
-    if not w.size:
-        return pd.DataFrame({"comp": [], "w": [], "a": [], "b": []})
-    at = w.argmin(1)  # columns ascend by id, so the first of equal ones has the least ends
-    best = w[np.arange(len(w)), at]
-    lo, hi = np.minimum(ids, others[at]), np.maximum(ids, others[at])
-    order = np.lexsort((hi, lo, best, comp))
-    order = order[np.isfinite(best[order])]
-    first = np.append(True, comp[order][1:] != comp[order][:-1]) if len(order) else np.zeros(0, bool)
-    pick = order[first]
-    return pd.DataFrame({"comp": comp[pick], "w": best[pick], "a": lo[pick], "b": hi[pick]})
+def _firsts(comp: np.ndarray, w: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> list[np.ndarray]:
+    """Least edge of each component; equal ones by their ends."""
+    order = np.lexsort((hi, lo, w, comp))
+    first = np.append(True, comp[order][1:] != comp[order][:-1])[: len(order)]
+    return [x[order[first]] for x in (comp, w, lo, hi)]
 
 
-def spanning_tree(blocks: DataFrame, pairs: DataFrame, cores: DataFrame) -> DataFrame:
+def spanning_tree(blocks: Blocks, cores: DataFrame) -> DataFrame:
     """(a, b, w): the minimum spanning tree of mutual reachability; equal weights are ordered by their ends.
 
-    In each round components first look within their points' blocks, then in those that aren't
-    further away than what they found; so their number halves at least.
+    In each round components first look within their points' sides, then for edges that are
+    no longer than what they found; so their number halves at least.
     """
-
-    def weight(row: object, two: str) -> np.ndarray:
-        d = distances(_matrix(row), np.frombuffer(row[f"raw{two}"]).reshape(len(row[f"ids{two}"]), -1))
-        w = np.maximum(d, np.maximum(np.asarray(row["core"])[:, None], np.asarray(row[f"core{two}"])[None]))
-        w[np.asarray(row["comp"])[:, None] == np.asarray(row[f"comp{two}"])[None]] = np.inf
-        return w
-
-    def own(row: object) -> Iterator[pd.DataFrame]:
-        yield _outward(np.asarray(row["ids"]), np.asarray(row["comp"]), weight(row, ""), np.asarray(row["ids"]))
-
-    def other(row: object) -> Iterator[pd.DataFrame]:
-        w = weight(row, "_2")
-        yield _outward(np.asarray(row["ids"]), np.asarray(row["comp"]), w, np.asarray(row["ids_2"]))
-        yield _outward(np.asarray(row["ids_2"]), np.asarray(row["comp_2"]), w.T, np.asarray(row["ids"]))
-
-    several = blocks.limit(2).count() > 1
-    places = kept(blocks.select("cell", "sub", F.explode("ids").alias("id")).join(cores, "id"))
+    low = blocks.low
+
+    def found(mine: list[Block], others: list[Block]) -> Iterator[pd.DataFrame]:
+        within, every = mine is others, mine if mine is others else mine + others
+        names, at = np.unique(np.concatenate([b.more["comp"] for b in every]), return_inverse=True)
+        of = np.split(at, np.cumsum([len(b.ids) for b in every])[:-1])
+        most = np.full(len(names), 3.0)
+        for b, c in zip(every, of, strict=True):
+            if not within:
+                np.minimum.at(most, c, b.more["best"])
+                continue
+            # no less than the least edge within the block
+            s = b.rough @ b.rough.T
+            s[c[:, None] == c[None]] = -3
+            to = s.argmax(1)
+            ok = s[np.arange(len(s)), to] > -3
+            w = np.maximum(1 - s[np.arange(len(s)), to].astype(float) + _slack(b), np.maximum(b.more["core"], b.more["core"][to]))
+            np.minimum.at(most, c[ok], w[ok])
+        edges = []
+        for x, a in enumerate(mine):
+            for y, b in list(enumerate(every))[x if within else len(mine) :]:
+                p, q = (np.where(z.more["core"] <= most[of[k]], most[of[k]], -1.0) for k, z in ((x, a), (y, b)))
+                if low[a.cell, b.cell] > max(p.max(), q.max()):
+                    continue
+                i, j, d = near(a, b, p, q)
+                w = np.maximum(d, np.maximum(a.more["core"][i], b.more["core"][j]))
+                lo, hi = np.minimum(a.ids[i], b.ids[j]), np.maximum(a.ids[i], b.ids[j])
+                for c in (of[x][i], of[y][j]):
+                    ok = (w <= most[c]) & (of[x][i] != of[y][j])
+                    edges.append(_firsts(c[ok], w[ok], lo[ok], hi[ok]))
+                    np.minimum.at(most, edges[-1][0], edges[-1][1])
+        if edges:
+            comp, w, lo, hi = _firsts(*(np.concatenate(z) for z in zip(*edges, strict=True)))
+            yield pd.DataFrame({"comp": names[comp], "w": w, "a": lo, "b": hi})
+
+    places = kept(blocks.rows.select("cell", "sub", F.explode("ids").alias("id")).join(cores, "id"))
     state, tree, least = kept(places.select("id", F.col("id").alias("comp"))), None, F.min(F.struct("w", "a", "b")).alias("e")
     while True:
-        told = places.join(state, "id").groupBy("cell", "sub").agg(F.array_sort(F.collect_list(F.struct("id", "comp", "core"))).alias("t"))
-        now = kept(blocks.join(told.select("cell", "sub", F.col("t.comp").alias("comp"), F.col("t.core").alias("core")), ["cell", "sub"]))
-        inner = kept(_each(now, own, EDGE).groupBy("comp").agg(least))
-        have = places.join(state, "id").select("cell", "comp").distinct().join(inner, "comp", "left")
-        bound, best = have.groupBy("cell").agg(F.max(F.coalesce(F.col("e.w"), F.lit(3.0))).alias("bound")), inner
-        if several:
-            outer = _each(_pairs_of(now, pairs, bound), other, EDGE).groupBy("comp").agg(least)
+        now = kept(places.join(state, "id"))
+        best = inner = kept(blocks.each(_told(now, "comp", "core"), True, found, EDGE).groupBy("comp").agg(least))
+        if blocks.sides > 1:
+            have = now.join(inner.select("comp", F.col("e.w").alias("best")), "comp", "left").fillna(3.0, ["best"])
+            outer = blocks.each(_told(have, "comp", "core", "best"), False, found, EDGE).groupBy("comp").agg(least)
             best = inner.unionByName(outer).groupBy("comp").agg(F.min("e").alias("e"))
         new = kept(best.select("e.*").distinct())
         if not new.limit(1).count():
@@ -323,8 +405,8 @@ def density_clusters(df: DataFrame, key: str, vec: str, least: int = 2, neighbou
     rows = df.select(F.col(key).cast("long").alias(key))
     if points.limit(2).count() < 2:
         return rows.select(key, F.lit(-1).cast("long").alias("cluster"))
-    blocks, pairs = in_blocks(points, min(pivots, 1 + points.count() // (block // 4)), block)
-    tree = spanning_tree(blocks, pairs, core_distances(blocks, pairs, neighbours))
+    blocks = in_blocks(points, min(pivots, 1 + points.count() // (block // 4)), block)
+    tree = spanning_tree(blocks, core_distances(blocks, neighbours))
     fell, ended = condensed(tree, least, band)
     found = fell.join(chosen(ended), "cluster").filter("top is not null").select("id", "top")
     name = found.groupBy("top").agg(F.min("id").alias("name"))

@@ -105,3 +105,17 @@ def test_deep_paths_take_few_seconds(spark):
     got = {r.cluster: r.top for r in D.chosen(ended).collect()}
     assert time.perf_counter() - began < 60
     assert set(got.values()) == {n} and len(got) == n + 1
+
+
+def test_sides_are_few_and_cores_exact(spark, monkeypatch):
+    monkeypatch.setattr(D, "SIDES", 3)
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(size=(5, 8))[rng.integers(0, 5, 300)] + 0.1 * rng.normal(size=(300, 8)), rng.normal(size=(100, 8))])
+    x[5] = x[6] = x[7]
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "id long, v array<double>").repartition(3)
+    blocks = D.in_blocks(D.units(df, "id", "v"), 7, 16)
+    assert blocks.sides == 3 and blocks.rows.count() > 20
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = np.sort(np.maximum(np.round(1 - u @ u.T, 9), 0) + np.diag([9.0] * 400), axis=1)[:, 2]
+    got = {r.id: r.core for r in D.core_distances(blocks, 3).collect()}
+    assert len(got) == 400 and max(abs(got[i] - want[i]) for i in got) < 2e-9
